@@ -211,3 +211,13 @@ def require_valid(df: DataFrame) -> DataFrame:
     problem = F.raise_error(F.lit("triplet with a null or blank value"))
     checked = F.when(valid_triplet(), F.col("question")).otherwise(problem.cast("string"))
     return df.withColumn("question", checked)
+
+
+def schema_mapping(columns: Sequence[str]) -> dict[str, str]:
+    """Role to column by the first allowed schema that ``columns`` cover."""
+    present = set(columns)
+    for schema in ALLOWED_SCHEMAS:
+        names = schema.split()
+        if present.issuperset(names):
+            return dict(zip(ROLES, names))
+    raise ColumnError(f"columns {sorted(present)} match no allowed schema")

@@ -144,14 +144,14 @@ def gauge_changes(requests: DataFrame, by: Sequence[str] = ("method", "path")) -
     end = F.col("ts") + F.make_dt_interval(secs=F.col("duration_s").cast("decimal(18,6)"))
     steps = F.inline(
         F.array(
-            F.struct(F.col("ts").alias("at"), F.lit(1).alias("change")),
-            F.struct(end.alias("at"), F.lit(-1).alias("change")),
+            F.struct(F.col("ts").alias("instant"), F.lit(1).alias("change")),
+            F.struct(end.alias("instant"), F.lit(-1).alias("change")),
         )
     )
     return (
         requests.select(*by, "ts", "duration_s")
         .select(*by, steps)
-        .groupBy(*by, "at")
+        .groupBy(*by, "instant")
         .agg(F.sum("change").alias("change"))
     )
 
@@ -160,6 +160,6 @@ def in_flight(requests: DataFrame, by: Sequence[str] = ("method", "path")) -> Da
     """Gauge value right after every instant at which it changed."""
     changes = gauge_changes(requests, by)
     totals = running_total(
-        changes, F.col("change"), [F.col("at")], time_levels(F.col("at")), by
+        changes, F.col("change"), [F.col("instant")], time_levels(F.col("instant")), by
     )
-    return totals.select(*by, "at", (F.col("before") + F.col("change")).alias("in_flight"))
+    return totals.select(*by, "instant", (F.col("before") + F.col("change")).alias("in_flight"))

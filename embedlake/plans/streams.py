@@ -1 +1,78 @@
-"""Queries."""
+"""Streams over the event file, each with the SQL of its batch twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from embedlake.operators import tasks as tk
+from embedlake.plans.catalog import query
+from embedlake.plans.monitoring import REQUESTS_SQL
+from embedlake.plans.tables import Tables, requests, task_log
+from embedlake.plans.tasks import LOG_SQL, _state_sql
+from embedlake.streaming import jobs
+from embedlake.streaming.changelog import read_stream, replay, replay_appends
+
+
+class StreamedTables(Tables):
+    """The same derivations, reading each table as a stream."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return read_stream(self.spark, f"{self.folder}/{name}.parquet")
+
+
+def streamed(t: Tables) -> StreamedTables:
+    return StreamedTables(t.spark, t.folder)
+
+
+@query(
+    f"""WITH {REQUESTS_SQL}
+SELECT date_trunc('minute', ts) - to_minutes(k) AS window_start, path, count(*) AS n_requests
+FROM requests, range(5) r(k) GROUP BY 1, 2"""
+)
+def stream_request_rate(t: Tables) -> DataFrame:
+    counts = jobs.request_rate(requests(streamed(t)), lateness=None)
+    final = replay(counts, ["window_start", "path"], "request-rate")
+    return final.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT ts::DATE AS day, user_id AS ai_model_id, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_usage(t: Tables) -> DataFrame:
+    usage = streamed(t).events.select(
+        F.col("user_id").alias("ai_model_id"), F.col("ts").alias("created_at")
+    )
+    final = replay(jobs.daily_usage(usage, lateness=None), ["day", "ai_model_id"], "daily-usage")
+    return final.withColumn("day", F.to_date("day"))
+
+
+@query(
+    """SELECT event_id, ts, 'fastapi' AS application, 'fastapi' AS source,
+  event_type || ' by ' || user_id AS message FROM events"""
+)
+def stream_log_parse(t: Tables) -> DataFrame:
+    """Events written as JSON log lines, then parsed."""
+    record = F.struct(
+        F.concat("event_type", F.lit(" by "), F.col("user_id").cast("string")).alias("message"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("time"),
+        F.lit("INFO").alias("level"),
+    )
+    lines = streamed(t).events.select("event_id", F.to_json(record).alias("value"))
+    parsed = replay_appends(jobs.parse_logs(lines), "log-parse")
+    return parsed.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"WITH {LOG_SQL} {_state_sql('run')}".replace("'run' AS rule, ", ""))
+def stream_task_state(t: Tables) -> DataFrame:
+    states = jobs.task_states(task_log(streamed(t)), tk.RUN_RULE)
+    return replay(states, ["id"], "task-state")
+
+
+@query(
+    f"""WITH {REQUESTS_SQL}
+SELECT method, path, count(*) FILTER (ts <= TIMESTAMP '2024-01-15'
+  AND ts + to_microseconds(round(duration_s * 1000000)::BIGINT) > TIMESTAMP '2024-01-15') AS in_flight
+FROM requests GROUP BY method, path"""
+)
+def stream_in_flight(t: Tables) -> DataFrame:
+    at = F.expr("timestamp_ntz'2024-01-15 00:00:00'")
+    return replay(jobs.in_flight_at(requests(streamed(t)), at), ["method", "path"], "in-flight")
