@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from embedlake.functions.text import token_count, tokens
 
@@ -84,7 +85,8 @@ def encode_with_model(
     batch_size: int = 256,
 ) -> DataFrame:
     """Embed with a user's model, loaded once per task and fed Arrow batches."""
-    schema = df.schema.add(name, "array<float>")
+    vector = T.StructField(name, T.ArrayType(T.FloatType()))
+    schema = T.StructType([*df.schema.fields, vector])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = load_model()

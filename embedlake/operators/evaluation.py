@@ -182,9 +182,9 @@ def compare(metrics: DataFrame, trained: str = "trained", baseline: str = "basel
 
 
 def shown(value: Column, decimals: int) -> Column:
-    """Fixed-decimal text with half-even ties and ``inf`` for infinity."""
+    """Fixed-decimal text with half-even ties; infinities as ``inf``, ``-inf``."""
     text = F.format_string(f"%.{decimals}f", F.bround(value, decimals))
-    return F.when(value == float("inf"), F.lit("inf")).otherwise(text)
+    return F.replace(text, F.lit("Infinity"), F.lit("inf"))
 
 
 def summary_line(prefix_: str = "") -> Column:

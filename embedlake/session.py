@@ -51,15 +51,12 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a local one only in local mode."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="embedlake-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="embedlake-"))
+    # Spark appends a folder of its own and qualifies the path.
     return os.path.dirname(context.getCheckpointDir().rstrip("/"))
 
 

@@ -28,10 +28,11 @@ def _list(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         for m in archive.infolist()
                         if not m.is_dir()
                     ]
-            except (OSError, zipfile.BadZipFile) as problem:
+            except (OSError, ValueError, zipfile.BadZipFile) as problem:
                 rows = [(path, None, None, None, f"unreadable archive: {problem}")]
             columns = ["archive", "member", "file_size", "compress_size", "error"]
-            yield pd.DataFrame(rows, columns=columns)
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
 
 def list_members(archives: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def _expand(target: str):
                         try:
                             with archive.open(member) as source, open_for_writing(out) as sink:
                                 shutil.copyfileobj(source, sink)
-                        except (OSError, RuntimeError, zipfile.BadZipFile) as problem:
+                        except (OSError, ValueError, RuntimeError, zipfile.BadZipFile) as problem:
                             error = f"unreadable member: {problem}"
                         yield pd.DataFrame(
                             [(path, name, out, member.file_size, error)],

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from embedlake.operators.canonical import ALIASES, ROLES, cell_violations
 from embedlake.operators.registry import minted_id
 from embedlake.session import cut_lineage
 from embedlake.sources.jsonl import flatten
-from embedlake.sources.remote import open_for_reading
+from embedlake.sources.remote import filesystem, open_for_reading
 from embedlake.sources.workbook import read_workbooks
 
 # One ingest call plans on this many files at most; a folder with more is
@@ -35,9 +36,27 @@ UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 
 
 def list_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Path and length of every file; contents are not read."""
+    """Path and length of every file below files or folders; no content is read.
+
+    Spark's own scan leaves out empty files, so one task lists those.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.load(list(paths)).select("path", "length")
+    found = reader.load([_glob_safe(p) for p in paths]).select("path", "length")
+    roots = spark.createDataFrame([(p,) for p in paths], "path string")
+    return found.unionByName(roots.mapInPandas(_empty_files, "path string, length bigint"))
+
+
+def _empty_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for root in frame["path"]:
+            system, path = filesystem(root)
+            found = system.get_file_info([path])
+            if found[0].type == fs.FileType.Directory:
+                found = system.get_file_info(fs.FileSelector(path, recursive=True))
+            prefix = root.split(":", 1)[0] + ":" if ":/" in root else "file:"
+            empty = [f.path for f in found if f.type == fs.FileType.File and f.size == 0]
+            if empty:
+                yield pd.DataFrame([(prefix + p, 0) for p in empty], columns=["path", "length"])
 
 
 def _encoding(file, head: bytes) -> str:
@@ -89,10 +108,13 @@ def inspect(files: DataFrame, max_bytes: int = tx.MAX_UPLOAD_BYTES, strict: bool
     first_child = F.regexp_extract(
         "head", r"(?s)\A\s*(?:<\?.*?\?>|<!--.*?-->|\s)*<[^!?>]+>\s*(?:<!--.*?-->\s*)*<([^\s/>!?]+)", 1
     )
+    # An object too large for the head can only be a data envelope.
+    keys = F.json_object_keys("head")
+    is_object = keys.isNotNull() & ~F.array_contains(keys, "data")
     shape = (
         F.when(ext == "csv", first_line)
         .when(ext == "xml", first_child)
-        .when((ext == "json") & F.ltrim("head").startswith("{"), F.lit("object"))
+        .when((ext == "json") & is_object, F.lit("object"))
     )
     return seen.select(
         "path",
@@ -111,7 +133,9 @@ def _glob_safe(path: str) -> str:
 
 def _file_path() -> Column:
     """Path of the row's file in the form the file list uses."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    # The metadata column percent-encodes names; a plus stands for itself.
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(encoded), "^file:/+", "file:/")
 
 
 def _as_cells(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -156,10 +180,15 @@ def _read_json(spark, paths) -> DataFrame:
     )
 
 
-def _read_json_object(spark, path) -> DataFrame:
+def _read_json_objects(spark, paths) -> DataFrame:
     """One object per file as one row of dotted columns."""
-    flat = flatten(spark.read.option("multiLine", "true").json(path))
-    return _as_cells(flat.withColumn("path", F.lit(None)), flat.columns)
+    rows = flatten(
+        spark.read.option("multiLine", "true").json(paths).withColumn("path", _file_path())
+    )
+    # Columns of other files of the group are no columns of this one.
+    return _as_cells(rows, [c for c in rows.columns if c != "path"]).withColumn(
+        "cells", F.map_filter("cells", lambda _, v: v.isNotNull())
+    )
 
 
 def _read_xml(spark, paths, row_tag) -> DataFrame:
@@ -196,6 +225,8 @@ def read_cells(spark: SparkSession, inspected: DataFrame, sheet: int = 0) -> Dat
             parts.append(_read_csv(spark, paths, sep, charset))
         elif ext == "jsonl":
             parts.append(_read_jsonl(spark, paths))
+        elif ext == "json" and shape == "object":
+            parts.append(_read_json_objects(spark, paths))
         elif ext == "json":
             parts.append(_read_json(spark, paths))
         elif ext == "xml" and shape:
@@ -249,10 +280,11 @@ def ingest(
     inspected = cut_lineage(inspect(files, strict=strict))
     cells = read_cells(spark, inspected, sheet)
 
+    headers = F.transform(F.map_keys("cells"), lambda k: F.lower(k))
     ranks = {}
     for role in ROLES:
         hits = [
-            F.when(F.exists(F.map_keys("cells"), lambda k, n=n: F.lower(k) == n), F.lit(i))
+            F.when(F.array_contains(headers, n), F.lit(i))
             for i, n in enumerate(_names(role, mapping))
         ]
         ranks[role] = F.coalesce(*hits, F.lit(None).cast("int"))

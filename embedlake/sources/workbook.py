@@ -88,6 +88,7 @@ def read_workbooks(files: DataFrame, sheet: int = 0) -> DataFrame:
                                 batch = []
                 except (OSError, KeyError, IndexError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):
                     batch.append((path, None, True))
-                yield pd.DataFrame(batch, columns=["path", "cells", "malformed"])
+                if batch:
+                    yield pd.DataFrame(batch, columns=["path", "cells", "malformed"])
 
     return files.select("path").mapInPandas(run, ROW_SCHEMA)
