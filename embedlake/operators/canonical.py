@@ -106,27 +106,16 @@ def match_schema(df: DataFrame, columns: str = "columns") -> DataFrame:
     fourth column of a wide schema is not used.
     """
     schemas = [s.split() for s in ALLOWED_SCHEMAS]
-
-    def pick(choose) -> Column:
-        choice = None
-        for ordinal, schema in enumerate(schemas):
-            covered = reduce(
-                lambda a, b: a & b,
-                [F.array_contains(columns, name) for name in schema],
-            )
-            value = choose(ordinal, schema)
-            choice = F.when(covered, value) if choice is None else choice.when(covered, value)
-        return choice
-
-    ordinal = pick(lambda i, s: F.lit(i))
-    role_columns = [
-        pick(lambda i, s, k=k: F.lit(s[k] if k < len(s) else None).cast("string"))
-        for k in range(3)
-    ]
-    return df.select(
-        "*",
-        ordinal.alias("schema_ordinal"),
-        *[c.alias(f"{role}_column") for c, role in zip(role_columns, ROLES)],
+    ordinal = F.lit(None).cast("int")
+    for place, schema in reversed(list(enumerate(schemas))):
+        covered = reduce(lambda a, b: a & b, [F.array_contains(columns, n) for n in schema])
+        ordinal = F.when(covered, F.lit(place)).otherwise(ordinal)
+    # One constant row per schema; a missing third column stays null.
+    names = F.array(*[F.array(*[F.lit(n) for n in s[:3]]) for s in schemas])
+    matched = df.withColumn("schema_ordinal", ordinal)
+    chosen = F.get(names, F.col("schema_ordinal"))
+    return matched.withColumns(
+        {f"{role}_column": F.get(chosen, F.lit(k)) for k, role in enumerate(ROLES)}
     ).withColumn(
         "classification",
         F.when(F.col("negative_column").isNotNull(), "T").when(

@@ -1,6 +1,6 @@
 """Token counting, mean pooling and the model adapter.
 
-``hashed_embedding`` is a deterministic stand-in for a transformer: it has the
+``encode_hashed`` is a deterministic stand-in for a transformer: it has the
 same shape (tokenise, truncate, pool, prefix) but not a model's vectors.
 """
 
@@ -55,26 +55,33 @@ def mean_pool(
     return sums.select(*by, "n_tokens", values.alias("embedding"))
 
 
-def hashed_embedding(token_list: Column, dimensions: int = 64) -> Column:
-    """Mean of seeded token vectors in [-1, 1], computed inside the row."""
-    kept = F.slice(token_list, 1, MAX_TOKENS)
-
-    def component(i: Column) -> Column:
-        total = F.aggregate(
-            kept,
-            F.lit(0.0),
-            lambda acc, t: acc + (F.pmod(F.xxhash64(t, i), F.lit(2001)) - 1000) / F.lit(1000.0),
-        )
-        return F.try_divide(total, F.size(kept)).cast("float")
-
-    return F.transform(F.sequence(F.lit(1), F.lit(dimensions)), component)
-
+def encode_hashed(
+    df: DataFrame, text: str, key: Sequence[str], dimensions: int = 64, name: str = "embedding"
+) -> DataFrame:
+    """Mean of seeded token vectors in [-1, 1] per ``key``, a unique row id.
 
-def encode_hashed(df: DataFrame, text: str, dimensions: int = 64, name: str = "embedding") -> DataFrame:
-    """Stand-in encoder over a text column or a column of token ids."""
+    Takes a text column or a column of token ids; only texts are truncated.
+    Each token adds to one running sum per dimension, so the sums of a text
+    are combined before they are shuffled.
+    """
     is_text = df.schema[text].dataType.typeName() == "string"
-    items = tokens(F.col(text)) if is_text else F.col(text).cast("array<string>")
-    return df.withColumn(name, hashed_embedding(items, dimensions))
+    items = (
+        F.slice(tokens(F.col(text)), 1, MAX_TOKENS)
+        if is_text
+        else F.col(text).cast("array<string>")
+    )
+    rows = df.select(*key, F.explode_outer(items).alias("token"))
+    parts = [
+        F.sum(F.when(F.col("token").isNotNull(), F.pmod(F.xxhash64("token", F.lit(i)), F.lit(2001)) - 1000))
+        for i in range(1, dimensions + 1)
+    ]
+    sums = rows.groupBy(*key).agg(
+        F.count("token").alias("__n"), *[p.alias(f"__s{i}") for i, p in enumerate(parts)]
+    )
+    values = [
+        F.try_divide(F.col(f"__s{i}"), F.col("__n") * 1000.0).cast("float") for i in range(dimensions)
+    ]
+    return sums.select(*key, F.array(*values).alias(name))
 
 
 def encode_with_model(

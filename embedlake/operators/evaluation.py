@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlake.functions.vectors import cosine, prefix, squared_norm
 from embedlake.operators.ranking import exact_sample, running_total
+from embedlake.session import cut_lineage
 
 METRICS = [
     "avg_positive_similarity",
@@ -60,6 +61,32 @@ def triplet_scores(scored: DataFrame, keep: Sequence[str] = ("q_id",)) -> DataFr
     )
 
 
+def prefix_scores(
+    scored: DataFrame, runs: Mapping[str, int | None], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Scores of several models that are prefixes of the same vectors.
+
+    The vectors are joined once; every run of ``name -> dimensions`` adds a row.
+    """
+
+    def similarity(other: str, dimensions: int | None) -> Column:
+        if dimensions is None:
+            return cosine(F.col("q_vec"), F.col(f"{other}_vec"), F.col("q_sq"), F.col(f"{other}_sq"))
+        return cosine(prefix(F.col("q_vec"), dimensions), prefix(F.col(f"{other}_vec"), dimensions))
+
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("model"),
+                similarity("p", d).alias("pos_sim"),
+                similarity("n", d).alias("neg_sim"),
+            )
+            for name, d in runs.items()
+        ]
+    )
+    return scored.select(*keep, F.inline(rows))
+
+
 def score_ranks(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Average rank of each distinct score among positives and negatives."""
     by = list(by)
@@ -82,6 +109,8 @@ def score_ranks(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.coalesce(F.sum(F.when(~positive, F.col("side.raw"))), F.lit(0.0)).alias("sum_neg"),
         )
     )
+    # Ranking reads the distinct scores twice; the vector joins run once.
+    distinct = cut_lineage(distinct)
     ties = F.col("n_pos") + F.col("n_neg")
     placed = running_total(
         distinct, ties, [F.col("score")], [F.floor(F.col("score") * SCORE_CELLS)], by
@@ -107,31 +136,51 @@ def evaluate(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         )
         .filter(F.col("p") > 0)
     )
-    p, n = F.col("p").cast("double"), F.col("n").cast("double")
-    total = p + n
-    mean_rank = (total + 1) / 2
+    c = F.col
+    half = F.lit(0.5)
     # Labels have two tied groups, so their ranks are known without sorting.
-    label_pos, label_neg = n + (p + 1) / 2, (n + 1) / 2
-    rank_neg = total * mean_rank - F.col("rank_pos")
-    covariance = (
-        F.col("rank_pos") * label_pos + rank_neg * label_neg - total * mean_rank * mean_rank
+    # Each step is a projection of its own, which keeps the expressions small.
+    ranks = sums.withColumns(
+        {
+            "total": (c("p") + c("n")).cast("double"),
+            "mean_rank": (c("p") + c("n") + 1) * half,
+            "label_pos": c("n") + (c("p") + 1) * half,
+            "label_neg": (c("n") + 1) * half,
+        }
+    ).withColumns(
+        {
+            "rank_neg": c("total") * c("mean_rank") - c("rank_pos"),
+            "mean_sq": c("total") * c("mean_rank") * c("mean_rank"),
+            "gap_pos": c("label_pos") - c("mean_rank"),
+            "gap_neg": c("label_neg") - c("mean_rank"),
+        }
     )
-    label_var = p * F.pow(label_pos - mean_rank, F.lit(2)) + n * F.pow(
-        label_neg - mean_rank, F.lit(2)
+    spread = (c("p") * c("gap_pos") * c("gap_pos") + c("n") * c("gap_neg") * c("gap_neg")) * (
+        c("rank_sq") - c("mean_sq")
+    )
+    moments = ranks.select(
+        *by,
+        (c("sum_pos") / c("p")).alias("avg_positive_similarity"),
+        (c("sum_neg") / c("n")).alias("avg_negative_similarity"),
+        (c("rank_pos") * c("label_pos") + c("rank_neg") * c("label_neg") - c("mean_sq")).alias(
+            "covariance"
+        ),
+        F.sqrt(spread).alias("spread"),
+        "distinct_scores",
+        c("p").alias("num_samples"),
     )
-    score_var = F.col("rank_sq") - total * mean_rank * mean_rank
-    correlation = F.when(F.col("distinct_scores") <= 1, F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(covariance, F.sqrt(label_var * score_var)), F.lit(0.0))
+    correlation = F.when(c("distinct_scores") <= 1, F.lit(0.0)).otherwise(
+        F.nanvl(F.coalesce(F.try_divide("covariance", "spread"), F.lit(0.0)), F.lit(0.0))
     )
-    avg_pos = F.col("sum_pos") / p
-    avg_neg = F.col("sum_neg") / n
-    return sums.select(
+    return moments.select(
         *by,
-        avg_pos.alias("avg_positive_similarity"),
-        avg_neg.alias("avg_negative_similarity"),
-        similarity_ratio(avg_pos, avg_neg).alias("similarity_ratio"),
-        F.nanvl(correlation, F.lit(0.0)).alias("spearman_correlation"),
-        F.col("p").alias("num_samples"),
+        "avg_positive_similarity",
+        "avg_negative_similarity",
+        similarity_ratio(c("avg_positive_similarity"), c("avg_negative_similarity")).alias(
+            "similarity_ratio"
+        ),
+        correlation.alias("spearman_correlation"),
+        "num_samples",
     ).withColumn("valid", metrics_valid())
 
 

@@ -25,8 +25,12 @@ def radix_levels(key: Column) -> list[Column]:
 
 
 def time_levels(ts: Column) -> list[Column]:
-    """Day and second cells; a second holds 10^6 distinct microseconds at most."""
-    return [F.date_trunc("day", ts), F.date_trunc("second", ts)]
+    """Cells for distinct instants: about 19 hours, then about one second.
+
+    A finest cell holds 2^20 microseconds, a parent 2^16 of these.
+    """
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return [F.shiftright(micros, 36), F.shiftright(micros, 20)]
 
 
 def running_total(
@@ -39,12 +43,17 @@ def running_total(
 ) -> DataFrame:
     """Add the total of ``value`` over all earlier rows of the same group.
 
-    ``levels`` must not decrease along ``order`` and, like ``by``, must not be
-    null. Keep ``df`` narrow: its rows move once.
+    ``levels`` must not decrease along ``order``. A row with a null group or
+    order key has no place and is left out. Keep ``df`` narrow: its rows move
+    once.
     """
     by = list(by)
     cells = [f"__cell{i}" for i in range(len(levels))]
     rows = df.withColumns({**dict(zip(cells, levels)), "__value": value})
+    # Said here once, the joins below add no filters of their own, and Spark
+    # reuses the shuffled cell totals for every level.
+    for name_ in by + cells:
+        rows = rows.filter(F.col(name_).isNotNull())
     totals = rows.groupBy(*by, *cells).agg(F.sum("__value").alias("__total"))
 
     offsets = None

@@ -175,37 +175,46 @@ def optimistic_update(
     twice: one lazy round is then enough. A null field keeps the stored value.
     """
     fields = list(fields)
-    state = current.select(key, version, *fields, F.lit(None).cast("bigint").alias("__last"))
-    pending = updates.select(key, expected, F.col(sequence).cast("bigint"), *fields)
-    applied: list[DataFrame] = []
+    pending = updates.select(key, F.col(expected).alias("__exp"), F.col(sequence).alias("__seq"))
+    # The rounds carry ids and versions of updated rows only, and a row that
+    # did not move in one round cannot move in the next.
+    moving = current.select(key, F.col(version).alias("__ver"), F.lit(None).alias("__last")).join(
+        pending.select(key).distinct(), key, "left_semi"
+    )
+    steps: list[DataFrame] = []
     while True:
-        due = pending.join(state.select(key, version, "__last"), key).filter(
-            (F.col(expected) == F.col(version))
-            & (F.col("__last").isNull() | (F.col(sequence) > F.col("__last")))
+        due = pending.join(moving, key).filter(
+            (F.col("__exp") == F.col("__ver"))
+            & (F.col("__last").isNull() | (F.col("__seq") > F.col("__last")))
         )
-        step = due.groupBy(key).agg(
-            F.min_by(F.struct(sequence, *fields), sequence).alias("__win")
+        moving = due.groupBy(key).agg(
+            (F.max("__ver") + 1).alias("__ver"), F.min("__seq").alias("__last")
         )
         if chained:
-            step = cut_lineage(step)
-            if applied and step.isEmpty():
+            moving = cut_lineage(moving)
+            if steps and moving.isEmpty():
                 break
-        applied.append(step.select(key, F.col(f"__win.{sequence}").alias(sequence)))
-        state = state.join(step, key, "left").select(
-            key,
-            (F.col(version) + F.col("__win").isNotNull().cast("int")).alias(version),
-            *[F.coalesce(f"__win.{f}", f).alias(f) for f in fields],
-            F.coalesce(f"__win.{sequence}", "__last").alias("__last"),
-        )
+        steps.append(moving.select(key, F.col("__last").alias(sequence)))
         if not chained:
             break
-        state = cut_lineage(state)
 
-    winners = reduce(DataFrame.unionByName, applied).withColumn("__applied", F.lit(True))
-    known = current.select(key).withColumn("__known", F.lit(True))
+    winners = reduce(DataFrame.unionByName, steps)
+    applied = updates.join(winners, [key, sequence]).groupBy(key).agg(
+        F.count("*").cast("int").alias("__steps"),
+        *[
+            F.max_by(f, F.when(F.col(f).isNotNull(), F.col(sequence))).alias(f"__{f}")
+            for f in fields
+        ],
+    )
+    snapshot = current.join(applied, key, "left").select(
+        *[c for c in current.columns if c not in (version, *fields)],
+        (F.col(version) + F.coalesce("__steps", F.lit(0))).alias(version),
+        *[F.coalesce(f"__{f}", f).alias(f) for f in fields],
+    )
+    known = current.select(key, F.lit(True).alias("__known"))
     outcomes = (
         updates.join(known, key, "left")
-        .join(winners, [key, sequence], "left")
+        .join(winners.withColumn("__applied", F.lit(True)), [key, sequence], "left")
         .withColumn(
             "outcome",
             F.when(F.col("__known").isNull(), F.lit(OUTCOME_MISSING))
@@ -214,7 +223,7 @@ def optimistic_update(
         )
         .drop("__known", "__applied")
     )
-    return outcomes, state.drop("__last")
+    return outcomes, snapshot.select(*current.columns)
 
 
 def latest_versions(log: DataFrame, key: str = "id", version: str = "version") -> DataFrame:

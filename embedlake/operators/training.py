@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from embedlake.operators.canonical import ROLES, valid_triplet
 from embedlake.operators.ranking import row_position
+from embedlake.session import cut_lineage
 
 VALIDATION_SHARE = 0.1
 EDGE_SPACE = r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$"
@@ -58,6 +59,8 @@ def split_by_position(
     triplet take neighbouring positions, so a cut may separate them.
     """
     by = list(by)
+    # The keys are read three times; whatever selects them runs once.
+    keys = cut_lineage(keys)
     placed = row_position(keys, order, levels, by, name="__triplet")
     sizes = keys.groupBy(*by).agg((F.count("*") * rows_per_key).alias("n_examples"))
     slots = F.explode(F.sequence(F.lit(0), F.lit(rows_per_key - 1)))

@@ -74,12 +74,8 @@ def rounded_metrics(df: DataFrame) -> DataFrame:
 def both_models(t: Tables) -> DataFrame:
     """Metrics of the full vectors (trained) and of their prefix (baseline)."""
     joined = ev.attach_vectors(vector_triplets(t), t.embeddings)
-    short = ev.attach_vectors(vector_triplets(t), t.embeddings, BASELINE_DIMENSIONS)
-    runs = [
-        ev.triplet_scores(side).withColumn("model", F.lit(model))
-        for model, side in [("trained", joined), ("baseline", short)]
-    ]
-    return ev.evaluate(runs[0].unionByName(runs[1]), ["model"])
+    runs = {"trained": None, "baseline": BASELINE_DIMENSIONS}
+    return ev.evaluate(ev.prefix_scores(joined, runs), ["model"])
 
 
 _BOTH_SQL = (
@@ -257,6 +253,4 @@ def token_usage(t: Tables) -> DataFrame:
 @query()
 def hashed_embeddings(t: Tables) -> DataFrame:
     """Stand-in encoder over every document; hash values have no SQL twin."""
-    return encoder.encode_hashed(t.documents.select("doc_id", "text"), "text", 16).select(
-        "doc_id", "embedding"
-    )
+    return encoder.encode_hashed(t.documents, "text", ["doc_id"], 16)

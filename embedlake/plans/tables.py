@@ -35,17 +35,24 @@ def vector_triplets(t: Tables) -> DataFrame:
         radix_levels(F.col("vec_id")),
         by=["label"],
     )
-    question = ids.select(F.col("vec_id").alias("q_id"), "label", "position")
-    positive = ids.select(
-        F.col("vec_id").alias("p_id"), "label", (F.col("position") - 1).alias("position")
-    )
-    negative = ids.select(
-        F.col("vec_id").alias("n_id"),
-        ((F.col("label") + 9) % 10).alias("label"),
-        "position",
+    # A vector is a question at its own place, the positive of the place before
+    # and the negative of the preceding label: one shuffle brings them together.
+    label, place = F.col("label"), F.col("position")
+    roles = F.inline(
+        F.array(
+            F.struct(F.lit("q").alias("role"), label.alias("at_label"), place.alias("at")),
+            F.struct(F.lit("p").alias("role"), label.alias("at_label"), (place - 1).alias("at")),
+            F.struct(F.lit("n").alias("role"), ((label + 9) % 10).alias("at_label"), place.alias("at")),
+        )
+    )
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("vec_id")))
+    return (
+        ids.select("vec_id", roles)
+        .groupBy(F.col("at_label").alias("label"), "at")
+        .agg(of("q").alias("q_id"), of("p").alias("p_id"), of("n").alias("n_id"))
+        .filter("q_id is not null and p_id is not null and n_id is not null")
+        .select("q_id", "p_id", "n_id", "label")
     )
-    keys = ["label", "position"]
-    return question.join(positive, keys).join(negative, keys).select("q_id", "p_id", "n_id", "label")
 
 
 def text_triplets(t: Tables) -> DataFrame:

@@ -161,10 +161,12 @@ def test_encoders(spark):
     df = spark.createDataFrame([("a b",), ("a b " + "c " * 500,), ("",)], "t string")
     counts = encoder.token_usage(df, "t").first()
     assert (counts.n_inputs, counts.prompt_tokens, counts.untruncated_tokens) == (3, 130, 504)
-    vectors = [r.embedding for r in encoder.encode_hashed(df, "t", 10).collect()]
-    assert len(vectors[0]) == 10 and all(-1 <= x <= 1 for x in vectors[0])
-    ids = spark.createDataFrame([([1, 2],), ([3],)], "t array<int>")
-    assert all(len(r.embedding) == 4 for r in encoder.encode_hashed(ids, "t", 4).collect())
+    keyed = df.withColumn("k", F.length("t"))
+    vectors = {r.k: r.embedding for r in encoder.encode_hashed(keyed, "t", ["k"], 10).collect()}
+    assert len(vectors[3]) == 10 and all(-1 <= x <= 1 for x in vectors[3])
+    assert vectors[0] == [None] * 10 and len(vectors) == 3
+    ids = spark.createDataFrame([(1, [1, 2]), (2, [3])], "k int, t array<int>")
+    assert all(len(r.embedding) == 4 for r in encoder.encode_hashed(ids, "t", ["k"], 4).collect())
     adapted = encoder.encode_with_model(df, "t", lambda: lambda texts: [[len(x), 1] for x in texts])
     assert [r.embedding for r in adapted.collect()][0] == [3.0, 1.0]
 
