@@ -109,6 +109,15 @@ def sanitized_name(path: Column, allowed: list[str] = DATASET_EXTENSIONS) -> dic
     }
 
 
+def training_file_error(path: Column, length: Column) -> Column:
+    """Why a stored file cannot be trained on, null when it can."""
+    return (
+        F.when(length.isNull(), F.lit("file_not_found"))
+        .when(length == 0, F.lit("empty_file"))
+        .when(~extension(base_name(path)).isin(TRAINING_EXTENSIONS), F.lit("unsupported_format"))
+    )
+
+
 def safe_model_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^\p{L}\p{N}]", "_")
 

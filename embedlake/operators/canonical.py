@@ -195,6 +195,11 @@ def validation_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(*counts).withColumn("error", error)
 
 
+def missing_columns(columns: Sequence[str]) -> list[str]:
+    """Required triplet columns that a stored dataset lacks; case matters here."""
+    return [role for role in ROLES if role not in columns]
+
+
 def require_valid(df: DataFrame) -> DataFrame:
     """The rows themselves, failing the job at the first invalid one."""
     problem = F.raise_error(F.lit("triplet with a null or blank value"))

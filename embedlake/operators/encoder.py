@@ -6,6 +6,7 @@ same shape (tokenise, truncate, pool, prefix) but not a model's vectors.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -84,24 +85,42 @@ def encode_hashed(
     return sums.select(*key, F.array(*values).alias(name))
 
 
+Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
+
+LOADED_MODELS = 10
+_loaded: OrderedDict[str, Encoder] = OrderedDict()
+
+
+def loaded_model(tag: str, load: Callable[[str], Encoder]) -> Encoder:
+    """Model of this worker process; the ten last used stay loaded."""
+    if tag not in _loaded:
+        _loaded[tag] = load(tag)
+    _loaded.move_to_end(tag)
+    while len(_loaded) > LOADED_MODELS:
+        _loaded.popitem(last=False)
+    return _loaded[tag]
+
+
 def encode_with_model(
     df: DataFrame,
     text: str,
-    load_model: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]],
+    tag: str,
+    load: Callable[[str], Encoder],
     name: str = "embedding",
     batch_size: int = 256,
 ) -> DataFrame:
-    """Embed with a user's model, loaded once per task and fed Arrow batches."""
+    """Embed with a user's model, kept per worker and fed Arrow batches."""
     vector = T.StructField(name, T.ArrayType(T.FloatType()))
     schema = T.StructType([*df.schema.fields, vector])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = load_model()
+        encode = loaded_model(tag, load)
         for frame in frames:
             vectors: list = []
             for start in range(0, len(frame), batch_size):
                 part = frame[text].iloc[start : start + batch_size]
                 vectors.extend(list(map(float, v)) for v in encode(part.tolist()))
-            yield frame.assign(**{name: vectors})
+            if vectors:
+                yield frame.assign(**{name: vectors})
 
     return df.mapInPandas(run, schema)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedlake.functions.text import is_uuid
+from embedlake.functions.text import is_uuid, safe_model_name
 from embedlake.operators.ranking import row_position
 from embedlake.session import cut_lineage
 
@@ -94,6 +94,17 @@ def duplicate_guard(
     )
 
 
+def new_and_existing(
+    found: DataFrame, registry: DataFrame, tag: str, registered: str
+) -> DataFrame:
+    """Candidates with their safe tag and whether the registry has it already."""
+    tagged = found.withColumn("safe_tag", safe_model_name(F.col(tag)))
+    known = registry.select(F.col(registered).alias("safe_tag")).distinct()
+    return tagged.join(known.withColumn("exists", F.lit(True)), "safe_tag", "left").withColumn(
+        "exists", F.coalesce("exists", F.lit(False))
+    )
+
+
 def resolve_evaluation_dataset(
     requests: DataFrame, datasets: DataFrame, tasks: DataFrame, folder: str = "data/datasets"
 ) -> DataFrame:
@@ -238,37 +249,39 @@ def lineage(
 ) -> DataFrame:
     """Root and depth of every model by pointer doubling.
 
-    Each round joins every open pointer with its target's pointer, so a chain
-    of length n needs log2(n) rounds; finished rows leave the loop.
+    Each round replaces the pointer of every open row by its target's pointer,
+    so a chain of length n needs log2(n) rounds. A row is done, and no longer
+    joined, once it points at a root; a parent that is not registered counts
+    as one.
     """
+    is_root = F.col(parent).isNull()
     state = cut_lineage(
         models.select(
             F.col(key),
             F.coalesce(parent, key).alias("__ptr"),
-            F.col(parent).isNotNull().cast("bigint").alias("depth"),
+            F.when(is_root, 0).otherwise(1).cast("bigint").alias("depth"),
+            is_root.alias("__done"),
         )
     )
     rounds = 0
-    while True:
+    while not state.filter("not __done").isEmpty():
+        if 2**rounds > 2 * max_depth:
+            raise ValueError(f"lineage is cyclic or deeper than {max_depth}")
         target = state.select(
             F.col(key).alias("__ptr"),
             F.col("__ptr").alias("__next"),
             F.col("depth").alias("__hops"),
+            F.col("__done").alias("__end"),
         )
-        # An unknown parent is a root that is not registered.
-        stepped = state.join(target, "__ptr", "left").select(
+        moved = state.filter("not __done").join(target, "__ptr", "left").select(
             key,
             F.coalesce("__next", "__ptr").alias("__ptr"),
             (F.col("depth") + F.coalesce("__hops", F.lit(0))).alias("depth"),
-            (F.coalesce("__hops", F.lit(0)) > 0).alias("__moved"),
+            F.coalesce("__end", F.lit(True)).alias("__done"),
         )
-        stepped = cut_lineage(stepped)
-        state = stepped.drop("__moved")
+        state = cut_lineage(state.filter("__done").unionByName(moved))
         rounds += 1
-        if stepped.filter("__moved").isEmpty():
-            return state.withColumnRenamed("__ptr", "root_id")
-        if 2**rounds > 2 * max_depth:
-            raise ValueError(f"lineage is cyclic or deeper than {max_depth}")
+    return state.select(key, F.col("__ptr").alias("root_id"), "depth")
 
 
 SORTED_PAGE_LIMIT = 100_000

@@ -63,6 +63,13 @@ DATASET_TEMPLATES = [
 UNREADABLE_ROWS = 3
 
 
+def request_error(n_files: Column, dataset_id: Column) -> Column:
+    """A synthesis request needs files or an existing dataset."""
+    return F.when(
+        (F.coalesce(n_files, F.lit(0)) == 0) & dataset_id.isNull(), F.lit("nothing_given")
+    )
+
+
 def _rows(templates, fields: dict[str, Column], names) -> Column:
     def fill(text: str) -> Column:
         out = F.lit(text)

@@ -208,6 +208,27 @@ def duplicate_guard(t: Tables) -> DataFrame:
     return rg.duplicate_guard(requests, hub, running).select("request_id", "tag", "verdict")
 
 
+@query(
+    r"""WITH found AS (
+  SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[/?#].*$', '') AS model_dir FROM pages),
+registered AS (
+  SELECT DISTINCT replace(replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[/?#].*$', ''),
+    '.', '_'), '-', '_') AS tag FROM pages WHERE starts_with(url, 'https'))
+SELECT model_dir, regexp_replace(model_dir, '[^\p{L}\p{N}]', '_', 'g') AS safe_tag,
+  regexp_replace(model_dir, '[^\p{L}\p{N}]', '_', 'g') IN (SELECT tag FROM registered) AS exists
+FROM found"""
+)
+def archive_model_guard(t: Tables) -> DataFrame:
+    """Hosts as models of an archive; those seen over https are registered."""
+    host = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[/?#].*$", "")
+    found = t.pages.select(host.alias("model_dir")).distinct()
+    secure = t.pages.filter(F.startswith("url", F.lit("https")))
+    registry = secure.select(tx.safe_model_name(host).alias("model_tag"))
+    return rg.new_and_existing(found, registry, "model_dir", "model_tag").select(
+        "model_dir", "safe_tag", "exists"
+    )
+
+
 @query(
     """SELECT 'model' AS kind, s_suppkey AS id, 1::BIGINT AS n FROM supplier WHERE s_acctbal >= 0
 UNION ALL

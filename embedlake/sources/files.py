@@ -263,6 +263,21 @@ class Ingested:
         )
 
 
+class FileRejected(ValueError):
+    """The only file of an upload was refused."""
+
+
+def require_single(result: Ingested) -> Ingested:
+    """Fail when the upload is one file and that file was refused.
+
+    With several files the good ones count and the others are listed.
+    """
+    verdicts = result.files.select("path", "error", "detail").limit(2).collect()
+    if len(verdicts) == 1 and verdicts[0]["error"]:
+        raise FileRejected(": ".join(filter(None, verdicts[0])))
+    return result
+
+
 def ingest(
     spark: SparkSession,
     files: DataFrame,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embedlake.operators.canonical import ROLES
+from embedlake.sources.remote import filesystem
 
 TRIPLET_SCHEMA = "question string, positive string, negative string"
 
@@ -64,3 +66,16 @@ def write_canonical(df: DataFrame, path: str, mode: str = "errorifexists") -> in
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Any frame as JSON lines, UTF-8 unescaped and nulls written."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def delete_stored(path: str) -> bool:
+    """Remove a stored dataset; False when there is none."""
+    system, name = filesystem(path)
+    kind = system.get_file_info(name).type
+    if kind == FileType.NotFound:
+        return False
+    if kind == FileType.Directory:
+        system.delete_dir(name)
+    else:
+        system.delete_file(name)
+    return True

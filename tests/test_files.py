@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from embedlake.operators.archives import archive_limits
 from embedlake.sources import archives, jsonl
-from embedlake.sources.files import ingest, inspect, list_files, scan_subsets
+from embedlake.sources.files import FileRejected, ingest, inspect, list_files, require_single, scan_subsets
 from embedlake.streaming.ingest import watch_folder
 
 ROWS = [
@@ -187,6 +187,14 @@ def test_explicit_mapping(spark, folder):
     assert {(r.question, r.positive) for r in result.rows.collect()} == {("1", "a"), ("2", "c")}
 
 
+def test_single_failure_raises(spark, folder):
+    one = ingest(spark, list_files(spark, str(folder / "wrong.csv")))
+    with pytest.raises(FileRejected, match="missing_column: positive"):
+        require_single(one)
+    two = ingest(spark, list_files(spark, str(folder / "wrong.csv"), str(folder / "tab.csv")))
+    assert require_single(two) is two
+
+
 def test_object_json_is_flattened(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"question": "a", "meta": {"answer": "b"}}))
     files = list_files(spark, str(tmp_path))
@@ -240,6 +248,7 @@ def test_canonical_sink_round_trip(spark, tmp_path):
     assert all(" " not in line and " " not in line for line in lines)
     assert any('"negative":null' in line for line in lines)
     assert sorted(jsonl.read_triplets(spark, out).collect()) == sorted(df.collect())
+    assert jsonl.delete_stored(out) and not jsonl.delete_stored(out)
 
 
 def test_plain_json_sink(spark, tmp_path):

@@ -167,10 +167,17 @@ def test_encoders(spark):
     assert vectors[0] == [None] * 10 and len(vectors) == 3
     ids = spark.createDataFrame([(1, [1, 2]), (2, [3])], "k int, t array<int>")
     assert all(len(r.embedding) == 4 for r in encoder.encode_hashed(ids, "t", ["k"], 4).collect())
-    adapted = encoder.encode_with_model(df, "t", lambda: lambda texts: [[len(x), 1] for x in texts])
+    adapted = encoder.encode_with_model(df, "t", "m", lambda tag: lambda texts: [[len(x), 1] for x in texts])
     assert [r.embedding for r in adapted.collect()][0] == [3.0, 1.0]
 
 
+def test_model_cache_keeps_ten():
+    loads = []
+    for tag in [*"abcdefghij", "a", "k", "b", "a"]:
+        encoder.loaded_model("cache-" + tag, lambda t: loads.append(t) or t)
+    assert loads == ["cache-" + t for t in [*"abcdefghij", "k", "b"]]
+
+
 # ---- text --------------------------------------------------------------------
 
 
@@ -343,6 +350,20 @@ def test_lineage_depths_and_cycles(spark):
         rg.lineage(loop, max_depth=16)
 
 
+def test_model_guard_and_requests(spark):
+    found = spark.createDataFrame([("a/b",), ("new model",)], "dir string")
+    registry = spark.createDataFrame([("a_b",)], "model_tag string")
+    got = {r.safe_tag: r.exists for r in rg.new_and_existing(found, registry, "dir", "model_tag").collect()}
+    assert got == {"a_b": True, "new_model": False}
+    df = spark.createDataFrame([(0, None), (2, None), (None, "d")], "n int, d string")
+    got = [r.e for r in df.select(sy.request_error(F.col("n"), F.col("d")).alias("e")).collect()]
+    assert got == ["nothing_given", None, None]
+    df = spark.createDataFrame([("a.csv", None), ("a.tsv", 0), ("a.json", 5), ("a.JSONL", 5)], "p string, n int")
+    got = [r.e for r in df.select(tx.training_file_error(F.col("p"), F.col("n")).alias("e")).collect()]
+    assert got == ["file_not_found", "empty_file", "unsupported_format", None]
+    assert cn.missing_columns(["Question", "positive"]) == ["question", "negative"]
+
+
 def test_prefix_guard(spark):
     req = spark.createDataFrame([(1, "org/a"), (2, "org/b"), (3, "run"), (4, "org/abcd"), (5, "%_")], "r int, tag string")
     reg = spark.createDataFrame([("org/a_train",), ("org/abc",), ("x",)], "name string")
