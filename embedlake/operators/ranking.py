@@ -104,7 +104,9 @@ def row_position(
     return running_total(df, F.lit(1).cast("bigint"), order, levels, by, name)
 
 
-SORTED_SAMPLE_LIMIT = 100_000
+# Digest characters that name a cell: 16^3 counts come back per level.
+CELL_CHARS = 3
+SORTED_CELL_ROWS = 100_000
 
 
 def exact_sample(
@@ -113,16 +115,36 @@ def exact_sample(
     """Seeded sample of exactly ``n`` rows (all rows when there are fewer).
 
     ``key`` identifies a row. The choice depends on keys and seed only, not on
-    partitioning. Small samples are a top-n; larger ones go by position so no
-    single task sorts them.
+    partitioning. Counting digest prefixes finds the cell that holds the n-th
+    smallest digest, level by level; sorting that one cell gives the last row
+    of the sample, and the sample itself is a filter: no row is shuffled.
+    ``df`` is read once per step, so materialise an expensive one first.
     """
-    parts = [F.lit(str(seed)), *[F.col(k).cast("string") for k in key]]
-    digest = F.md5(F.concat_ws(":", *parts))
-    if n <= SORTED_SAMPLE_LIMIT:
-        return df.orderBy(digest, *key).limit(n)
-    hashed = df.withColumn("__digest", digest)
-    levels = [F.substring("__digest", 1, 3), F.substring("__digest", 1, 6)]
-    placed = row_position(
-        hashed, [F.col("__digest"), *map(F.col, key)], levels, name="__place"
-    )
-    return placed.filter(F.col("__place") < n).drop("__place", "__digest")
+    if n <= 0:
+        return df.limit(0)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    hashed = df.select(*key, digest.alias("__digest"))
+    rest, prefix, chars = n, "", 0
+    while True:
+        chars += CELL_CHARS
+        cell = F.substring("__digest", 1, chars)
+        inside = hashed.filter(F.startswith("__digest", F.lit(prefix)))
+        counts = dict(inside.groupBy(cell.alias("cell")).count().collect())
+        size = 0
+        for name in sorted(counts):
+            size = counts[name]
+            if rest <= size:
+                prefix = name
+                break
+            rest -= size
+        else:
+            return df
+        if size <= SORTED_CELL_ROWS or chars >= 30:
+            break
+    order = ["__digest", *key]
+    cut = hashed.filter(F.startswith("__digest", F.lit(prefix))).orderBy(*order)
+    last = cut.offset(rest - 1).limit(1).first()
+    types = dict(hashed.dtypes)
+    bound = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order])
+    place = F.struct(digest.alias("__digest"), *key)
+    return df.filter(place <= bound)

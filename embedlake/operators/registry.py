@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedlake.functions.text import is_uuid, safe_model_name
-from embedlake.operators.ranking import row_position
+from embedlake.operators.ranking import radix_levels, row_position
 from embedlake.session import cut_lineage
 
 
@@ -284,7 +284,8 @@ def lineage(
     return state.select(key, F.col("__ptr").alias("root_id"), "depth")
 
 
-SORTED_PAGE_LIMIT = 100_000
+# Every task keeps this many rows of a near page at most.
+SORTED_PAGE_LIMIT = 10_000
 
 
 def page_by_offset(
@@ -300,8 +301,7 @@ def page_by_offset(
         page = registry.orderBy(key).offset(offset).limit(limit)
     else:
         k = F.col(key).cast("bigint")
-        levels = [F.shiftright(k, 40), F.shiftright(k, 20)]
-        placed = row_position(registry.select(key), [F.col(key)], levels)
+        placed = row_position(registry.select(key), [F.col(key)], radix_levels(k))
         wanted = placed.filter(F.col("position").between(offset, offset + limit - 1))
         page = registry.join(wanted.select(key), key, "left_semi")
     return page.withColumn("total", total)

@@ -73,10 +73,28 @@ def task_feed(
     return feed
 
 
-def newest_first(feed: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Newest tasks first; the id breaks ties."""
+def newest_first(
+    feed: DataFrame,
+    limit: int | None = None,
+    offset: int = 0,
+    after: tuple | None = None,
+) -> DataFrame:
+    """Newest tasks first; task type and id break ties.
+
+    ``after`` is the ``(created_at, task_type, id)`` of the last row seen: the
+    cheap way to reach far pages, where an offset sorts all it skips.
+    """
     if limit is not None and not 1 <= limit <= 100:
         raise ValueError("limit is 1 to 100")
+    if after is not None:
+        created, task_type, task_id = map(F.lit, after)
+        feed = feed.filter(
+            (F.col("created_at") < created)
+            | (
+                (F.col("created_at") == created)
+                & (F.struct("task_type", "id") > F.struct(task_type, task_id))
+            )
+        )
     ordered = feed.orderBy(F.desc("created_at"), "task_type", "id")
     ordered = ordered.offset(offset) if offset else ordered
     return ordered if limit is None else ordered.limit(limit)

@@ -9,6 +9,7 @@ from embedlake.functions.vectors import prefix
 from embedlake.operators import encoder, evaluation as ev
 from embedlake.plans.catalog import query
 from embedlake.plans.tables import Tables, vector_triplets
+from embedlake.session import cut_lineage
 
 BASELINE_DIMENSIONS = 16
 
@@ -236,7 +237,7 @@ SELECT q_id FROM triplets ORDER BY md5('42:' || q_id), q_id LIMIT 250"""
 )
 def eval_sample(t: Tables) -> DataFrame:
     """The sampling operator: exactly 250 triplets, seeded."""
-    return ev.sample(vector_triplets(t), 250).select("q_id")
+    return ev.sample(cut_lineage(vector_triplets(t).select("q_id")), 250)
 
 
 @query(

@@ -46,6 +46,8 @@ def daily_usage(usage: DataFrame, lateness: str | None = "1 day") -> DataFrame:
 
 
 LOG_SCHEMA = "message string, time string, level string"
+# Labels every parsed line gets.
+LOG_LABELS = {"application": "fastapi", "source": "fastapi"}
 
 
 def parse_logs(lines: DataFrame, received: Column | None = None) -> DataFrame:
@@ -58,8 +60,7 @@ def parse_logs(lines: DataFrame, received: Column | None = None) -> DataFrame:
     return lines.withColumn("record", record).select(
         *[c for c in lines.columns if c != "value"],
         F.coalesce(parsed, received if received is not None else F.current_timestamp()).alias("ts"),
-        F.lit("fastapi").alias("application"),
-        F.lit("fastapi").alias("source"),
+        *[F.lit(value).alias(label) for label, value in LOG_LABELS.items()],
         F.coalesce("record.message", "value").alias("message"),
     )
 

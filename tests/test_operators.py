@@ -1,5 +1,6 @@
 """Operators on small frames against independent plain-Python results."""
 
+import hashlib
 import math
 import random
 
@@ -50,15 +51,25 @@ def test_row_position_without_groups(spark):
     assert [r.position for r in got.orderBy("k").collect()] == list(range(50))
 
 
-def test_samples_agree_and_are_exact(spark, monkeypatch):
+def brute_sample(ids, n, seed=42):
+    return set(sorted(ids, key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))[:n])
+
+
+@pytest.mark.parametrize("cell_rows", [100_000, 3])
+def test_samples_are_exact(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(rk, "CELL_CHARS", 1)
+    monkeypatch.setattr(rk, "SORTED_CELL_ROWS", cell_rows)
     df = spark.range(1000).withColumnRenamed("id", "q_id")
-    top = {r.q_id for r in ev.sample(df, 100).collect()}
-    monkeypatch.setattr(rk, "SORTED_SAMPLE_LIMIT", 10)
-    placed = {r.q_id for r in ev.sample(df.repartition(7), 100).collect()}
-    assert top == placed and len(top) == 100
-    assert ev.sample(df, 5000).count() == 1000
+    for n in [0, 1, 100, 999, 1000, 5000]:
+        got = {r.q_id for r in ev.sample(df.repartition(7), n).collect()} if n else set()
+        assert got == brute_sample(range(1000), n), n
     assert ev.sample(df, None).count() == 1000
-    assert {r.q_id for r in ev.sample(df, 100, seed=7).collect()} != top
+    assert {r.q_id for r in ev.sample(df, 100, seed=7).collect()} == brute_sample(range(1000), 100, 7)
+
+
+def test_samples_keep_rows_with_equal_keys_apart(spark):
+    df = spark.createDataFrame([(i % 2, i) for i in range(20)], "a int, b int")
+    assert rk.exact_sample(df, 7, ["a", "b"]).count() == 7
 
 
 # ---- vectors and evaluation --------------------------------------------------
@@ -398,6 +409,7 @@ def test_feed_window_and_order(spark):
     feed = tk.task_feed(tables, now, 48, task_types=["synthesis"])
     assert [r.id for r in tk.newest_first(feed).collect()] == [4, 3, 1]
     assert [r.id for r in tk.newest_first(feed, 1, 1).collect()] == [3]
+    assert [r.id for r in tk.newest_first(feed, after=(day(3), "synthesis", 3)).collect()] == [1]
     assert {r.tag for r in feed.collect()} == {None}
     with pytest.raises(ValueError):
         tk.newest_first(feed, 101)
