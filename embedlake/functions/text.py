@@ -29,19 +29,22 @@ BYTE_UNITS = [("GB", 1024**3), ("MB", 1024**2), ("KB", 1024)]
 
 
 def occurrences(text: Column, token: str) -> Column:
-    """How often a one-character token occurs."""
-    return F.length(text) - F.length(F.replace(text, F.lit(token), F.lit("")))
+    """How often a one-byte token occurs; byte lengths need no decoding."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(token), F.lit("")))
 
 
 def delimiter(text: Column, sample_chars: int | None = DELIMITER_SAMPLE_CHARS) -> Column:
     """Most frequent delimiter of the leading sample, first listed on ties."""
     sample = text if sample_chars is None else F.substring(text, 1, sample_chars)
-    counts = [occurrences(sample, d) for d in DELIMITERS]
-    best = F.greatest(*counts)
-    choice = F.when(best == 0, F.lit(DEFAULT_DELIMITER))
-    for token, count in zip(DELIMITERS, counts):
-        choice = choice.when(count == best, F.lit(token))
-    return F.coalesce(choice, F.lit(DEFAULT_DELIMITER))
+    # Count and place in one number: each count is computed once.
+    n = len(DELIMITERS)
+    best = F.greatest(
+        *[occurrences(sample, d) * n + (n - 1 - i) for i, d in enumerate(DELIMITERS)]
+    )
+    # Below n nothing was counted.
+    choices = F.array(*map(F.lit, [DEFAULT_DELIMITER, *reversed(DELIMITERS)]))
+    place = F.when(best >= n, best % n + 1).otherwise(F.lit(0))
+    return F.coalesce(F.get(choices, place), F.lit(DEFAULT_DELIMITER))
 
 
 def content_verdict(

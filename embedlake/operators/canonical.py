@@ -161,9 +161,15 @@ def cell_violations(
     )
 
 
+# All Unicode white space, as a regex character list.
+WHITE_SPACE = (
+    r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def is_blank(cell: Column) -> Column:
     """True for text without a visible character."""
-    return ~cell.cast("string").rlike(r"[^\s\x1c-\x1f\x85\xa0]")
+    return ~cell.cast("string").rlike(f"[^{WHITE_SPACE}]")
 
 
 def valid_triplet(columns: Sequence[str] = ROLES) -> Column:

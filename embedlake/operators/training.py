@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embedlake.operators.canonical import ROLES, valid_triplet
+from embedlake.operators.canonical import ROLES, WHITE_SPACE, valid_triplet
 from embedlake.operators.ranking import row_position
 from embedlake.session import cut_lineage
 
 VALIDATION_SHARE = 0.1
-EDGE_SPACE = r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$"
+EDGE_SPACE = f"\\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\\z"
 
 
 def usable_triplets(triplets: DataFrame) -> DataFrame:
@@ -81,10 +81,11 @@ def split_by_position(
 
 def hash_split(df: DataFrame, key: Sequence[str], share: float = VALIDATION_SHARE) -> DataFrame:
     """Shuffle-free split: a stable hash of the key decides, whole triplets move."""
-    bucket = F.pmod(F.xxhash64(*key), F.lit(1_000_000))
+    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
+    bound = f"{round(share * 16**8):08x}"
     return df.withColumn(
         "split",
-        F.when(bucket < int(share * 1_000_000), F.lit("validation")).otherwise(F.lit("train")),
+        F.when(F.substring(digest, 1, 8) < bound, F.lit("validation")).otherwise(F.lit("train")),
     )
 
 

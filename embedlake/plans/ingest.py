@@ -287,8 +287,7 @@ FROM counted"""
 def ingest_outcome(t: Tables) -> DataFrame:
     """Documents are the files, their source is the upload task."""
     kind = F.when((F.col("lang") != "en") & (F.col("source") == "src3"), "txt").otherwise("csv")
-    gate = tx.content_verdict(F.col("text"), F.lit("csv"), header_bytes=None)
-    error = F.coalesce(gate, tx.content_verdict(F.col("text"), kind, header_bytes=None))
+    error = tx.content_verdict(F.col("text"), kind, header_bytes=None)
     return sy.ingest_outcome(t.documents.select("source", error.alias("error")), "source")
 
 

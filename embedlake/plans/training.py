@@ -71,6 +71,17 @@ def train_val_split(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {USABLE_SQL}
+SELECT conv_id, turn, CASE WHEN left(md5(conv_id || ':' || turn), 8) < '1999999a' THEN 'validation'
+  ELSE 'train' END AS split FROM usable"""
+)
+def train_val_hash_split(t: Tables) -> DataFrame:
+    """The split for data too large to number."""
+    keys = tr.usable_triplets(text_triplets(t)).select("conv_id", "turn")
+    return tr.hash_split(keys, ["conv_id", "turn"])
+
+
 @query(
     f"""WITH {SPLIT_SQL}
 SELECT dataset, position // {BATCH_SIZE} AS batch_id, count(*) AS batch_rows,

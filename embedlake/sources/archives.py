@@ -1,8 +1,7 @@
-"""ZIP archives: member listing and expansion, one task per archive."""
+"""ZIP archives: member listing and expansion."""
 
 from __future__ import annotations
 
-import shutil
 import zipfile
 from collections.abc import Iterator
 
@@ -14,25 +13,28 @@ from embedlake.operators.archives import archive_limits
 from embedlake.session import cut_lineage, work_dir
 from embedlake.sources.remote import open_for_reading, open_for_writing
 
-MEMBER_SCHEMA = "archive string, member string, file_size bigint, compress_size bigint, error string"
+MEMBER_COLUMNS = ["archive", "number", "member", "file_size", "compress_size", "error"]
+MEMBER_SCHEMA = (
+    "archive string, number int, member string, file_size bigint, compress_size bigint, error string"
+)
 
 
 def _list(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for path in frame["path"]:
-            rows = []
             try:
                 with open_for_reading(path) as raw, zipfile.ZipFile(raw) as archive:
                     rows = [
-                        (path, m.filename, m.file_size, m.compress_size, None)
-                        for m in archive.infolist()
+                        (path, i, m.filename, m.file_size, m.compress_size, None)
+                        for i, m in enumerate(archive.infolist())
                         if not m.is_dir()
                     ]
             except (OSError, ValueError, zipfile.BadZipFile) as problem:
-                rows = [(path, None, None, None, f"unreadable archive: {problem}")]
-            columns = ["archive", "member", "file_size", "compress_size", "error"]
+                rows = [(path, None, None, None, None, f"unreadable archive: {problem}")]
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame(rows, columns=MEMBER_COLUMNS).astype(
+                    {"number": "Int32", "file_size": "Int64", "compress_size": "Int64"}
+                )
 
 
 def list_members(archives: DataFrame) -> DataFrame:
@@ -40,51 +42,62 @@ def list_members(archives: DataFrame) -> DataFrame:
     return archives.select("path").mapInPandas(_list, MEMBER_SCHEMA)
 
 
-def _expand(target: str):
+def _extract(target: str):
+    def one(archive: zipfile.ZipFile, member: zipfile.ZipInfo, out: str) -> str | None:
+        try:
+            blank = member.file_size > 0
+            with archive.open(member) as source, open_for_writing(out) as sink:
+                while chunk := source.read(1 << 20):
+                    blank = blank and not chunk.strip()
+                    sink.write(chunk)
+            return "blank member" if blank else None
+        except (OSError, ValueError, RuntimeError, zipfile.BadZipFile) as problem:
+            return f"unreadable member: {problem}"
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, folder in zip(frame["path"], frame["folder"]):
+            for path, part in frame.groupby("archive"):
+                rows = []
                 with open_for_reading(path) as raw, zipfile.ZipFile(raw) as archive:
-                    for number, member in enumerate(archive.infolist()):
-                        name = member.filename
-                        if member.is_dir() or name.startswith(("__", ".")):
-                            continue
-                        # The stored name keeps the base name only, so no
-                        # member can leave its folder.
-                        out = f"{target}/{folder}/{number}/{name.rsplit('/', 1)[-1]}"
-                        error = None
-                        try:
-                            with archive.open(member) as source, open_for_writing(out) as sink:
-                                shutil.copyfileobj(source, sink)
-                        except (OSError, ValueError, RuntimeError, zipfile.BadZipFile) as problem:
-                            error = f"unreadable member: {problem}"
-                        yield pd.DataFrame(
-                            [(path, name, out, member.file_size, error)],
-                            columns=["archive", "member", "path", "length", "error"],
-                        )
+                    entries = archive.infolist()
+                    for number, folder in zip(part["number"], part["folder"]):
+                        member = entries[number]
+                        # Only the base name is kept, so no member can leave
+                        # its folder.
+                        base = member.filename.rsplit("/", 1)[-1]
+                        out = f"{target}/{folder}/{number}/{base}"
+                        error = one(archive, member, out)
+                        rows.append((path, member.filename, out, member.file_size, error))
+                yield pd.DataFrame(rows, columns=["archive", "member", "path", "length", "error"])
 
     return run
 
 
-def expand(spark: SparkSession, archives: DataFrame, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+def expand(
+    spark: SparkSession, archives: DataFrame, target: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Write the members of every admissible archive below a shared folder.
 
-    Returns (members with their new path, archives with their verdict). A
-    repeated task writes the same files again.
+    Returns (members with their new path and error, archives with their
+    verdict). Members of one archive are spread over tasks, each of which reads
+    only its own; a repeated task writes the same files again.
     """
     target = target or work_dir(spark, "members")
-    listed = list_members(archives)
-    limits = archive_limits(listed.filter(F.col("error").isNull()))
+    listed = cut_lineage(list_members(archives))
+    readable = listed.filter(F.col("error").isNull())
     broken = listed.filter(F.col("error").isNotNull()).select(
         "archive", F.lit("unreadable").alias("verdict")
     )
-    verdicts = cut_lineage(limits.select("archive", "verdict").unionByName(broken))
-    admitted = verdicts.filter("verdict = 'ok'").select(
-        F.col("archive").alias("path"), F.md5("archive").alias("folder")
+    verdicts = archive_limits(readable).select("archive", "verdict").unionByName(broken)
+    admitted = (
+        readable.filter(~F.col("member").rlike(r"^(__|\.)"))
+        .join(verdicts.filter("verdict = 'ok'"), "archive", "left_semi")
+        .select("archive", "number", F.md5("archive").alias("folder"))
+        .repartition("archive", "number")
     )
     members = cut_lineage(
         admitted.mapInPandas(
-            _expand(target),
+            _extract(target),
             "archive string, member string, path string, length bigint, error string",
         )
     )

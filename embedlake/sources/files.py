@@ -32,6 +32,8 @@ MAX_FILES = 100_000
 # Distinct (delimiter, encoding, header) shapes one call reads.
 MAX_SHAPES = 1_000
 WHOLE_CHECK_BYTES = 64 << 20
+# CSV files above this size are checked for splitting.
+SPLIT_BYTES = 128 << 20
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 
 
@@ -144,12 +146,26 @@ def _as_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("path", cells.alias("cells"), F.lit(False).alias("malformed"))
 
 
-def _read_csv(spark, paths, delimiter, encoding) -> DataFrame:
+def _one_line_records(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Large CSV files without a line break inside quotes.
+
+    A record that spans lines leaves a line with an odd number of quotes. Files
+    without one can be split over tasks; the check itself is split already.
+    """
+    if not paths:
+        return set()
+    lines = spark.read.text([_glob_safe(p) for p in paths])
+    odd = tx.occurrences(F.col("value"), '"') % 2 == 1
+    open_quotes = lines.groupBy(_file_path().alias("path")).agg(F.bool_or(odd).alias("spans"))
+    return {r["path"] for r in open_quotes.filter("not spans").collect()}
+
+
+def _read_csv(spark, paths, delimiter, encoding, multiline) -> DataFrame:
     df = (
         spark.read.option("header", "true")
         .option("sep", delimiter)
         .option("encoding", encoding)
-        .option("multiLine", "true")
+        .option("multiLine", str(multiline).lower())
         .option("quote", '"')
         .option("escape", '"')
         .csv(paths)
@@ -203,26 +219,30 @@ def _read_xml(spark, paths, row_tag) -> DataFrame:
 def read_cells(spark: SparkSession, inspected: DataFrame, sheet: int = 0) -> DataFrame:
     """``path, cells, malformed`` rows of all files without an error."""
     usable = inspected.filter(F.col("error").isNull())
+    is_csv = F.col("extension") == "csv"
     shapes = [
         "extension",
-        F.when(F.col("extension").isin("csv"), F.col("delimiter")).alias("sep"),
-        F.when(F.col("extension").isin("csv"), F.col("encoding")).alias("charset"),
+        F.when(is_csv, F.col("delimiter")).alias("sep"),
+        F.when(is_csv, F.col("encoding")).alias("charset"),
         F.col("shape"),
     ]
+    large = (is_csv & (F.col("length") > SPLIT_BYTES)).alias("large")
     # Paths only: the readers below list them on the driver in any case.
-    listed = usable.select("path", *shapes).limit(MAX_FILES + 1).collect()
+    listed = usable.select("path", large, *shapes).limit(MAX_FILES + 1).collect()
     if len(listed) > MAX_FILES:
         raise ValueError(f"more than {MAX_FILES} files, stream the folder instead")
+    splittable = _one_line_records(spark, [r["path"] for r in listed if r["large"]])
     groups: dict[tuple, list[str]] = {}
     for row in listed:
-        groups.setdefault(tuple(row)[1:], []).append(_glob_safe(row["path"]))
+        multiline = row["path"] not in splittable if row["extension"] == "csv" else None
+        groups.setdefault((*row[2:], multiline), []).append(_glob_safe(row["path"]))
     if len(groups) > MAX_SHAPES:
         raise ValueError(f"more than {MAX_SHAPES} file shapes, stream the folder instead")
 
     parts = []
-    for (ext, sep, charset, shape), paths in groups.items():
+    for (ext, sep, charset, shape, multiline), paths in groups.items():
         if ext == "csv":
-            parts.append(_read_csv(spark, paths, sep, charset))
+            parts.append(_read_csv(spark, paths, sep, charset, multiline))
         elif ext == "jsonl":
             parts.append(_read_jsonl(spark, paths))
         elif ext == "json" and shape == "object":

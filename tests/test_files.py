@@ -166,6 +166,21 @@ def test_classification_counts_and_names(ingested):
     assert found["latin.csv"].encoding == "ISO-8859-1"
 
 
+def test_large_csv_is_split_only_when_safe(spark, folder, monkeypatch):
+    from embedlake.sources import files as fl
+
+    monkeypatch.setattr(fl, "SPLIT_BYTES", 1)
+    paths = [str(folder / n) for n in ["comma.csv", "tab.csv", "latin.csv", "; rm -rf %2F.csv"]]
+    listed = list_files(spark, *paths)
+    assert {p.rsplit("/", 1)[-1] for p in fl._one_line_records(spark, [r.path for r in listed.collect()])} == {
+        "tab.csv", "latin.csv",
+    }
+    rows = by_name(ingest(spark, listed).rows)
+    assert sorted((r.question, r.positive, r.negative) for r in rows["comma.csv"]) == sorted(ROWS)
+    assert [(r.question, r.positive) for r in rows["latin.csv"]] == [("Größe", "Maß")]
+    assert len(rows["tab.csv"]) == 2
+
+
 def test_strict_mode(spark, folder):
     names = ["formula.csv", "comma.csv", "tab.csv"]
     files = list_files(spark, *[str(folder / n) for n in names])
@@ -214,6 +229,8 @@ def test_archive_expansion(spark, tmp_path):
         z.writestr("d0/../../escape.csv", csv_text(["prompt", "chosen"], [("a", "out")]))
         z.writestr("__MACOSX/x.csv", "hidden")
         z.writestr(".hidden", "hidden")
+        z.writestr("d0/blank.csv", "  \n ")
+        z.writestr("d0/none.csv", "")
     with zipfile.ZipFile(tmp_path / "bomb.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("zeros.csv", "0" * 5_000_000)
     (tmp_path / "broken.zip").write_bytes(b"nothing")
@@ -224,10 +241,11 @@ def test_archive_expansion(spark, tmp_path):
         "bomb.zip": "suspicious_ratio",
         "broken.zip": "unreadable",
     }
-    assert members.count() == 41
+    errors = {r.member: r.error for r in members.collect()}
+    assert len(errors) == 43 and {m for m, e in errors.items() if e} == {"d0/blank.csv"}
     result = ingest(spark, members.filter("error is null").select("path", "length"))
     assert {r.positive for r in result.rows.collect()} == {*map(str, range(40)), "out"}
-    assert result.rejects.count() == 0
+    assert [r.reason for r in result.rejects.collect()] == ["empty_file"]
 
 
 def test_archive_member_limit(spark):
