@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlake.functions.text import MAX_UPLOAD_BYTES, base_name, extension
+from embedlake.session import cut_lineage
 
 MAX_MEMBERS = 10_000
 MAX_RATIO = 100.0
@@ -98,7 +99,8 @@ def toplevel_directories(members: DataFrame) -> DataFrame:
     An archive without model files groups by the first path segment; members
     outside every group are left out.
     """
-    dirs = model_directories(members)
+    # Few rows, read three times below.
+    dirs = cut_lineage(model_directories(members))
     leading = F.explode(ancestors(F.col("member"))).alias("model_dir")
     inside = members.select("archive", "member", leading).join(
         dirs, ["archive", "model_dir"], "left_semi"

@@ -231,9 +231,13 @@ def compare(metrics: DataFrame, trained: str = "trained", baseline: str = "basel
 
 
 def shown(value: Column, decimals: int) -> Column:
-    """Fixed-decimal text with half-even ties; infinities as ``inf``, ``-inf``."""
-    text = F.format_string(f"%.{decimals}f", F.bround(value, decimals))
-    return F.replace(text, F.lit("Infinity"), F.lit("inf"))
+    """Fixed-decimal text with half-even ties; infinities as ``inf``, ``-inf``.
+
+    A negative value keeps its sign when it rounds to zero.
+    """
+    text = F.format_string(f"%.{decimals}f", F.bround(F.abs(value), decimals))
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.replace(text, F.lit("Infinity"), F.lit("inf")))
 
 
 def summary_line(prefix_: str = "") -> Column:

@@ -250,38 +250,43 @@ def lineage(
     """Root and depth of every model by pointer doubling.
 
     Each round replaces the pointer of every open row by its target's pointer,
-    so a chain of length n needs log2(n) rounds. A row is done, and no longer
-    joined, once it points at a root; a parent that is not registered counts
-    as one.
+    so a chain of length n needs log2(n) rounds. A row is done, and neither
+    joined nor written again, once it points at a root; a parent that is not
+    registered counts as one.
     """
     is_root = F.col(parent).isNull()
-    state = cut_lineage(
-        models.select(
-            F.col(key),
-            F.coalesce(parent, key).alias("__ptr"),
-            F.when(is_root, 0).otherwise(1).cast("bigint").alias("depth"),
-            is_root.alias("__done"),
-        )
+    start = models.select(
+        F.col(key),
+        F.coalesce(parent, key).alias("__ptr"),
+        F.when(is_root, 0).otherwise(1).cast("bigint").alias("depth"),
+        is_root.alias("__done"),
     )
+    written = cut_lineage(start)
+    done = [written.filter("__done")]
+    pending = written.filter("not __done")
     rounds = 0
-    while not state.filter("not __done").isEmpty():
+    while not pending.isEmpty():
         if 2**rounds > 2 * max_depth:
             raise ValueError(f"lineage is cyclic or deeper than {max_depth}")
-        target = state.select(
+        target = reduce(DataFrame.unionByName, [*done, pending]).select(
             F.col(key).alias("__ptr"),
             F.col("__ptr").alias("__next"),
             F.col("depth").alias("__hops"),
             F.col("__done").alias("__end"),
         )
-        moved = state.filter("not __done").join(target, "__ptr", "left").select(
+        moved = pending.join(target, "__ptr", "left").select(
             key,
             F.coalesce("__next", "__ptr").alias("__ptr"),
             (F.col("depth") + F.coalesce("__hops", F.lit(0))).alias("depth"),
             F.coalesce("__end", F.lit(True)).alias("__done"),
         )
-        state = cut_lineage(state.filter("__done").unionByName(moved))
+        moved = cut_lineage(moved)
+        done.append(moved.filter("__done"))
+        pending = moved.filter("not __done")
         rounds += 1
-    return state.select(key, F.col("__ptr").alias("root_id"), "depth")
+    return reduce(DataFrame.unionByName, done).select(
+        key, F.col("__ptr").alias("root_id"), "depth"
+    )
 
 
 # Every task keeps this many rows of a near page at most.

@@ -153,6 +153,13 @@ def test_comparison_and_summaries(spark):
     assert texts["baseline"].ratio == "inf"
 
 
+def test_fixed_decimals_match_python(spark):
+    numbers = [0.0, -0.0001, 0.125, 0.0625, -0.0625, 2.5, -1.2345678, 1e6, math.inf, -math.inf]
+    for decimals in (2, 3, 4):
+        got = values(spark, lambda c: ev.shown(c, decimals), numbers, "double")
+        assert got == [f"{x:.{decimals}f}" for x in numbers]
+
+
 def test_lenient_metrics_json(spark):
     good = '{"avg_positive_similarity": 0.8, "num_samples": 3}'
     df = spark.createDataFrame([(good,), ("{broken",), (None,)], "metrics_json string")

@@ -55,3 +55,17 @@ def test_scans_are_pruned(spark):
 def test_feed_filters_reach_the_scans(spark):
     text = plan(QUERIES["task_feed_by_tag"](spark, FOLDER))
     assert text.count("EqualTo(event_type,") == 2 and "click" not in text
+
+
+def test_top_paths_cut_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan(QUERIES["top_paths"](spark, FOLDER))
+
+
+def test_no_broadcast_is_forced(spark):
+    """Sides are only broadcast after Spark has measured them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ["task_feed", "toplevel_dirs", "duplicate_guard", "cosine_pairs"]:
+            assert "BroadcastExchange" not in plan(QUERIES[name](spark, FOLDER)), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
