@@ -19,7 +19,8 @@ def read_stream(
     """Parquet files as a stream, a bounded number of files per micro-batch."""
     schema = spark.read.parquet(path).schema
     # A pattern may name a single file; a plain streaming path must be a folder.
-    pattern = f"{path[:-1]}[{path[-1]}]"
+    is_pattern = any(c in path for c in "*?[{")
+    pattern = path if is_pattern else f"{path[:-1]}[{path[-1]}]"
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
