@@ -27,21 +27,22 @@ def request_rate(
     lateness: str | None = LATENESS,
 ) -> DataFrame:
     """Requests per sliding window and path."""
-    window = F.window("ts", width, slide)["start"].alias("window_start")
+    # Grouping by the whole window keeps its event time, so old state goes.
     return (
         _bounded(requests, "ts", lateness)
-        .groupBy(window, "path")
+        .groupBy(F.window("ts", width, slide).alias("w"), "path")
         .agg(F.count("*").alias("n_requests"))
+        .select(F.col("w.start").alias("window_start"), "path", "n_requests")
     )
 
 
 def daily_usage(usage: DataFrame, lateness: str | None = "1 day") -> DataFrame:
     """Usage rows per model and day."""
-    day = F.window("created_at", "1 day")["start"].alias("day")
     return (
         _bounded(usage, "created_at", lateness)
-        .groupBy(day, "ai_model_id")
+        .groupBy(F.window("created_at", "1 day").alias("w"), "ai_model_id")
         .agg(F.count("*").alias("n"))
+        .select(F.col("w.start").alias("day"), "ai_model_id", "n")
     )
 
 
