@@ -152,8 +152,6 @@ def metrics_json(t: Tables) -> DataFrame:
     )
 
 
-_F4 = "printf('%.4f', {})"
-_F3 = "printf('%.3f', {})"
 
 
 @query(

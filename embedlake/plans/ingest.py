@@ -125,9 +125,6 @@ def cell_violations(t: Tables) -> DataFrame:
     return cn.cell_violations(union, ["source_table", "row_id"], ["cell"])
 
 
-_TURNS = "conversations q JOIN conversations p ON p.conv_id = q.conv_id AND p.turn = q.turn + 1"
-
-
 @query(
     f"""WITH {TEXT_TRIPLETS_SQL}
 SELECT conv_id, turn, question, positive, negative, 'T' AS classification FROM text_triplets"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from embedlake.functions import text as tx
 from embedlake.operators import registry as rg
 from embedlake.plans.catalog import query
-from embedlake.plans.tables import NOW, Tables, datasets, models, now, task_tables
+from embedlake.plans.tables import Tables, datasets, models, now, task_tables
 from embedlake.session import work_dir
 
 DATASETS_SQL = """

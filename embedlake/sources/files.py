@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedlake.functions import text as tx
-from embedlake.operators.canonical import ALIASES, ROLES, cell_violations
+from embedlake.operators.canonical import ALIASES, ROLES, cell_violations, schema_mapping
 from embedlake.operators.registry import minted_id
 from embedlake.session import cut_lineage
 from embedlake.sources.jsonl import flatten
@@ -404,8 +404,6 @@ def scan_subsets(spark: SparkSession, root: str, tag: str) -> DataFrame:
     Columns come from the first allowed schema the files cover; rows keep the
     registry and file name of their part.
     """
-    from embedlake.operators.canonical import schema_mapping
-
     df = spark.read.json(root)
     roles = schema_mapping(df.columns)
     split = F.col("split") if "split" in df.columns else F.lit(None).cast("string")
