@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from embedlake.llm import frames, length_histogram
+from embedlake.llm import frames, length_histogram, repetition, secrets
 from embedlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,37 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     listed = frames.write(docs, frames.new_folder(spark), public_tokenizers.path("word_bpe_49k.json"))
     return frames.read(listed)
+
+
+@query()
+def op7_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.repetition(table(spark, folder, "documents"))
+
+
+def _digest(spans: DataFrame, base: list[str], by_kind: bool) -> DataFrame:
+    """Counts, hash of the base spans and all spans as text, from span arrays."""
+    order = F.array(*[F.lit(k) for k in base])
+    place = lambda s: F.array_position(order, s["kind"])
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+    def keyed(items):
+        number = lambda s: F.when(place(s) > 0, place(s)).otherwise(F.lit(99)).cast("long")
+        pairs = F.transform(
+            items,
+            lambda s: F.struct(
+                (number(s) if by_kind else s["start"]).alias("a"),
+                (s["start"] if by_kind else number(s)).alias("b"),
+                line(s).alias("line"),
+            ),
+        )
+        return F.array_join(F.transform(F.array_sort(pairs), lambda p: p["line"]), ",")
+
+    only = F.filter("spans", lambda s: F.array_contains(order, s["kind"]))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    return spans.select("doc_id", *counts, F.sha2(keyed(only), 256).alias("base_sha256"), keyed(F.col("spans")).alias("spans"))
+
+
+@query()
+def op8_secret_formats(spark: SparkSession, folder: str) -> DataFrame:
+    spans = secrets.scan(table(spark, folder, "documents"))
+    return _digest(spans, ["assign", "access", "hex"], by_kind=False)
