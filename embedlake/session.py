@@ -42,14 +42,13 @@ def build_session(
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings and size the shuffle to the cores at hand."""
+    """Give the session the settings that its owner has not set."""
+    given = spark.conf.getAll
     for key, value in SQL_SETTINGS.items():
-        spark.conf.set(key, value)
-    slots = spark.sparkContext.defaultParallelism
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set("spark.sql.shuffle.partitions", str(slots))
-    elif int(spark.conf.get("spark.sql.shuffle.partitions")) < 3 * slots:
-        spark.conf.set("spark.sql.shuffle.partitions", str(3 * slots))
+        if key not in given:
+            spark.conf.set(key, value)
+    if "spark.sql.shuffle.partitions" not in given and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
