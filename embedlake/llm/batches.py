@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -36,10 +36,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """The UTF-8 bytes of the texts of a slice; a null text is empty."""
+    return [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
+
+
 def take(docs: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """Just the needed columns, so clashing extra columns never meet ours."""
     return docs.select(*names, *[F.col(old).alias(new) for new, old in renamed.items()])
-
-
-def sha256_of(column: Column) -> Column:
-    return F.sha2(column, 256)

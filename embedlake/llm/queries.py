@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from embedlake.llm import frames, length_histogram, repetition, secrets
+from embedlake.llm import decontaminate, frames, length_histogram, pii, repetition, secrets
 from embedlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +78,11 @@ def _digest(spans: DataFrame, base: list[str], by_kind: bool) -> DataFrame:
         return F.array_join(F.transform(F.array_sort(pairs), lambda p: p["line"]), ",")
 
     only = F.filter("spans", lambda s: F.array_contains(order, s["kind"]))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in base]
     return spans.select("doc_id", *counts, F.sha2(keyed(only), 256).alias("base_sha256"), keyed(F.col("spans")).alias("spans"))
 
 
@@ -86,3 +90,55 @@ def _digest(spans: DataFrame, base: list[str], by_kind: bool) -> DataFrame:
 def op8_secret_formats(spark: SparkSession, folder: str) -> DataFrame:
     spans = secrets.scan(table(spark, folder, "documents"))
     return _digest(spans, ["assign", "access", "hex"], by_kind=False)
+
+
+@query()
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return _digest(pii.scan(table(spark, folder, "documents")), pii.BASE, by_kind=True)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    rf"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ), b AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark WHERE item_id IS NOT NULL
+    ), bw AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+    ), dw AS (
+      SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS s
+      FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+            FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)
+    ), hits AS (
+      SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.s = bw.s
+    ), words AS (
+      SELECT doc_id, count(DISTINCT p) AS n_hit
+      FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id
+    ), items AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """
+)
+def op3_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )

@@ -36,7 +36,7 @@ def _sums(words: Words, values: np.ndarray) -> np.ndarray:
     return total[words.first[1:]] - total[words.first[:-1]]
 
 
-def measure(texts: list[str], gram_shares: dict[int, float], line_share: float) -> dict[str, np.ndarray]:
+def measure(texts: list[bytes], gram_shares: dict[int, float], line_share: float) -> dict[str, np.ndarray]:
     """All measures of a slice of texts, as arrays with one value per text."""
     held = Texts(texts)
     words = Words(held, not_blank(), lower=False)
@@ -103,7 +103,7 @@ def repetition(
 
     def run(parts):
         for part in batches.slices(parts):
-            found = measure(batches.texts(part), gram_shares, line_share)
+            found = measure(batches.raw_texts(part), gram_shares, line_share)
             rows = found.pop("dup_gram_shares")
             arrays = {k: pa.array(v) for k, v in found.items()}
             arrays["dup_gram_shares"] = pa.array(list(rows), pa.list_(pa.float64()))
@@ -126,7 +126,7 @@ def keep_good(
 
     def run(parts):
         for part in batches.slices(parts, text):
-            found = measure(batches.texts(part, text), gram_shares, line_share)
+            found = measure(batches.raw_texts(part, text), gram_shares, line_share)
             yield part.filter(pa.array(found["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

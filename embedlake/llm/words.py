@@ -52,10 +52,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Texts:
     """The bytes of several texts, each followed by a line break."""
 
-    def __init__(self, texts: list[str]):
-        raw = [t.encode("utf-8", "replace") for t in texts]
-        self.raw = raw
+    def __init__(self, texts: list[str] | list[bytes]):
+        raw = [t if isinstance(t, bytes) else t.encode() for t in texts]
         self.data = np.frombuffer(b"\n".join(raw) + b"\n", "u1") if raw else np.empty(0, "u1")
+        # Bytes of text i: begins[i] up to begins[i + 1] - 1.
         self.begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in raw], dtype="i8")])
         self.n = len(raw)
 
