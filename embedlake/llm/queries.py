@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from embedlake.llm import decontaminate, frames, length_histogram, pii, repetition, secrets
+from embedlake.llm import decontaminate, frames, length_histogram, ngram_join, pii, repetition, secrets
 from embedlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,8 @@ def op3_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query()
+def op4_ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents"))
