@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from embedlake.llm import decontaminate, frames, length_histogram, ngram_join, pii, repetition, secrets
+from embedlake.llm import decontaminate, frames, length_histogram, ngram_join, packing, pii, repetition, secrets
 from embedlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,8 @@ def op3_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, folder, "documents"))
+
+
+@query()
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
