@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -44,3 +44,13 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def take(docs: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """Just the needed columns, so clashing extra columns never meet ours."""
     return docs.select(*names, *[F.col(old).alias(new) for new, old in renamed.items()])
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns in one, so that joins can add names of any kind beside them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def unpacked(rows: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
+    """The packed columns again; some may be replaced."""
+    return rows.select(*[replaced.get(c, F.col("row").getField(c)).alias(c) for c in names])

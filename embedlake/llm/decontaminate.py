@@ -234,14 +234,13 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, **names: str) ->
     """The rows of `docs` without any window of an item, all columns kept."""
     doc_id, text = names.get("doc_id", "doc_id"), names.get("text", "text")
     bad = judge(docs, items, window, **names).where("contaminated")
-    bad = bad.select(
-        F.col("doc_id").alias("_bad_id"), F.col("print_a").alias("_bad_a"), F.col("print_b").alias("_bad_b")
-    ).distinct()
-    filled = F.coalesce(docs[text], F.lit(""))
-    return docs.join(
-        bad,
-        docs[doc_id].eqNullSafe(F.col("_bad_id"))
-        & (F.xxhash64(filled) == F.col("_bad_a"))
-        & (F.xxhash64(F.lit(1), filled) == F.col("_bad_b")),
-        "left_anti",
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("print_a").alias("bad_a"), F.col("print_b").alias("bad_b"))
+    filled = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(
+        batches.packed(docs),
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(filled).alias("print_a"),
+        F.xxhash64(F.lit(1), filled).alias("print_b"),
     )
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & F.expr("print_a = bad_a and print_b = bad_b")
+    return batches.unpacked(rows.join(bad.distinct(), same, "left_anti"), docs.columns)

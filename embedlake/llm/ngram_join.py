@@ -59,18 +59,18 @@ def _fold(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """`doc_id, set_key, n_shingles`: a 64-bit key of each document's shingle set."""
+    """`doc_id, print, set_key, n_shingles`: a 64-bit key of each document's shingle set."""
 
     def run(parts):
         for part in batches.slices(parts):
             _, _, keys, sizes = _sets(batches.raw_texts(part), size)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(keys.view("i8")), pa.array(sizes, "int64")],
-                ["doc_id", "set_key", "n_shingles"],
+                [part.column("doc_id"), part.column("print"), pa.array(keys.view("i8")), pa.array(sizes, "int64")],
+                ["doc_id", "print", "set_key", "n_shingles"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, set_key long, n_shingles long")
+    return docs.mapInArrow(run, f"doc_id {kind}, print long, set_key long, n_shingles long")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -354,20 +354,21 @@ def similar_groups(
     group: int = GROUP,
     block: int = BLOCK,
 ) -> DataFrame:
-    """`doc_id, n_shingles, component_id`, one row per input row.
+    """`doc_id, n_shingles, component_id, print`, one row per input row.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their
     distinct shingles of `size` words (one shingle of all words if there are
     fewer); words are non-blank runs, A-Z in lower case. `component_id` is the
     smallest doc_id reachable. Null and empty texts, and texts of blanks, have
     0 shingles and are alone. Documents of equal sets, repeated rows included,
-    are one set. A null doc_id takes part; a component of nulls only has a null
+    are one set; `print` is xxhash64 of the text (empty for null). A null doc_id takes part; a component of nulls only has a null
     id. An empty table gives no rows.
 
     `group` and `block` set how much one task holds, not what is found. A
     reduce group also holds every set of its most frequent shingle.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
     held = cut_lineage(signatures(rows, size))
     total, sets = held.agg(F.sum("n_shingles"), F.count("*")).first()
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -381,17 +382,34 @@ def similar_groups(
     )
     lowest = joined.groupBy("component").agg(F.min("lowest").alias("component_id"))
     ids = joined.join(lowest, "component").select("set_key", "n_shingles", "component_id")
-    found = held.where("n_shingles > 0").join(ids, ["set_key", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = held.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", "component_id", "print"]
+    found = held.where("n_shingles > 0").join(ids, ["set_key", "n_shingles"]).select(columns)
+    alone = held.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(columns)
     return found.unionAll(alone)
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that are the first of their group, all columns kept.
+    """One row of `docs` for each group of similar documents, all columns kept.
 
-    Of repeated rows with the first doc_id one stays; rows with a null doc_id
-    in a group with an id go, and so do empty texts only if their row repeats.
+    The row with the smallest doc_id stays; of rows that share it, that with the
+    smallest print, and of repeated rows one. A null doc_id goes if its group
+    has an id; groups of nulls only stay as they are.
     """
-    groups = similar_groups(docs, size, percent, doc_id, text)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs[doc_id] == F.col("_first"), "left_semi").dropDuplicates([doc_id])
+    groups = cut_lineage(similar_groups(docs, size, percent, doc_id, text))
+    first = F.col("doc_id") == F.col("component_id")
+    # Two groups can hold the same doc_id only if the id repeats.
+    stays = groups.where(first).groupBy("component_id").agg(F.min("print").alias("stays"))
+    ranked = groups.join(stays, "component_id", "left")
+    keeps = F.coalesce(first & (F.col("print") == F.col("stays")), F.col("component_id").isNull())
+    gone = ranked.where(~keeps).select(F.col("doc_id").alias("gone_id"), F.col("print").alias("gone_print")).distinct()
+    rows = docs.select(
+        batches.packed(docs), F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print")
+    )
+    kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("print") == F.col("gone_print")), "left_anti")
+    again = ranked.where(keeps & first).groupBy("doc_id", "print").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        # Only rows that repeat are gathered by their id to drop all but one.
+        keys = again.select("doc_id", "print")
+        once = kept.join(keys, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
+        kept = kept.join(keys, ["doc_id", "print"], "left_anti").unionByName(once.select("row", "doc_id", "print"), allowMissingColumns=True)
+    return batches.unpacked(kept, docs.columns)

@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from embedlake.llm import decontaminate, frames, length_histogram, ngram_join, packing, pii, repetition, secrets
+from embedlake.llm import (
+    decontaminate,
+    frames,
+    fuzzy_lines,
+    length_histogram,
+    link_trust,
+    ngram_join,
+    packing,
+    pii,
+    repetition,
+    secrets,
+)
 from embedlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,9 +157,33 @@ def op3_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op4_ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.similar_groups(table(spark, folder, "documents"))
+    return ngram_join.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query()
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query()
+def op2_link_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return link_trust.judge(table(spark, folder, "pages"), RULES)
+
+
+@query()
+def op5_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    gone = fuzzy_lines.repeated_lines(docs)
+    filled = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(filled).alias("print"), F.size(F.split(filled, "\n")).cast("long").alias("n_lines"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("print").alias("gone_print"), "dropped")
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("print") == F.col("gone_print")), "left")
+    return joined.select(
+        "doc_id",
+        "n_lines",
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped_lines"),
+    )
