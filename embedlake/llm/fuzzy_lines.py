@@ -106,7 +106,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id and text are one document. Documents that lose nothing, empty texts
     and empty tables give no rows.
     """
-    named = components(similar_lines(docs, doc_id=doc_id, text=text, **options)).select(
+    named = components(similar_lines(docs, doc_id=doc_id, text=text, **options), small=0).select(
         F.col("node").alias("line"), F.col("component").alias("group")
     )
     lines = _lines(docs, doc_id, text).select(

@@ -38,8 +38,8 @@ def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     docs = np.searchsorted(words.first, at, "right") - 1
     short = np.flatnonzero((words.counts > 0) & (words.counts < size))
     if len(short):
-        whole = [mix(_fold(words.hashes[words.first[i] : words.first[i + 1]])) for i in short]
-        hashes = np.concatenate([hashes, np.array(whole, "u8")])
+        whole = [_fold(words.hashes[words.first[i] : words.first[i + 1]]) for i in short]
+        hashes = np.concatenate([hashes, mix(np.concatenate(whole))])
         docs = np.concatenate([docs, short])
     order = np.lexsort((docs, hashes))
     hashes, docs = hashes[order], docs[order]
@@ -55,7 +55,7 @@ def _fold(hashes: np.ndarray) -> np.ndarray:
     total = np.array([len(hashes)], "u8")
     for h in hashes:
         total = total * np.uint64(0x9E3779B97F4A7C15) + h
-    return total[0]
+    return total
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _postings(docs: DataFrame, size: int, groups: int) -> DataFrame:
             hashes, at = hashes[keep], at[keep]
             ranges = ((hashes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
             cuts = np.searchsorted(ranges, np.arange(groups + 1, dtype="u8"))
-            rows = {"bucket": [], "shingles": [], "places": [], "sets": []}
+            rows = {"bucket": [], "shingles": [], "places": [], "sets": [], "sizes": []}
             for b in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[b], cuts[b + 1])
                 used, place = np.unique(at[own], return_inverse=True)
@@ -103,41 +103,72 @@ def _postings(docs: DataFrame, size: int, groups: int) -> DataFrame:
                 rows["shingles"].append(_planes(hashes[own]))
                 rows["places"].append(place.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
                 rows["sets"].append(keys[used].tobytes())
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": pa.array(rows["bucket"], "int64"), **{k: pa.array(rows[k], "binary") for k in ("shingles", "places", "sets")}}
-            )
+                rows["sizes"].append(sizes[used].astype("<u4").tobytes())
+            blobs = {k: pa.array(v, "binary") for k, v in rows.items() if k != "bucket"}
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], "int64"), **blobs})
 
-    return docs.select("text").mapInArrow(run, "bucket long, shingles binary, places binary, sets binary")
+    return docs.select("text").mapInArrow(run, "bucket long, shingles binary, places binary, sets binary, sizes binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one range: the shingles of two or more sets, by set, with their frequency."""
-    hashes, sets = [], []
-    for shingles, places, keys in zip(*(table.column(c).to_pylist() for c in ("shingles", "places", "sets"))):
+def _shared(table: pa.Table, targets: int) -> pa.Table:
+    """Of one range: the shingles of two or more sets with their frequency, dealt out by set."""
+    hashes, sets, sizes = [], [], []
+    for shingles, places, keys, counts in zip(*(table.column(c).to_pylist() for c in ("shingles", "places", "sets", "sizes"))):
         hashes.append(_values(shingles))
         place = np.frombuffer(places, "u1").reshape(4, -1).T.copy().view("<u4").reshape(-1)
         sets.append(np.frombuffer(keys, "<u8")[place])
-    hashes, sets = np.concatenate(hashes), np.concatenate(sets)
+        sizes.append(np.frombuffer(counts, "<u4")[place])
+    hashes, sets, sizes = (np.concatenate(x) for x in (hashes, sets, sizes))
     order = np.lexsort((sets, hashes))
-    hashes, sets = hashes[order], sets[order]
+    hashes, sets, sizes = hashes[order], sets[order], sizes[order]
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (sets[1:] != sets[:-1])
-    hashes, sets = hashes[fresh], sets[fresh]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    often = np.repeat(np.diff(np.append(first, len(hashes))), np.diff(np.append(first, len(hashes))))
+    hashes, sets, sizes = hashes[fresh], sets[fresh], sizes[fresh]
+    runs = np.diff(np.append(np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])), len(hashes)))
+    often = np.repeat(runs, runs)
     keep = often > 1
-    hashes, sets, often = hashes[keep], sets[keep], often[keep]
-    order = np.argsort(sets, kind="stable")
-    hashes, sets, often = hashes[order], sets[order], often[order]
-    starts = np.flatnonzero(np.append(True, sets[1:] != sets[:-1])) if len(sets) else np.empty(0, "i8")
-    cuts = pa.array(np.append(starts, len(sets)), "int32")
-    return pa.table(
-        {
-            "set_key": pa.array(sets[starts].view("i8")),
-            "shingles": pa.ListArray.from_arrays(cuts, pa.array(hashes.view("i8"))),
-            "often": pa.ListArray.from_arrays(cuts, pa.array(often, "int64")),
-        }
-    )
+    hashes, sets, sizes, often = hashes[keep], sets[keep], sizes[keep], often[keep]
+    target = ((mix(sets) >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)
+    order = np.lexsort((hashes, sets, target))
+    hashes, sets, sizes, often, target = (x[order] for x in (hashes, sets, sizes, often, target))
+    cuts = np.searchsorted(target, np.arange(targets + 1, dtype="u8"))
+    rows = {"target": [], "sets": [], "sizes": [], "runs": [], "shingles": [], "often": []}
+    for t in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[t], cuts[t + 1])
+        keys, first, counts = np.unique(sets[own], return_index=True, return_counts=True)
+        rows["target"].append(int(t))
+        rows["sets"].append(keys.tobytes())
+        rows["sizes"].append(sizes[own][first].tobytes())
+        rows["runs"].append(counts.astype("<u4").tobytes())
+        rows["shingles"].append(hashes[own].tobytes())
+        rows["often"].append(often[own].astype("<u4").tobytes())
+    return pa.table({k: pa.array(v, "int64" if k == "target" else "binary") for k, v in rows.items()})
+
+
+def _records(table: pa.Table, percent: int) -> pa.Table:
+    """The sets of one share that can have a partner, with their prefixes."""
+    columns = ("sets", "sizes", "runs", "shingles", "often")
+    parts = [
+        [np.frombuffer(x, kind) for x, kind in zip(row, ("<u8", "<u4", "<u4", "<u8", "<u4"))]
+        for row in zip(*(table.column(c).to_pylist() for c in columns))
+    ]
+    keys, sizes, runs, hashes, often = (np.concatenate(x) for x in zip(*parts))
+    sets, sizes = np.repeat(keys, runs), np.repeat(sizes, runs)
+    order = np.lexsort((hashes, often, sets))
+    sets, sizes, hashes, often = sets[order], sizes[order].astype("i8"), hashes[order].view("i8"), often[order].astype("i8")
+    first = np.flatnonzero(np.append(True, sets[1:] != sets[:-1]))
+    shared = np.diff(np.append(first, len(sets)))
+    rows = {"set_key": [], "n": [], "match": [], "length": [], "shingles": []}
+    for at, k in zip(first, shared):
+        n = int(sizes[at])
+        if 100 * k < percent * n:
+            continue
+        match, length = choose_match(n, (percent * n + 99) // 100, often[at : at + k], n - int(k))
+        if length:
+            for name, value in zip(rows, (int(sets[at : at + 1].view("i8")[0]), n, match, length, hashes[at : at + k])):
+                rows[name].append(value)
+    kinds = {"shingles": pa.list_(pa.int64())}
+    return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()})
 
 
 def choose_match(n: int, overlap: int, often: np.ndarray, alone: int, longest: int = LONGEST_MATCH) -> tuple[int, int]:
@@ -157,40 +188,18 @@ def choose_match(n: int, overlap: int, often: np.ndarray, alone: int, longest: i
     return best[1], best[2]
 
 
-def records(docs: DataFrame, classes: DataFrame, size: int, percent: int, groups: int) -> DataFrame:
+def records(docs: DataFrame, size: int, percent: int, groups: int, targets: int) -> DataFrame:
     """`set_key, n, match, length, shingles` of the sets that can have a partner.
 
     Shingles are those of two or more sets, rarest first; a set with fewer of
     them than the overlap it needs has no partner and is left out.
     """
-    spread = _postings(docs, size, groups).groupBy("bucket").applyInArrow(
-        _shared, "set_key long, shingles array<bigint>, often array<bigint>"
+    shared = _postings(docs, size, groups).groupBy("bucket").applyInArrow(
+        lambda t: _shared(t, targets), "target long, sets binary, sizes binary, runs binary, shingles binary, often binary"
     )
-    sets = spread.groupBy("set_key").agg(
-        F.flatten(F.collect_list("shingles")).alias("shingles"), F.flatten(F.collect_list("often")).alias("often")
+    return shared.groupBy("target").applyInArrow(
+        lambda t: _records(t, percent), "set_key long, n long, match long, length long, shingles array<bigint>"
     )
-    sets = sets.join(classes.select("set_key", F.col("n_shingles").alias("n")), "set_key")
-    sets = sets.where(F.size("shingles") * 100 >= F.col("n") * percent)
-
-    def run(parts):
-        for part in parts:
-            rows = {"set_key": [], "n": [], "match": [], "length": [], "shingles": []}
-            for key, n, shingles, often in zip(*(part.column(c) for c in ("set_key", "n", "shingles", "often"))):
-                shingles, often, n = shingles.values.to_numpy(), often.values.to_numpy(), n.as_py()
-                order = np.lexsort((shingles, often))
-                shingles, often = shingles[order], often[order]
-                match, length = choose_match(n, (percent * n + 99) // 100, often, n - len(often))
-                if length:
-                    for name, value in zip(rows, (key.as_py(), n, match, length, shingles)):
-                        rows[name].append(value)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    **{c: pa.array(rows[c], "int64") for c in ("set_key", "n", "match", "length")},
-                    "shingles": pa.array(rows["shingles"], pa.list_(pa.int64())),
-                }
-            )
-
-    return sets.mapInArrow(run, "set_key long, n long, match long, length long, shingles array<bigint>")
 
 
 class _Forest:
@@ -209,8 +218,8 @@ class _Forest:
 def link(
     sizes: np.ndarray, matches: np.ndarray, prefixes: list[np.ndarray], shingles: list[np.ndarray],
     percent: int, side: np.ndarray | None = None, groups: np.ndarray | None = None,
-) -> list[tuple[int, int]]:
-    """Links that connect what the pairs of similarity `percent` connect.
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect what the pairs of similarity `percent` connect, and the roots.
 
     Pairs already connected are not verified. With `side`, only pairs of
     different sides are looked at; with `groups`, sets of one group are
@@ -256,28 +265,33 @@ def link(
                 found.append((x, int(y)))
                 forest.join(x, np.array([y]))
         mark[sets[x]] = False
-    return found
+    return found, forest.root
 
 
-def _link_table(table: pa.Table, percent: int, sided: bool) -> pa.Table:
-    """The links of one verification block, as edges between set keys."""
+def _linked(table: pa.Table, percent: int, sided: bool) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
     keys = table.column("set_key").to_numpy()
     order = np.argsort(keys)
-    keys = keys[order]
     shingles = table.column("shingles").combine_chunks()
     values, cuts = shingles.values.to_numpy(), shingles.offsets.to_numpy()
     own = [values[cuts[i] : cuts[i + 1]] for i in order]
-    lengths = table.column("length").to_numpy()[order]
-    found = link(
-        table.column("n").to_numpy()[order],
-        table.column("match").to_numpy()[order],
-        [s[:k] for s, k in zip(own, lengths)],
-        own,
-        percent,
-        table.column("side").to_numpy()[order] if sided else None,
-        table.column("cluster").to_numpy()[order] if sided else None,
-    )
-    return pa.table({"a": pa.array([keys[x] for x, _ in found], "int64"), "b": pa.array([keys[y] for _, y in found], "int64")})
+    n, match, length = (table.column(c).to_numpy()[order] for c in ("n", "match", "length"))
+    side, groups = (table.column(c).to_numpy()[order] if sided else None for c in ("side", "cluster"))
+    found, root = link(n, match, [s[:k] for s, k in zip(own, length)], own, percent, side, groups)
+    return keys[order], found, root, groups
+
+
+def _label_table(table: pa.Table, percent: int) -> pa.Table:
+    """Each set of a block with the smallest key it is connected to inside the block."""
+    keys, _, root, _ = _linked(table, percent, False)
+    low = np.full(len(keys), np.iinfo("i8").max)
+    np.minimum.at(low, root, keys)
+    return pa.table({"set_key": pa.array(keys), "cluster": pa.array(low[root])})
+
+
+def _edge_table(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the clusters of two blocks."""
+    _, found, _, groups = _linked(table, percent, True)
+    return pa.table({"a": pa.array([groups[x] for x, _ in found], "int64"), "b": pa.array([groups[y] for _, y in found], "int64")})
 
 
 def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
@@ -287,8 +301,8 @@ def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     return rows.join(sizes, group).withColumn("block", placed)
 
 
-def links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Edges `a, b` between set keys whose components are those of all similar pairs.
+def clusters(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """`set_key, cluster`: the sets connected by pairs of similarity `percent`.
 
     Sets whose prefixes share a shingle are one candidate group. A group is
     verified in blocks. For a group of several blocks, first every block by
@@ -297,52 +311,48 @@ def links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     cluster are connected already. So no task holds more than two blocks, and
     only sets that really stay apart cost a product of blocks.
     """
-    kind = "a long, b long"
     lists = sets.select("set_key", F.explode(F.slice("shingles", F.lit(1), F.col("length").cast("int"))).alias("shingle"))
     heads = lists.groupBy("shingle").agg(F.min("set_key").alias("head"))
     touching = lists.join(heads, "shingle").where("set_key <> head").select(F.col("set_key").alias("a"), F.col("head").alias("b"))
     groups = components(touching).select(F.col("node").alias("set_key"), F.col("component").alias("candidates"))
     placed = cut_lineage(_blocks(sets.join(groups, "set_key"), "candidates", block))
 
-    def whole(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy(*keys).applyInArrow(lambda t: _link_table(t, percent, False), kind)
+    def labels(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("candidates", "block").applyInArrow(lambda t: _label_table(t, percent), "set_key long, cluster long")
 
-    edges = cut_lineage(whole(placed, "candidates", "block"))
+    found = cut_lineage(labels(placed))
     large = placed.where("blocks > 1")
     if large.isEmpty():
-        return edges
-
-    def clustered(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Rows with their cluster under the links found so far."""
-        named = components(found).withColumnRenamed("node", "set_key").withColumnRenamed("component", "cluster")
-        return rows.join(named, "set_key", "left").withColumn("cluster", F.coalesce("cluster", "set_key"))
+        return found
 
     # One set for each cluster of a block; together they are few, but blocks
     # again if they are not.
-    heads = clustered(large, edges).where("cluster = set_key").drop("blocks", "block", "cluster")
-    edges = cut_lineage(edges.union(whole(_blocks(heads, "candidates", block), "candidates", "block")))
+    heads = large.join(found.where("cluster = set_key").select("set_key"), "set_key").drop("blocks", "block")
+    renamed = labels(_blocks(heads, "candidates", block)).select(F.col("set_key").alias("cluster"), F.col("cluster").alias("wider"))
+    found = found.join(renamed, "cluster", "left").select("set_key", F.coalesce("wider", "cluster").alias("cluster"))
+    found = cut_lineage(found)
 
-    rows = cut_lineage(clustered(large, edges))
+    rows = cut_lineage(large.join(found, "set_key"))
     counted = rows.groupBy("candidates", "cluster").agg(F.count("*").alias("n_sets"))
     largest = counted.groupBy("candidates").agg(F.max(F.struct("n_sets", "cluster")).alias("top")).select(
         "candidates", F.col("top.cluster").alias("largest")
     )
-    rest = rows.join(largest, "candidates").where("cluster <> largest").drop("largest", "blocks", "block")
-    rest = _blocks(rest, "candidates", block).withColumnRenamed("block", "rest_block").withColumnRenamed("blocks", "rest_blocks")
+    rest = rows.join(largest, "candidates").where("cluster <> largest").drop("largest", "block")
+    rest = rest.withColumnRenamed("blocks", "all_blocks")
+    rest = _blocks(rest, "candidates", block).withColumnsRenamed({"block": "rest_block", "blocks": "rest_blocks"})
     # Left over sets go to every block of their group; every block meets every
     # block of left over sets.
-    spans = large.groupBy("candidates").agg(F.max("blocks").alias("blocks"))
-    rest_spans = rest.groupBy("candidates").agg(F.max("rest_blocks").alias("rest_blocks"))
-    left = rest.join(spans, "candidates").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = rows.join(rest_spans, "candidates").withColumn(
-        "rest_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1))
-    )
+    spans = rest.groupBy("candidates").agg(F.max("rest_blocks").alias("rest_blocks"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rest.withColumn("block", numbers("all_blocks"))
+    right = rows.join(spans, "candidates").withColumn("rest_block", numbers("rest_blocks"))
     columns = ["candidates", "block", "rest_block", "set_key", "n", "match", "length", "shingles", "cluster"]
     both = left.select(*columns, F.lit(0).cast("long").alias("side")).union(
         right.select(*columns, F.lit(1).cast("long").alias("side"))
     )
-    more = both.groupBy("candidates", "block", "rest_block").applyInArrow(lambda t: _link_table(t, percent, True), kind)
-    return edges.union(more)
+    edges = both.groupBy("candidates", "block", "rest_block").applyInArrow(lambda t: _edge_table(t, percent), "a long, b long")
+    wider = components(edges).withColumnsRenamed({"node": "cluster", "component": "wider"})
+    return found.join(wider, "cluster", "left").select("set_key", F.coalesce("wider", "cluster").alias("cluster"))
 
 
 def similar_groups(
@@ -370,16 +380,14 @@ def similar_groups(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
     held = cut_lineage(signatures(rows, size))
-    total, sets = held.agg(F.sum("n_shingles"), F.count("*")).first()
+    total = held.agg(F.sum("n_shingles")).first()[0]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(partitions, (total or 0) // group + 1)
     classes = held.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("lowest"))
     classes = cut_lineage(classes)
-    candidates = cut_lineage(records(rows, classes, size, percent, groups))
-    named = components(cut_lineage(links(candidates, percent, block)))
-    joined = classes.join(named.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
-        "component", F.coalesce("component", "set_key")
-    )
+    candidates = cut_lineage(records(rows, size, percent, groups, max(partitions, groups // 8)))
+    named = clusters(candidates, percent, block)
+    joined = classes.join(named, "set_key", "left").withColumn("component", F.coalesce("cluster", "set_key"))
     lowest = joined.groupBy("component").agg(F.min("lowest").alias("component_id"))
     ids = joined.join(lowest, "component").select("set_key", "n_shingles", "component_id")
     columns = ["doc_id", "n_shingles", "component_id", "print"]
