@@ -166,6 +166,8 @@ def labelled(sentences: int = 500, seed: int = 11) -> list[tuple[list[str], list
     def account():
         head = "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=2)) + digits(2)
         groups = [digits(4) for _ in range(draw.randint(3, 5))] + [digits(2)] * draw.randint(0, 1)
+        if draw.random() < 0.4:
+            groups[0] = letters(4, 4).upper()
         return mark([head + "".join(groups)] if draw.random() < 0.5 else [head, *groups], "account")
 
     def other():
@@ -344,7 +346,7 @@ def _passes(kind: str, words: str) -> bool:
     if kind == "identity":
         return len(digits) == 9 and words.count("-") == 2
     plain = re.sub(r"[^0-9A-Z]", "", words)
-    if not re.fullmatch(r"[A-Z]{2}[0-9]{13,30}", plain):
+    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}", plain):
         return False
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from embedlake.llm import batches
 from embedlake.llm.words import Texts, Words, mix, not_blank, repeated
@@ -125,8 +126,9 @@ def keep_good(
     """The rows of `docs` whose text passes, with all their columns."""
 
     def run(parts):
-        for part in batches.slices(parts, text):
-            found = measure(batches.raw_texts(part, text), gram_shares, line_share)
-            yield part.filter(pa.array(found["kept"]))
+        for part in batches.slices(parts):
+            found = measure(batches.raw_texts(part), gram_shares, line_share)
+            yield part.select(["row"]).filter(pa.array(found["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(batches.packed(docs), F.col(text).alias("text"))
+    return batches.unpacked(rows.mapInArrow(run, rows.select("row").schema), docs.columns)
