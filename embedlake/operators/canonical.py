@@ -21,40 +21,40 @@ ALIASES = {
 
 # Allowed column sets of hub datasets, in matching order.
 ALLOWED_SCHEMAS = [
-    "prompt chosen rejected",
-    "prompt chosen_response rejected_response",
-    "prompt response_chosen response_rejected",
-    "prompt chosen",
-    "instruction chosen rejected",
-    "instruction chosen_response rejected_response",
-    "instruction response_a response_b",
-    "instruction output_1 output_2",
-    "instruction output",
-    "query chosen rejected",
-    "query chosen_response rejected_response",
-    "question chosen rejected",
-    "question positive negative",
-    "question positive",
-    "question answer",
-    "input chosen rejected",
-    "input chosen_response rejected_response",
-    "input output_a output_b",
-    "input response_a response_b",
-    "input output",
-    "input target",
-    "system question chosen rejected",
-    "system user chosen rejected",
-    "system human chosen rejected",
-    "system prompt chosen rejected",
-    "text chosen rejected",
-    "context chosen rejected",
-    "context response_a response_b",
-    "context answer_a answer_b",
-    "conversations chosen rejected",
-    "messages chosen rejected",
-    "dialogue chosen rejected",
-    "human assistant",
-    "human chosen rejected",
+    ["prompt", "chosen", "rejected"],
+    ["prompt", "chosen_response", "rejected_response"],
+    ["prompt", "response_chosen", "response_rejected"],
+    ["prompt", "chosen"],
+    ["instruction", "chosen", "rejected"],
+    ["instruction", "chosen_response", "rejected_response"],
+    ["instruction", "response_a", "response_b"],
+    ["instruction", "output_1", "output_2"],
+    ["instruction", "output"],
+    ["query", "chosen", "rejected"],
+    ["query", "chosen_response", "rejected_response"],
+    ["question", "chosen", "rejected"],
+    ["question", "positive", "negative"],
+    ["question", "positive"],
+    ["question", "answer"],
+    ["input", "chosen", "rejected"],
+    ["input", "chosen_response", "rejected_response"],
+    ["input", "output_a", "output_b"],
+    ["input", "response_a", "response_b"],
+    ["input", "output"],
+    ["input", "target"],
+    ["system", "question", "chosen", "rejected"],
+    ["system", "user", "chosen", "rejected"],
+    ["system", "human", "chosen", "rejected"],
+    ["system", "prompt", "chosen", "rejected"],
+    ["text", "chosen", "rejected"],
+    ["context", "chosen", "rejected"],
+    ["context", "response_a", "response_b"],
+    ["context", "answer_a", "answer_b"],
+    ["conversations", "chosen", "rejected"],
+    ["messages", "chosen", "rejected"],
+    ["dialogue", "chosen", "rejected"],
+    ["human", "assistant"],
+    ["human", "chosen", "rejected"],
 ]
 
 
@@ -105,7 +105,7 @@ def match_schema(df: DataFrame, columns: str = "columns") -> DataFrame:
     The columns map to roles by position. Two-column schemas give duples; the
     fourth column of a wide schema is not used.
     """
-    schemas = [s.split() for s in ALLOWED_SCHEMAS]
+    schemas = ALLOWED_SCHEMAS
     ordinal = F.lit(None).cast("int")
     for place, schema in reversed(list(enumerate(schemas))):
         covered = reduce(lambda a, b: a & b, [F.array_contains(columns, n) for n in schema])
@@ -206,6 +206,29 @@ def missing_columns(columns: Sequence[str]) -> list[str]:
     return [role for role in ROLES if role not in columns]
 
 
+def training_errors(
+    wanted: DataFrame, registry: DataFrame, reports: DataFrame, key: str = "id"
+) -> DataFrame:
+    """Why each wanted dataset can't be used for training; null when it can.
+
+    ``registry`` has the key and an array ``columns`` of the stored file,
+    ``reports`` a ``validation_report`` by key. All errors of a dataset come
+    together, the first cause first: unknown, missing columns, bad values.
+    """
+    known = registry.select(key, "columns", F.lit(True).alias("__known"))
+    found = wanted.select(key).distinct().join(known, key, "left")
+    found = found.join(reports.select(key, F.col("error").alias("__bad"), F.lit(True).alias("__read")), key, "left")
+    lacking = F.array_except(F.array(*map(F.lit, ROLES)), F.col("columns"))
+    problems = F.array(
+        F.when(F.col("__known").isNull(), F.lit("dataset not found")),
+        F.when(F.size(lacking) > 0, F.concat(F.lit("missing columns: "), F.array_join(lacking, ", "))),
+        F.when(F.col("__known") & F.col("__read").isNull(), F.lit("dataset is empty")),
+        F.when(F.col("__known"), F.col("__bad")),
+    )
+    message = F.array_join(F.array_compact(problems), "; ")
+    return found.select(key, F.when(message != "", message).alias("error"))
+
+
 def require_valid(df: DataFrame) -> DataFrame:
     """The rows themselves, failing the job at the first invalid one."""
     problem = F.raise_error(F.lit("triplet with a null or blank value"))
@@ -216,8 +239,7 @@ def require_valid(df: DataFrame) -> DataFrame:
 def schema_mapping(columns: Sequence[str]) -> dict[str, str]:
     """Role to column by the first allowed schema that ``columns`` cover."""
     present = set(columns)
-    for schema in ALLOWED_SCHEMAS:
-        names = schema.split()
+    for names in ALLOWED_SCHEMAS:
         if present.issuperset(names):
             return dict(zip(ROLES, names))
     raise ColumnError(f"columns {sorted(present)} match no allowed schema")

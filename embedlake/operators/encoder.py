@@ -1,8 +1,4 @@
-"""Token counting, mean pooling and the model adapter.
-
-``encode_hashed`` is a deterministic stand-in for a transformer: it has the
-same shape (tokenise, truncate, pool, prefix) but not a model's vectors.
-"""
+"""Token counting, mean pooling and the model adapter."""
 
 from __future__ import annotations
 
@@ -38,51 +34,64 @@ def mean_pool(
     by: Sequence[str],
     vector: str = "embedding",
     mask: str = "mask",
-    dimensions: int = 64,
 ) -> DataFrame:
     """Masked mean per dimension of all token vectors of a text.
 
-    One running sum per dimension: token rows are never exploded, and a text
-    with very many tokens is reduced map-side.
+    Vectors may have any length, the same for all tokens of a text; the job
+    fails where they differ. Sums per dimension are combined map-side before
+    they move. A null vector counts as a token and adds nothing.
     """
-    weight = F.sum(F.col(mask).cast("double"))
-    pooled = [
-        F.sum(F.get(F.col(vector), F.lit(i)).cast("double") * F.col(mask)) for i in range(dimensions)
-    ]
-    sums = token_vectors.groupBy(*by).agg(
-        weight.alias("__w"), F.count("*").alias("n_tokens"), *[c.alias(f"__s{i}") for i, c in enumerate(pooled)]
+    cell = F.posexplode_outer(vector).alias("__dim", "__h")
+    weight = F.col(mask).cast("double")
+    cells = token_vectors.select(*by, weight.alias("__m"), cell)
+    sums = cells.groupBy(*by, "__dim").agg(
+        F.sum(F.col("__h").cast("double") * F.col("__m")).alias("__s"),
+        F.sum("__m").alias("__w"),
+        F.count("*").alias("__n"),
+    )
+    pooled = F.array_sort(
+        F.collect_list(
+            F.when(
+                F.col("__dim").isNotNull(),
+                F.struct("__dim", F.try_divide("__s", "__w").alias("v")),
+            )
+        )
+    )
+    known = F.col("__dim").isNotNull()
+    texts = sums.groupBy(*by).agg(
+        F.max(F.when(known, F.col("__n"))).alias("__most"),
+        F.min(F.when(known, F.col("__n"))).alias("__least"),
+        F.coalesce(F.max(F.when(~known, F.col("__n"))), F.lit(0)).alias("__empty"),
+        pooled.alias("__cells"),
+    )
+    values = F.transform("__cells", lambda c: c["v"])
+    uneven = F.raise_error(F.lit("token vectors of unequal length")).cast("array<double>")
+    checked = F.when(F.coalesce(F.col("__most") != F.col("__least"), F.lit(False)), uneven).otherwise(values)
+    return texts.select(
+        *by,
+        (F.coalesce("__most", F.lit(0)) + F.col("__empty")).alias("n_tokens"),
+        checked.alias("embedding"),
     )
-    values = F.array(*[F.try_divide(F.col(f"__s{i}"), F.col("__w")) for i in range(dimensions)])
-    return sums.select(*by, "n_tokens", values.alias("embedding"))
 
 
-def encode_hashed(
-    df: DataFrame, text: str, key: Sequence[str], dimensions: int = 64, name: str = "embedding"
-) -> DataFrame:
-    """Mean of seeded token vectors in [-1, 1] per ``key``, a unique row id.
+def token_prefix(df: DataFrame, column: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """Add ``n_tokens`` and ``tokens_text``: what a model is given of each row.
 
-    Takes a text column or a column of token ids; only texts are truncated.
-    Each token adds to one running sum per dimension, so the sums of a text
-    are combined before they are shuffled.
+    A text gives its first ``max_tokens`` tokens; a column of token ids passes
+    uncut. Either is joined with blanks; null stays null.
     """
-    is_text = df.schema[text].dataType.typeName() == "string"
+    is_text = df.schema[column].dataType.typeName() == "string"
     items = (
-        F.slice(tokens(F.col(text)), 1, MAX_TOKENS)
+        F.slice(tokens(F.col(column)), 1, max_tokens)
         if is_text
-        else F.col(text).cast("array<string>")
+        else F.col(column).cast("array<string>")
     )
-    rows = df.select(*key, F.explode_outer(items).alias("token"))
-    parts = [
-        F.sum(F.when(F.col("token").isNotNull(), F.pmod(F.xxhash64("token", F.lit(i)), F.lit(2001)) - 1000))
-        for i in range(1, dimensions + 1)
-    ]
-    sums = rows.groupBy(*key).agg(
-        F.count("token").alias("__n"), *[p.alias(f"__s{i}") for i, p in enumerate(parts)]
+    return df.withColumns(
+        {
+            "n_tokens": F.when(F.col(column).isNotNull(), F.size(items)).cast("bigint"),
+            "tokens_text": F.array_join(items, " "),
+        }
     )
-    values = [
-        F.try_divide(F.col(f"__s{i}"), F.col("__n") * 1000.0).cast("float") for i in range(dimensions)
-    ]
-    return sums.select(*key, F.array(*values).alias(name))
 
 
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]

@@ -35,7 +35,8 @@ def attach_vectors(
     """Join ``q_id, p_id, n_id`` with their vectors and squared norms.
 
     Norms are computed once per vector, before the rows fan out. Popular
-    vectors make hot join keys; AQE splits those.
+    vectors make hot join keys; AQE splits those. A triplet whose vector is
+    missing stays, with nulls.
     """
     values = prefix(F.col(vector_column), dimensions)
     sized = vectors.select(F.col(id_column).alias("__id"), values.alias("__v")).withColumn(
@@ -48,10 +49,27 @@ def attach_vectors(
             F.col("__v").alias(f"{role}_vec"),
             F.col("__sq").alias(f"{role}_sq"),
         )
-        out = out.join(side, f"{role}_id")
+        out = out.join(side, f"{role}_id", "left")
     return out
 
 
+def unscored(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Triplets, and those without a score: a vector is missing or unequally long."""
+    lost = F.col("pos_sim").isNull() | F.col("neg_sim").isNull()
+    return scores.groupBy(*by).agg(
+        F.count("*").alias("num_triplets"), F.count_if(lost).alias("num_unscored")
+    )
+
+
+def scored_only(scores: DataFrame, strict: bool = False) -> DataFrame:
+    """Triplets with both scores; ``strict`` fails the job at the first other one."""
+    whole = F.col("pos_sim").isNotNull() & F.col("neg_sim").isNotNull()
+    if strict:
+        lost = F.raise_error(F.lit("triplet with a missing or unequally long vector"))
+        return scores.withColumn("pos_sim", F.when(whole, F.col("pos_sim")).otherwise(lost.cast("double")))
+    return scores.filter(whole)
+
+
 def triplet_scores(scored: DataFrame, keep: Sequence[str] = ("q_id",)) -> DataFrame:
     """Row-wise positive and negative similarity, no pair matrix."""
     return scored.select(
@@ -118,8 +136,13 @@ def score_ranks(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return placed.withColumn("avg_rank", F.col("before") + (ties + 1) / F.lit(2.0)).drop("before")
 
 
-def evaluate(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Averages, ratio, Spearman correlation and count from one score pass."""
+def evaluate(scores: DataFrame, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """Averages, ratio, Spearman correlation and count from one score pass.
+
+    Triplets without both scores are left out of the metrics (``unscored``
+    counts them), or fail the job if ``strict``.
+    """
+    scores = scored_only(scores, strict)
     ties = F.col("n_pos") + F.col("n_neg")
     rank = F.col("avg_rank")
     sums = (

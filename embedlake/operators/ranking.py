@@ -43,17 +43,16 @@ def running_total(
 ) -> DataFrame:
     """Add the total of ``value`` over all earlier rows of the same group.
 
-    ``levels`` must not decrease along ``order``. A row with a null group or
-    order key has no place and is left out. Keep ``df`` narrow: its rows move
-    once.
+    ``levels`` must not decrease along ``order``. Null groups are a group, and
+    null order keys come first in a cell of their own. Keep ``df`` narrow: its
+    rows move once.
     """
-    by = list(by)
     cells = [f"__cell{i}" for i in range(len(levels))]
-    rows = df.withColumns({**dict(zip(cells, levels)), "__value": value})
-    # Said here once, the joins below add no filters of their own, and Spark
-    # reuses the shuffled cell totals for every level.
-    for name_ in by + cells:
-        rows = rows.filter(F.col(name_).isNotNull())
+    groups = {f"__by{i}": F.struct(F.col(c).alias("v")) for i, c in enumerate(by)}
+    by = list(groups)
+    # A struct equals another one with the same null, so no row is lost below.
+    wrapped = {c: F.struct(level.alias("v")) for c, level in zip(cells, levels)}
+    rows = df.withColumns({**groups, **wrapped, "__value": value})
     totals = rows.groupBy(*by, *cells).agg(F.sum("__value").alias("__total"))
 
     offsets = None
@@ -89,7 +88,7 @@ def running_total(
             name,
             F.coalesce(F.sum("__value").over(inside), F.lit(0)) + F.col("__offset"),
         )
-        .drop(*cells, "__value", "__offset")
+        .drop(*by, *cells, "__value", "__offset")
     )
 
 
@@ -106,7 +105,7 @@ def row_position(
 
 # Digest characters that name a cell: 16^3 counts come back per level.
 CELL_CHARS = 3
-SORTED_CELL_ROWS = 100_000
+DIGEST_CHARS = 30
 
 
 def exact_sample(
@@ -114,37 +113,31 @@ def exact_sample(
 ) -> DataFrame:
     """Seeded sample of exactly ``n`` rows (all rows when there are fewer).
 
-    ``key`` identifies a row. The choice depends on keys and seed only, not on
-    partitioning. Counting digest prefixes finds the cell that holds the n-th
-    smallest digest, level by level; sorting that one cell gives the last row
-    of the sample, and the sample itself is a filter: no row is shuffled.
-    ``df`` is read once per step, so materialise an expensive one first.
+    ``key`` identifies a row; rows with equal keys are ordered as they come.
+    The choice depends on keys and seed only, not on partitioning. Counting
+    digest prefixes finds, level by level, the cell that holds the n-th
+    smallest digest; all rows before it are a filter, and of the rows with
+    that very digest the first are taken by a top-n, so exactly n come back.
+    ``df`` is read once per level, so materialise an expensive one first.
     """
     if n <= 0:
         return df.limit(0)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    hashed = df.select(*key, digest.alias("__digest"))
-    rest, prefix, chars = n, "", 0
-    while True:
-        chars += CELL_CHARS
-        cell = F.substring("__digest", 1, chars)
+    digest = F.substring(digest, 1, DIGEST_CHARS)
+    hashed = df.select(digest.alias("__digest"))
+    rest, prefix = n, ""
+    while len(prefix) < DIGEST_CHARS:
+        cell = F.substring("__digest", 1, len(prefix) + CELL_CHARS)
         inside = hashed.filter(F.startswith("__digest", F.lit(prefix)))
         counts = dict(inside.groupBy(cell.alias("cell")).count().collect())
-        size = 0
         for name in sorted(counts):
-            size = counts[name]
-            if rest <= size:
-                prefix = name
+            if rest <= counts[name]:
                 break
-            rest -= size
+            rest -= counts[name]
         else:
             return df
-        if size <= SORTED_CELL_ROWS or chars >= 30:
-            break
-    order = ["__digest", *key]
-    cut = hashed.filter(F.startswith("__digest", F.lit(prefix))).orderBy(*order)
-    last = cut.offset(rest - 1).limit(1).first()
-    types = dict(hashed.dtypes)
-    bound = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order])
-    place = F.struct(digest.alias("__digest"), *key)
-    return df.filter(place <= bound)
+        prefix = name
+        if counts[name] == rest:
+            return df.filter(F.substring(digest, 1, len(prefix)) <= prefix)
+    before = df.filter(digest < prefix)
+    return before.unionByName(df.filter(digest == prefix).orderBy(*key).limit(rest))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from embedlake.functions.text import is_uuid, safe_model_name
-from embedlake.operators.ranking import radix_levels, row_position
 from embedlake.session import cut_lineage
 
 
@@ -180,36 +179,59 @@ def optimistic_update(
     """Apply versioned updates; returns (outcome per update, new snapshot).
 
     Updates of one row count in ``sequence`` order: an update applies when its
-    expected version is the row's version at that moment. Each round applies
-    one version step to every row at once, so there are as many rounds as the
-    longest chain in the batch. ``chained=False`` says that no key occurs
-    twice: one lazy round is then enough. A null field keeps the stored value.
+    expected version is the row's version at that moment. The update that can
+    follow another one is the first later one that expects the next version, so
+    the applied ones are a chain that starts at the stored version; pointer
+    doubling walks it in log2(updates of one row) rounds. ``chained=False``
+    says that no key occurs twice: then nothing follows. A null field keeps the
+    stored value; an update without a sequence or expected version never
+    applies. ``sequence`` is unique within a key.
     """
     fields = list(fields)
-    pending = updates.select(key, F.col(expected).alias("__exp"), F.col(sequence).alias("__seq"))
-    # The rounds carry ids and versions of updated rows only, and a row that
-    # did not move in one round cannot move in the next.
-    moving = current.select(key, F.col(version).alias("__ver"), F.lit(None).alias("__last")).join(
-        pending.select(key).distinct(), key, "left_semi"
+    usable = updates.select(
+        key, F.col(expected).alias("__exp"), F.col(sequence).alias("__seq")
+    ).dropna()
+    stored = current.select(key, F.col(version).alias("__ver"))
+    first = (
+        usable.join(stored, key)
+        .filter("__exp = __ver")
+        .groupBy(key)
+        .agg(F.min("__seq").alias("__seq"))
     )
-    steps: list[DataFrame] = []
-    while True:
-        due = pending.join(moving, key).filter(
-            (F.col("__exp") == F.col("__ver"))
-            & (F.col("__last").isNull() | (F.col("__seq") > F.col("__last")))
+    if chained:
+        # Every update asks, at the version it leads to, for the next update
+        # that expects this version; both meet in one sorted run.
+        asks = usable.select(key, (F.col("__exp") + 1).alias("__exp"), "__seq", F.lit(True).alias("__ask"))
+        offers = usable.withColumn("__ask", F.lit(False))
+        later = (
+            Window.partitionBy(key, "__exp")
+            .orderBy(F.desc("__seq"), F.desc("__ask"))
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
-        moving = due.groupBy(key).agg(
-            (F.max("__ver") + 1).alias("__ver"), F.min("__seq").alias("__last")
-        )
-        if chained:
-            moving = cut_lineage(moving)
-            if steps and moving.isEmpty():
-                break
-        steps.append(moving.select(key, F.col("__last").alias(sequence)))
-        if not chained:
-            break
-
-    winners = reduce(DataFrame.unionByName, steps)
+        offered = F.min(F.when(~F.col("__ask"), F.col("__seq"))).over(later)
+        links = asks.unionByName(offers).withColumn("__next", offered).filter("__ask")
+        links = links.select(key, "__seq", "__next")
+        most = usable.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        heads = first.withColumn("__on", F.lit(True))
+        state = cut_lineage(links.join(heads, [key, "__seq"], "left").fillna(False, ["__on"]))
+        for _ in range(most.bit_length()):
+            # One round: whoever is on the chain puts its target on it, and
+            # every pointer moves on to its target's target.
+            target = state.select(key, F.col("__seq").alias("__next"), F.col("__next").alias("__far"))
+            moved = state.join(target, [key, "__next"], "left")
+            reached = state.filter("__on and __next is not null").select(
+                key, F.col("__next").alias("__seq"), F.lit(True).alias("__hit")
+            )
+            state = cut_lineage(
+                moved.join(reached.distinct(), [key, "__seq"], "left").select(
+                    key,
+                    "__seq",
+                    F.col("__far").alias("__next"),
+                    (F.col("__on") | F.coalesce("__hit", F.lit(False))).alias("__on"),
+                )
+            )
+        first = state.filter("__on")
+    winners = first.select(key, F.col("__seq").alias(sequence))
     applied = updates.join(winners, [key, sequence]).groupBy(key).agg(
         F.count("*").cast("int").alias("__steps"),
         *[
@@ -244,15 +266,14 @@ def latest_versions(log: DataFrame, key: str = "id", version: str = "version") -
     return log.groupBy(key).agg(newest).select(key, "__row.*").select(*log.columns)
 
 
-def lineage(
-    models: DataFrame, key: str = "id", parent: str = "trained_from_id", max_depth: int = 4096
-) -> DataFrame:
+def lineage(models: DataFrame, key: str = "id", parent: str = "trained_from_id") -> DataFrame:
     """Root and depth of every model by pointer doubling.
 
     Each round replaces the pointer of every open row by its target's pointer,
     so a chain of length n needs log2(n) rounds. A row is done, and neither
     joined nor written again, once it points at a root; a parent that is not
-    registered counts as one.
+    registered counts as one. A row still open after log2(rows) + 1 rounds
+    hangs on a cycle and comes back with a null root and depth.
     """
     is_root = F.col(parent).isNull()
     start = models.select(
@@ -264,10 +285,9 @@ def lineage(
     written = cut_lineage(start)
     done = [written.filter("__done")]
     pending = written.filter("not __done")
-    rounds = 0
-    while not pending.isEmpty():
-        if 2**rounds > 2 * max_depth:
-            raise ValueError(f"lineage is cyclic or deeper than {max_depth}")
+    for _ in range(written.count().bit_length() + 1):
+        if pending.isEmpty():
+            break
         target = reduce(DataFrame.unionByName, [*done, pending]).select(
             F.col(key).alias("__ptr"),
             F.col("__ptr").alias("__next"),
@@ -283,33 +303,40 @@ def lineage(
         moved = cut_lineage(moved)
         done.append(moved.filter("__done"))
         pending = moved.filter("not __done")
-        rounds += 1
-    return reduce(DataFrame.unionByName, done).select(
+    cyclic = pending.withColumns(
+        {"__ptr": F.lit(None).cast(pending.schema["__ptr"].dataType), "depth": F.lit(None).cast("bigint")}
+    )
+    return reduce(DataFrame.unionByName, [*done, cyclic]).select(
         key, F.col("__ptr").alias("root_id"), "depth"
     )
 
 
-# Every task keeps this many rows of a near page at most.
-SORTED_PAGE_LIMIT = 10_000
-
-
 def page_by_offset(
     registry: DataFrame, limit: int, offset: int = 0, key: str = "id"
 ) -> DataFrame:
     """Rows of one page in ``key`` order with the total row count.
 
-    Near pages are a top-n; far ones go by exact row position, so no task
-    sorts everything before the page. ``key`` is a unique integer there.
+    Any orderable key will do; nulls come first, and rows of equal keys keep
+    places of their own. Rows are dealt out by key ranges, the sizes of the
+    ranges say where a page begins, and only the ranges it touches are sorted.
     """
-    total = registry.agg(F.count("*")).scalar()
-    if limit + offset <= SORTED_PAGE_LIMIT:
-        page = registry.orderBy(key).offset(offset).limit(limit)
-    else:
-        k = F.col(key).cast("bigint")
-        placed = row_position(registry.select(key), [F.col(key)], radix_levels(k))
-        wanted = placed.filter(F.col("position").between(offset, offset + limit - 1))
-        page = registry.join(wanted.select(key), key, "left_semi")
-    return page.withColumn("total", total)
+    ranged = registry.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    # One row per range: as many as there are partitions.
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    sizes = sizes.select(
+        "__range",
+        "__n",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+        F.sum("__n").over(Window.partitionBy()).alias("total"),
+    )
+    touched = sizes.filter((F.col("__before") < offset + limit) & (F.col("__before") + F.col("__n") > offset))
+    inside = Window.partitionBy("__range").orderBy(key)
+    place = F.row_number().over(inside) - 1 + F.col("__before")
+    page = ranged.join(touched, "__range").withColumn("__place", place)
+    page = page.filter(F.col("__place").between(offset, offset + limit - 1)).orderBy("__place")
+    return page.select(*registry.columns, "total")
 
 
 def page_by_number(registry: DataFrame, page: int, size: int, key: str = "id") -> DataFrame:

@@ -89,11 +89,11 @@ def _rows(templates, fields: dict[str, Column], names) -> Column:
     )
 
 
-def media_error(path: Column, length: Column) -> Column:
+def media_error(path: Column, length: Column, max_bytes: int = MAX_UPLOAD_BYTES) -> Column:
     """Why a media file is refused, null when it is accepted."""
     return F.when(
         ~extension(base_name(path)).isin(MEDIA_EXTENSIONS), F.lit("unsupported_format")
-    ).when(length > MAX_UPLOAD_BYTES, F.lit("file_too_large"))
+    ).when(length > max_bytes, F.lit("file_too_large"))
 
 
 def from_media(

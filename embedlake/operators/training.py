@@ -82,10 +82,10 @@ def split_by_position(
 def hash_split(df: DataFrame, key: Sequence[str], share: float = VALIDATION_SHARE) -> DataFrame:
     """Shuffle-free split: a stable hash of the key decides, whole triplets move."""
     digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
-    bound = f"{round(share * 16**8):08x}"
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     return df.withColumn(
         "split",
-        F.when(F.substring(digest, 1, 8) < bound, F.lit("validation")).otherwise(F.lit("train")),
+        F.when(place < round(share * 16**8), F.lit("validation")).otherwise(F.lit("train")),
     )
 
 

@@ -216,7 +216,7 @@ def embedding_prefix(t: Tables) -> DataFrame:
     """WITH cells AS (
   SELECT label, i, embedding[i]::DOUBLE AS h,
          CASE WHEN embedding[1] > -0.2 THEN 1 ELSE 0 END AS m
-  FROM embeddings, range(1, 65) r(i))
+  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
 SELECT label, (i - 1)::INTEGER AS dim, count(*) AS n_tokens,
        round(sum(h * m) / sum(m), 6) + 0.0 AS value
 FROM cells GROUP BY label, i"""
@@ -249,7 +249,57 @@ def token_usage(t: Tables) -> DataFrame:
     return encoder.token_usage(t.documents, "text", ["source", "lang"])
 
 
-@query()
-def hashed_embeddings(t: Tables) -> DataFrame:
-    """Stand-in encoder over every document; hash values have no SQL twin."""
-    return encoder.encode_hashed(t.documents, "text", ["doc_id"], 16)
+@query(
+    """WITH cells AS (
+  SELECT label, i, list_concat(embedding, embedding)[i]::DOUBLE AS h, vec_id % 3 AS m
+  FROM (SELECT *, unnest(range(1, 2 * len(embedding) + 1)) AS i FROM embeddings))
+SELECT label, (i - 1)::INTEGER AS dim, count(*) AS n_tokens,
+       round(sum(h * m) / sum(m), 6) + 0.0 AS value
+FROM cells GROUP BY label, i"""
+)
+def mean_pool_wide(t: Tables) -> DataFrame:
+    """Vectors twice as long; the length comes from the data."""
+    wide = t.embeddings.select(
+        "label", F.concat("embedding", "embedding").alias("embedding"), (F.col("vec_id") % 3).alias("mask")
+    )
+    pooled = encoder.mean_pool(wide, ["label"])
+    rows = pooled.select("label", "n_tokens", F.posexplode("embedding").alias("dim", "value"))
+    return rounded(rows, "value")
+
+
+@query(
+    r"""WITH cut AS (
+  SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f]+')[1:128] AS items FROM documents)
+SELECT 'text' AS kind, doc_id, len(items)::BIGINT AS n_tokens, md5(array_to_string(items, ' ')) AS tokens_md5 FROM cut
+UNION ALL
+SELECT 'ids', vec_id, len(embedding)::BIGINT,
+       md5(array_to_string([floor(x * 1000)::BIGINT FOR x IN embedding], ' ')) FROM embeddings""".replace("\\\\", "\\")
+)
+def token_prefix(t: Tables) -> DataFrame:
+    """The tokens a model is given: 128 of a text, all of a list of ids."""
+    texts = encoder.token_prefix(t.documents.select(F.col("doc_id"), "text"), "text")
+    ids = t.embeddings.select(
+        F.col("vec_id").alias("doc_id"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000)).alias("ids"),
+    )
+    ids = encoder.token_prefix(ids, "ids")
+    shown = ["doc_id", "n_tokens", F.md5("tokens_text").alias("tokens_md5")]
+    return texts.select(F.lit("text").alias("kind"), *shown).unionByName(
+        ids.select(F.lit("ids").alias("kind"), *shown)
+    )
+
+
+@query(
+    f"""WITH {TRIPLETS_SQL},{_scores_sql('all_scores')},
+scores AS (SELECT q_id, label, CASE WHEN q_id % 7 <> 0 THEN pos_sim END AS pos_sim,
+                  CASE WHEN q_id % 7 <> 0 THEN neg_sim END AS neg_sim FROM all_scores)
+SELECT label, count(*) AS num_triplets, count(*) FILTER (pos_sim IS NULL OR neg_sim IS NULL) AS num_unscored,
+       round(avg(pos_sim), 6) + 0.0 AS avg_positive_similarity
+FROM scores GROUP BY label"""
+)
+def evaluate_missing_vectors(t: Tables) -> DataFrame:
+    """Every seventh question has no vector; no triplet is lost."""
+    triplets = vector_triplets(t).withColumn("q_id", F.when(F.col("q_id") % 7 == 0, -F.col("q_id") - 1).otherwise(F.col("q_id")))
+    scored = ev.triplet_scores(ev.attach_vectors(triplets, t.embeddings), ["q_id", "label"])
+    means = ev.scored_only(scored).groupBy("label").agg(F.avg("pos_sim").alias("avg_positive_similarity"))
+    return rounded(ev.unscored(scored, ["label"]).join(means, "label", "left"), "avg_positive_similarity")

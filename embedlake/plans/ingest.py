@@ -10,6 +10,8 @@ from embedlake.operators import archives, canonical as cn, synthesis as sy
 from embedlake.plans.catalog import query
 from embedlake.plans.tables import Tables, archive_members, text_triplets
 from embedlake.plans.training import TEXT_TRIPLETS_SQL
+from embedlake.session import work_dir
+from embedlake.sources.files import ingest, list_files, scan_subsets
 from embedlake.sources.jsonl import canonical_lines, flatten
 
 
@@ -152,22 +154,22 @@ def canonicalize_custom(t: Tables) -> DataFrame:
     )
 
 
-_FIRST_COLUMNS = "prompt instruction query question input system context human text unknown".split()
+_FIRST_COLUMNS = [[c] for c in "prompt instruction query question input system context human text unknown".split()]
 _OTHER_COLUMNS = [
-    "chosen rejected",
-    "chosen",
-    "output",
-    "positive negative",
-    "response_a response_b",
-    "answer",
-    "assistant",
-    "user chosen rejected extra",
-    "question chosen rejected",
+    ["chosen", "rejected"],
+    ["chosen"],
+    ["output"],
+    ["positive", "negative"],
+    ["response_a", "response_b"],
+    ["answer"],
+    ["assistant"],
+    ["user", "chosen", "rejected", "extra"],
+    ["question", "chosen", "rejected"],
 ]
 
 
-def _sql_lists(rows: list[str]) -> str:
-    return "[" + ", ".join("[" + ", ".join(f"'{c}'" for c in r.split()) + "]" for r in rows) + "]"
+def _sql_lists(rows: list[list[str]]) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"'{c}'" for c in r) + "]" for r in rows) + "]"
 
 
 @query(
@@ -186,8 +188,8 @@ SELECT c.doc_id, s.ordinal::INTEGER AS schema_ordinal, s.names[1] AS question_co
 FROM cols c LEFT JOIN first_match f USING (doc_id) LEFT JOIN schemas s ON s.ordinal = f.ordinal"""
 )
 def schema_match(t: Tables) -> DataFrame:
-    def pick(rows: list[str], index) -> F.Column:
-        lists = F.array(*[F.array(*map(F.lit, r.split())) for r in rows])
+    def pick(rows: list[list[str]], index) -> F.Column:
+        lists = F.array(*[F.array(*map(F.lit, r)) for r in rows])
         return F.element_at(lists, (index % len(rows) + 1).cast("int"))
 
     columns = F.concat(
@@ -415,27 +417,14 @@ def json_flatten(t: Tables) -> DataFrame:
     return flatten(raw.select(F.from_json("line", schema).alias("row")).select("row.*"), "_")
 
 
-_IMAGE_SQL = " UNION ALL ".join(
-    f"SELECT 'image' AS kind, {i + 1} AS row_no, '{q}' AS q, '{p}' AS p, '{n}' AS n"
-    for i, (q, p, n) in enumerate(sy.IMAGE_TEMPLATES)
-)
-_PAGE_SQL = " UNION ALL ".join(
-    f"SELECT 'pdf', {i}, " + ", ".join("'" + s.replace("{n}", str(i)) + "'" for s in sy.PAGE_TEMPLATE)
-    for i in range(1, 4)
-)
-
-
 @query(
-    f"""WITH files AS (
-  SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$') || '_' || page_id AS stem,
-    ['pdf', 'png', 'JPG', 'gif', 'jpeg'][1 + page_id % 5] AS ext FROM pages),
-templates AS ({_IMAGE_SQL} UNION ALL {_PAGE_SQL})
-SELECT page_id, row_no, replace(q, '{{stem}}', stem) AS question,
-       replace(p, '{{stem}}', stem) AS positive, n AS negative
-FROM files JOIN templates ON kind = CASE WHEN ext = 'pdf' THEN 'pdf' ELSE 'image' END
-WHERE ext <> 'gif'"""
+    """WITH files AS (
+  SELECT page_id, ['pdf', 'png', 'JPG', 'gif', 'jpeg'][1 + page_id % 5] AS ext, strlen(html) AS length FROM pages)
+SELECT page_id, CASE WHEN ext = 'gif' THEN 'unsupported_format' WHEN length > 5000 THEN 'file_too_large' END AS error
+FROM files"""
 )
-def synth_from_media(t: Tables) -> DataFrame:
+def media_gate(t: Tables) -> DataFrame:
+    """Which media files an upload takes, by suffix and size."""
     kinds = F.array(*map(F.lit, ["pdf", "png", "JPG", "gif", "jpeg"]))
     path = F.concat(
         F.regexp_replace("url", "[?#].*$", ""),
@@ -444,25 +433,54 @@ def synth_from_media(t: Tables) -> DataFrame:
         F.lit("."),
         F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int")),
     )
-    files = t.pages.select("page_id", path.alias("path"), F.octet_length("html").alias("length"))
-    return sy.from_media(files, keep=["page_id"])
+    error = sy.media_error(path, F.octet_length("html"), max_bytes=5000)
+    return t.pages.select("page_id", error.alias("error"))
 
 
-_DATASET_SQL = " UNION ALL ".join(
-    f"SELECT {i + 1} AS row_no, "
-    + ", ".join(
-        "'" + text.replace("'", "''") + f"' AS {name}" for text, name in zip(row, ["q", "p", "n"])
-    )
-    for i, row in enumerate(sy.DATASET_TEMPLATES)
-)
+_ESCAPED = """CASE WHEN left(ltrim(text, E' \\t\\n\\r\\f\\v'), 1) IN ('=', '+', '-', '@')
+  THEN '''' || text ELSE text END"""
+
+
+def _round_trip(t: Tables, kind: str, **options: str) -> DataFrame:
+    """Documents written as files of a kind and read again as a dataset."""
+    folder = work_dir(t.spark, kind)
+    rows = t.documents.select(F.col("text").alias("prompt"), F.col("source").alias("chosen"), F.col("lang").alias("rejected"))
+    rows.write.format(kind).options(**options).save(folder)
+    files = list_files(t.spark, folder).filter(tx.extension(tx.base_name(F.col("path"))) == kind)
+    read = ingest(t.spark, files)
+    rejected = read.files.filter(F.col("error").isNotNull()).select(F.col("error").alias("question_md5"))
+    found = read.rows.select(F.md5("question").alias("question_md5"), "positive", "negative", "classification")
+    found = found.unionByName(rejected, allowMissingColumns=True)
+    return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
+
+
+def _round_trip_sql(text: str) -> str:
+    return f"""SELECT md5({text}) AS question_md5, source AS positive, lang AS negative, 'T' AS classification,
+  count(*) AS n FROM documents GROUP BY ALL"""
+
+
+@query(_round_trip_sql(_ESCAPED))
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Quotes, line breaks and umlauts through CSV files."""
+    return _round_trip(t, "csv", header="true", quote='"', escape='"')
 
 
 @query(
-    f"""WITH counts AS (SELECT source AS dataset, count(*) AS num_rows FROM documents GROUP BY source),
-templates AS ({_DATASET_SQL})
-SELECT dataset, row_no, q AS question, replace(p, '{{rows}}', num_rows::VARCHAR) AS positive, n AS negative
-FROM counts, templates"""
+    """SELECT 'hub/orders_' || o_orderstatus || '_' || CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset_name,
+  o_orderpriority AS question, o_orderkey::VARCHAR AS positive,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR END AS negative,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'D' END AS classification FROM orders"""
 )
-def synth_from_dataset(t: Tables) -> DataFrame:
-    counts = t.documents.groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("num_rows"))
-    return sy.from_datasets(counts)
+def subset_scan(t: Tables) -> DataFrame:
+    """Two subsets with different columns, a split per order status."""
+    folder = work_dir(t.spark, "subsets")
+    rows = t.orders.withColumnRenamed("o_orderstatus", "split")
+    key = F.col("o_orderkey").cast("string")
+    even = rows.filter("o_orderkey % 2 = 0").select(
+        "split", F.col("o_orderpriority").alias("query"), key.alias("chosen"), F.col("o_custkey").cast("string").alias("rejected")
+    )
+    odd = rows.filter("o_orderkey % 2 <> 0").select("split", F.col("o_orderpriority").alias("input"), key.alias("output"))
+    even.write.partitionBy("split").json(f"{folder}/subset=even")
+    odd.write.partitionBy("split").json(f"{folder}/subset=odd")
+    found = scan_subsets(t.spark, folder, "hub/orders")
+    return found.select("dataset_name", "question", "positive", "negative", "classification")

@@ -152,3 +152,26 @@ FROM summed"""
 )
 def in_flight(t: Tables) -> DataFrame:
     return mo.in_flight(requests(t))
+
+
+@query(
+    f"""WITH {REQUESTS_SQL}, partial AS (
+  SELECT CASE WHEN event_id % 5 <> 0 THEN method END AS method, path,
+         CASE WHEN event_id % 11 <> 0 THEN ts END AS ts, duration_s FROM requests),
+steps AS (
+  SELECT method, path, ts AS instant, 1 AS change FROM partial
+  UNION ALL SELECT method, path, ts + to_microseconds(round(duration_s * 1000000)::BIGINT), -1 FROM partial),
+summed AS (SELECT method, path, instant, sum(change) AS change FROM steps GROUP BY ALL)
+SELECT method, path, instant,
+       (sum(change) OVER (PARTITION BY method, path ORDER BY instant NULLS FIRST))::BIGINT AS in_flight
+FROM summed"""
+)
+def in_flight_nulls(t: Tables) -> DataFrame:
+    """Requests without a method or a time keep their rows."""
+    some = requests(t).withColumns(
+        {
+            "method": F.when(F.col("event_id") % 5 != 0, F.col("method")),
+            "ts": F.when(F.col("event_id") % 11 != 0, F.col("ts")),
+        }
+    )
+    return mo.in_flight(some)

@@ -379,3 +379,15 @@ def status_decode(t: Tables) -> DataFrame:
         tx.decoded_status(raw).alias("task_status"),
         tx.expected_version(header).alias("expected_version"),
     )
+
+
+@query(
+    """SELECT 'order ' || o_orderkey AS id, o_totalprice, (SELECT count(*) FROM orders) AS total
+FROM orders ORDER BY id LIMIT 70 OFFSET (SELECT count(*) - 100 FROM orders)"""
+)
+def paged_far_strings(t: Tables) -> DataFrame:
+    """A page near the end of a listing with text ids."""
+    listing = t.orders.select(
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("id"), "o_totalprice"
+    )
+    return rg.page_by_offset(listing, 70, listing.count() - 100)

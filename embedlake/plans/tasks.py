@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from embedlake.operators import tasks as tk
 from embedlake.operators.usage import daily_usage as filled_usage
+from embedlake.operators.usage import usage_by_tag as by_tag
 from embedlake.plans.catalog import query
 from embedlake.plans.tables import TODAY, Tables, models, now, task_log, task_tables
 
@@ -115,3 +116,18 @@ def daily_usage(t: Tables) -> DataFrame:
     usage = t.events.select(F.col("user_id").alias("ai_model_id"), F.col("ts").alias("created_at"))
     created = usage.groupBy("ai_model_id").agg(F.min("created_at").alias("created_at"))
     return filled_usage(created, usage, F.expr(TODAY))
+
+
+@query(
+    """WITH wanted AS (SELECT s_name AS model_tag FROM supplier UNION SELECT n_name FROM nation),
+counts AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT w.model_tag, s_suppkey IS NOT NULL AS found, day,
+       CASE WHEN s_suppkey IS NOT NULL THEN coalesce(n, 0) END AS n
+FROM wanted w LEFT JOIN supplier s ON s.s_name = w.model_tag LEFT JOIN counts c ON c.user_id = s.s_suppkey"""
+)
+def usage_by_tag(t: Tables) -> DataFrame:
+    """Daily calls by model tag; tags of no model are reported as not found."""
+    wanted = t.supplier.select(F.col("s_name").alias("model_tag")).union(t.nation.select("n_name"))
+    known = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("model_tag"))
+    calls = t.events.select(F.col("user_id").alias("ai_model_id"), F.col("ts").alias("created_at"))
+    return by_tag(wanted, known, calls)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlake.operators import training as tr
-from embedlake.operators.canonical import require_valid
+from embedlake.operators.canonical import require_valid, training_errors, validation_report
 from embedlake.operators.ranking import radix_levels
 from embedlake.plans.catalog import query
 from embedlake.plans.tables import Tables, complete_triplets, text_triplets
@@ -144,3 +144,28 @@ def evaluation_triplets(t: Tables) -> DataFrame:
     return require_valid(complete_triplets(t)).select(
         "conv_id", "turn", "question", "positive", "negative"
     )
+
+
+@query(
+    f"""WITH {TEXT_TRIPLETS_SQL},
+wanted AS (SELECT DISTINCT conv_id % 60 AS id FROM conversations),
+stored AS (SELECT DISTINCT conv_id % 50 AS id FROM conversations),
+rows_ AS (SELECT conv_id % 50 AS id, * FROM text_triplets WHERE conv_id % 50 <> 7),
+report AS (
+  SELECT id, count(*) FILTER (negative IS NULL) AS lost, count(*) AS n FROM rows_ GROUP BY id)
+SELECT w.id, nullif(concat_ws('; ',
+    CASE WHEN s.id IS NULL THEN 'dataset not found' END,
+    CASE WHEN s.id % 9 = 0 THEN 'missing columns: positive, negative' END,
+    CASE WHEN s.id IS NOT NULL AND n IS NULL THEN 'dataset is empty' END,
+    CASE WHEN s.id IS NOT NULL AND lost > 0 THEN 'Column ''negative'' contains ' || lost || ' null values' END), '') AS error
+FROM wanted w LEFT JOIN stored s USING (id) LEFT JOIN report r USING (id)"""
+)
+def training_dataset_check(t: Tables) -> DataFrame:
+    """Unknown ids, missing columns and bad values of the wanted datasets together."""
+    part = lambda n: (F.col("conv_id") % n).alias("id")
+    whole = F.array(*map(F.lit, ["question", "positive", "negative"]))
+    short = F.array(F.lit("question"), F.lit("extra"))
+    stored = t.conversations.select(part(50)).distinct()
+    stored = stored.withColumn("columns", F.when(F.col("id") % 9 == 0, short).otherwise(whole))
+    rows = text_triplets(t).select(part(50), "question", "positive", "negative").filter("id <> 7")
+    return training_errors(t.conversations.select(part(60)), stored, validation_report(rows, ["id"]))

@@ -1,7 +1,8 @@
 """Mixed dataset files to canonical rows, with a verdict for every file.
 
-A job plans on the file list: a cheap per-file look (first MiB) decides format,
-delimiter, encoding and header; files that read alike go through one reader.
+A job plans on the file list: a look at each file decides format, delimiter and
+header (first MiB) and charset and NUL bytes (all of it); files that read alike
+go through one reader.
 Rows then carry their cells as a map, and the column choice of each file is
 one small aggregate joined back.
 """
@@ -17,9 +18,10 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from embedlake.functions import text as tx
-from embedlake.operators.canonical import ALIASES, ROLES, cell_violations, schema_mapping
+from embedlake.operators.canonical import ALIASES, ROLES, cell_violations, match_schema
 from embedlake.operators.registry import minted_id
 from embedlake.session import cut_lineage
 from embedlake.sources.jsonl import flatten
@@ -31,7 +33,6 @@ from embedlake.sources.workbook import read_workbooks
 MAX_FILES = 100_000
 # Distinct (delimiter, encoding, header) shapes one call reads.
 MAX_SHAPES = 1_000
-WHOLE_CHECK_BYTES = 64 << 20
 # CSV files above this size are checked for splitting.
 SPLIT_BYTES = 128 << 20
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
@@ -61,32 +62,43 @@ def _empty_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame([(prefix + p, 0) for p in empty], columns=["path", "length"])
 
 
-def _encoding(file, head: bytes) -> str:
-    """UTF-8 when the bytes decode (whole small files, else the head)."""
+def _look(file) -> tuple[str, bool, bytes]:
+    """Charset, presence of a NUL byte and first bytes, from the whole file.
+
+    The file passes through in pieces of one MiB, none of which is kept.
+    """
     decoder = codecs.getincrementaldecoder("utf-8")()
-    seen, chunk = 0, head
-    try:
-        while chunk and seen < WHOLE_CHECK_BYTES:
-            decoder.decode(chunk)
-            seen += len(chunk)
-            chunk = file.read(1 << 20)
+    head = chunk = file.read(tx.HEADER_BYTES)
+    encoding, nul = UTF8, False
+    while True:
+        nul = nul or b"\x00" in chunk
+        if encoding == UTF8:
+            try:
+                decoder.decode(chunk, final=not chunk)
+            except UnicodeDecodeError:
+                encoding = LATIN1
         if not chunk:
-            decoder.decode(b"", final=True)
-    except UnicodeDecodeError:
-        return LATIN1
-    return UTF8
+            return encoding, nul, head
+        chunk = file.read(1 << 20)
+
+
+HEAD_COLUMNS = ["path", "length", "encoding", "nul", "head", "problem"]
+HEAD_SCHEMA = "path string, length bigint, encoding string, nul boolean, head string, problem string"
 
 
 def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A file that can't be read is a row with a problem, not a failed job."""
     for frame in frames:
         for path, length in zip(frame["path"], frame["length"]):
-            with open_for_reading(path) as file:
-                head = file.read(tx.HEADER_BYTES)
-                encoding = _encoding(file, head)
-            text = head.removeprefix(codecs.BOM_UTF8).decode(encoding, errors="ignore")
-            yield pd.DataFrame(
-                [(path, length, encoding, text)], columns=["path", "length", "encoding", "head"]
-            )
+            encoding = text = problem = None
+            nul = False
+            try:
+                with open_for_reading(path) as file:
+                    encoding, nul, head = _look(file)
+                text = head.removeprefix(codecs.BOM_UTF8).decode(encoding, errors="ignore")
+            except OSError as failure:
+                problem = str(failure)
+            yield pd.DataFrame([(path, length, encoding, nul, text, problem)], columns=HEAD_COLUMNS)
 
 
 def inspect(files: DataFrame, max_bytes: int = tx.MAX_UPLOAD_BYTES, strict: bool = False) -> DataFrame:
@@ -95,14 +107,16 @@ def inspect(files: DataFrame, max_bytes: int = tx.MAX_UPLOAD_BYTES, strict: bool
     ``strict`` also refuses files whose head shows a formula pattern or any
     ``@``; the default escapes formulas cell by cell instead.
     """
-    seen = files.mapInPandas(_heads, "path string, length bigint, encoding string, head string")
+    seen = files.mapInPandas(_heads, HEAD_SCHEMA)
     ext = tx.extension(tx.base_name(F.col("path")))
     verdict = tx.content_verdict(F.col("head"), ext)
     if not strict:
         verdict = F.when(verdict != "malicious_content", verdict)
     error = (
-        F.when(F.col("length") == 0, F.lit("empty_file"))
+        F.when(F.col("problem").isNotNull(), F.lit("unreadable"))
+        .when(F.col("length") == 0, F.lit("empty_file"))
         .when(F.col("length") > max_bytes, F.lit("file_too_large"))
+        .when(F.col("nul") & (ext != "xlsx") & ext.isin(tx.DATASET_EXTENSIONS), F.lit("nul_byte"))
         .otherwise(verdict)
     )
     error = F.coalesce(error, F.when(ext == "xls", F.lit("unsupported_format")))
@@ -140,10 +154,11 @@ def _file_path() -> Column:
     return F.regexp_replace(F.url_decode(encoded), "^file:/+", "file:/")
 
 
-def _as_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+def _as_cells(df: DataFrame, columns: list[str], malformed: Column | None = None) -> DataFrame:
     pairs = [x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
     cells = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
-    return df.select("path", cells.alias("cells"), F.lit(False).alias("malformed"))
+    bad = malformed if malformed is not None else F.lit(False)
+    return df.select("path", cells.alias("cells"), bad.alias("malformed"))
 
 
 def _one_line_records(spark: SparkSession, paths: list[str]) -> set[str]:
@@ -161,32 +176,55 @@ def _one_line_records(spark: SparkSession, paths: list[str]) -> set[str]:
 
 
 def _read_csv(spark, paths, delimiter, encoding, multiline) -> DataFrame:
-    df = (
+    """CSV cells; a record with more cells than the header is malformed."""
+    reader = (
         spark.read.option("header", "true")
         .option("sep", delimiter)
         .option("encoding", encoding)
         .option("multiLine", str(multiline).lower())
         .option("quote", '"')
         .option("escape", '"')
-        .csv(paths)
     )
-    return _as_cells(df.withColumn("path", _file_path()), df.columns)
+    columns = reader.csv(paths).columns
+    raw = max(["__record", *(c + "_" for c in columns if c.startswith("__record"))], key=len)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, raw]])
+    df = reader.schema(schema).option("columnNameOfCorruptRecord", raw).csv(paths)
+    # Records of another width come back raw; the short ones end in nulls.
+    bare = F.regexp_replace(F.col(raw), '"(?:[^"]|"")*"', "")
+    wide = F.coalesce(tx.occurrences(bare, delimiter) >= len(columns), F.lit(False))
+    return _as_cells(df.withColumn("path", _file_path()), columns, wide)
 
 
 _OBJECT = "map<string,string>"
 
 
-def _read_jsonl(spark, paths) -> DataFrame:
-    lines = spark.read.text(paths).select(_file_path().alias("path"), "value")
+def _lines_of(spark, paths, encoding) -> DataFrame:
+    """Lines of files; of charsets other than UTF-8 only the CSV reader knows."""
+    if encoding == UTF8:
+        return spark.read.text(paths).select(_file_path().alias("path"), "value")
+    lines = (
+        spark.read.schema("value string")
+        .option("encoding", encoding)
+        .option("sep", "\x01")
+        .option("quote", "")
+        .csv(paths)
+    )
+    return lines.select(_file_path().alias("path"), "value")
+
+
+def _read_jsonl(spark, paths, encoding) -> DataFrame:
+    lines = _lines_of(spark, paths, encoding)
     cells = F.from_json("value", _OBJECT)
     return lines.filter(~F.col("value").rlike(r"^\s*$")).select(
         "path", cells.alias("cells"), cells.isNull().alias("malformed")
     )
 
 
-def _read_json(spark, paths) -> DataFrame:
+def _read_json(spark, paths, encoding) -> DataFrame:
     """Arrays of objects and ``{"data": [...]}`` envelopes."""
-    documents = spark.read.text(paths, wholetext=True).select(_file_path().alias("path"), "value")
+    whole = spark.read.format("binaryFile").load(paths)
+    text = F.decode("content", encoding)
+    documents = whole.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), text.alias("value"))
     is_array = F.ltrim("value").startswith("[")
     items = F.when(is_array, F.from_json("value", f"array<{_OBJECT}>")).otherwise(
         F.from_json("value", f"data array<{_OBJECT}>")["data"]
@@ -196,10 +234,13 @@ def _read_json(spark, paths) -> DataFrame:
     )
 
 
-def _read_json_objects(spark, paths) -> DataFrame:
+def _read_json_objects(spark, paths, encoding) -> DataFrame:
     """One object per file as one row of dotted columns."""
     rows = flatten(
-        spark.read.option("multiLine", "true").json(paths).withColumn("path", _file_path())
+        spark.read.option("multiLine", "true")
+        .option("encoding", encoding)
+        .json(paths)
+        .withColumn("path", _file_path())
     )
     # Columns of other files of the group are no columns of this one.
     return _as_cells(rows, [c for c in rows.columns if c != "path"]).withColumn(
@@ -207,8 +248,9 @@ def _read_json_objects(spark, paths) -> DataFrame:
     )
 
 
-def _read_xml(spark, paths, row_tag) -> DataFrame:
-    df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").load(paths)
+def _read_xml(spark, paths, row_tag, encoding) -> DataFrame:
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("encoding", encoding)
+    df = reader.option("inferSchema", "false").load(paths)
     filled = df.select(
         _file_path().alias("path"),
         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns],
@@ -223,7 +265,7 @@ def read_cells(spark: SparkSession, inspected: DataFrame, sheet: int = 0) -> Dat
     shapes = [
         "extension",
         F.when(is_csv, F.col("delimiter")).alias("sep"),
-        F.when(is_csv, F.col("encoding")).alias("charset"),
+        F.col("encoding").alias("charset"),
         F.col("shape"),
     ]
     large = (is_csv & (F.col("length") > SPLIT_BYTES)).alias("large")
@@ -244,13 +286,13 @@ def read_cells(spark: SparkSession, inspected: DataFrame, sheet: int = 0) -> Dat
         if ext == "csv":
             parts.append(_read_csv(spark, paths, sep, charset, multiline))
         elif ext == "jsonl":
-            parts.append(_read_jsonl(spark, paths))
+            parts.append(_read_jsonl(spark, paths, charset))
         elif ext == "json" and shape == "object":
-            parts.append(_read_json_objects(spark, paths))
+            parts.append(_read_json_objects(spark, paths, charset))
         elif ext == "json":
-            parts.append(_read_json(spark, paths))
+            parts.append(_read_json(spark, paths, charset))
         elif ext == "xml" and shape:
-            parts.append(_read_xml(spark, paths, shape))
+            parts.append(_read_xml(spark, paths, shape, charset))
     if any(ext == "xlsx" for ext, *_ in groups):
         parts.append(read_workbooks(usable.filter("extension = 'xlsx'"), sheet))
     if not parts:
@@ -327,6 +369,8 @@ def ingest(
         F.count("*").alias("num_rows"),
         F.count_if("malformed").alias("malformed_rows"),
         *[F.min(ranks[r]).alias(f"{r}_rank") for r in ROLES],
+        # Rows without any header a role goes by.
+        *[F.count_if(ranks[r].isNull()).alias(f"no_{r}") for r in ROLES],
     )
 
     def name_of(role: str) -> Column:
@@ -391,6 +435,7 @@ def ingest(
         "error",
         "detail",
         F.col("num_rows").alias("rows"),
+        *[f"no_{r}" for r in ROLES],
         "classification",
         "dataset_id",
         names["file_name"].alias("file_name"),
@@ -401,16 +446,25 @@ def ingest(
 def scan_subsets(spark: SparkSession, root: str, tag: str) -> DataFrame:
     """All subsets and splits of a dataset laid out as ``subset=/split=`` folders.
 
-    Columns come from the first allowed schema the files cover; rows keep the
-    registry and file name of their part.
+    Every subset and split goes by the first allowed schema that its own keys
+    cover; rows keep the registry and file name of their part. A part that no
+    schema fits, and a line that is no object, fails the job.
     """
-    df = spark.read.json(root)
-    roles = schema_mapping(df.columns)
-    split = F.col("split") if "split" in df.columns else F.lit(None).cast("string")
-    subset = F.col("subset") if "subset" in df.columns else F.lit("default")
-    names = tx.dataset_names(F.lit(tag), split, subset)
-    return df.select(
-        *[c.alias(n) for n, c in names.items()],
-        *[F.col(source).alias(role) for role, source in roles.items()],
-        F.lit("T" if "negative" in roles else "D").alias("classification"),
+    lines = spark.read.text(root)
+    split = F.col("split") if "split" in lines.columns else F.lit(None).cast("string")
+    subset = F.col("subset") if "subset" in lines.columns else F.lit("default")
+    broken = F.raise_error(F.lit("a line is no JSON object")).cast(_OBJECT)
+    blank = F.col("value").rlike(r"^\s*$")
+    rows = lines.where(~blank).select(
+        F.struct(subset.cast("string").alias("subset"), split.cast("string").alias("split")).alias("part"),
+        # Filters may move below this, so it does not rely on the one above.
+        F.coalesce(F.from_json("value", _OBJECT), F.when(~blank, broken)).alias("cells"),
     )
+    keys = rows.select("part", F.explode("cells").alias("key", "cell")).groupBy("part")
+    lost = F.raise_error(F.concat(F.lit("no allowed schema fits "), F.to_json("columns"))).cast("string")
+    matched = match_schema(keys.agg(F.collect_set("key").alias("columns")), "columns")
+    matched = matched.withColumn("question_column", F.coalesce("question_column", lost))
+    joined = rows.join(matched, "part")
+    names = tx.dataset_names(F.lit(tag), F.col("part.split"), F.col("part.subset"))
+    values = {r: F.try_element_at("cells", F.col(f"{r}_column")).alias(r) for r in ROLES}
+    return joined.select(*[c.alias(n) for n, c in names.items()], *values.values(), "classification")

@@ -307,3 +307,40 @@ def test_folder_stream(spark, tmp_path):
     registry = spark.read.parquet(f"{out}/registry")
     assert registry.count() == 4 and {r.rows for r in registry.collect()} == {1}
     assert spark.read.parquet(f"{out}/rejects").count() == 1
+
+
+def test_wide_rows_charsets_and_lost_files(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("question,positive\na,b\nc,d,EXTRA\n")
+    (tmp_path / "short.csv").write_text('question,positive,negative\n"a,1",b\n')
+    (tmp_path / "latin.jsonl").write_bytes('{"question": "Grüße", "positive": "ä"}\n'.encode("latin-1"))
+    (tmp_path / "latin.json").write_bytes('[{"question": "Größe", "positive": "ä"}]'.encode("latin-1"))
+    late = b"question,positive\n" + b"a,b\n" * 300_000
+    (tmp_path / "late.csv").write_bytes(late + "é,ü\n".encode("latin-1"))
+    (tmp_path / "nul.csv").write_bytes(late + b"\x00,b\n")
+    files = list_files(spark, str(tmp_path))
+    lost = spark.createDataFrame([(f"file:{tmp_path}/gone.csv", 5)], files.schema)
+    result = ingest(spark, files.unionByName(lost))
+    errors = {n: r[0].error for n, r in by_name(result.files).items()}
+    assert errors == {
+        "wide.csv": "invalid_format", "short.csv": None, "latin.jsonl": None, "latin.json": None,
+        "late.csv": None, "nul.csv": "nul_byte", "gone.csv": "unreadable",
+    }
+    rows = by_name(result.rows)
+    assert rows["latin.jsonl"][0].question == "Grüße" and rows["latin.json"][0].question == "Größe"
+    short = rows["short.csv"][0]
+    assert (short.question, short.positive, short.negative) == ("a,1", "b", None)
+    assert ("é", "ü") in {(r.question, r.positive) for r in rows["late.csv"]}
+
+
+def test_subsets_go_by_their_own_columns(spark, tmp_path):
+    parts = [("a", ["prompt", "chosen", "rejected"]), ("b", ["query", "chosen", "rejected"]), ("c", ["input", "output"])]
+    for subset, keys in parts:
+        part = tmp_path / f"subset={subset}" / "split=train"
+        part.mkdir(parents=True)
+        (part / "x.json").write_text(json.dumps({k: f"{subset} {k}" for k in keys}) + "\n\n")
+    found = scan_subsets(spark, str(tmp_path), "t").collect()
+    assert {(r.question, r.positive, r.negative, r.classification) for r in found} == {
+        ("a prompt", "a chosen", "a rejected", "T"),
+        ("b query", "b chosen", "b rejected", "T"),
+        ("c input", "c output", None, "D"),
+    }
