@@ -1,8 +1,8 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
 Lines are normalised; equal ones are one line. Each distinct line gets a 64-bit
-SimHash of its words. Two fingerprints that differ in at most 3 of 64 bits
-agree in at least two of five blocks, so lines are joined on every pair of
+SimHash of its words. Two fingerprints that differ in at most 2 of 64 bits
+agree in at least two of four blocks, so lines are joined on every pair of
 blocks, compared by bits, and verified by edit similarity. Connected lines are
 one group, and the first occurrence of a group stays.
 """
@@ -11,25 +11,24 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedlake.llm import batches
 from embedlake.llm.components import components
 from embedlake.session import cut_lineage
 
-BITS, BLOCKS, DISTANCE = 64, 5, 3
+BITS, BLOCKS, DISTANCE = 64, 4, 2
 SIMILARITY, LEAST_WORDS = 0.9, 5
 
 
 def normalised(line: Column) -> Column:
-    """Lower case; runs of digits are 0; everything but letters and digits is one blank."""
-    marks = F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{Nd}]+", " ")
-    return F.trim(F.regexp_replace(marks, r"\p{Nd}+", "0"))
+    """Lower case; runs of ASCII that hold no letter are one blank."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x60\x7B-\x7F]+", " "))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """`doc_id, print, at, norm` of all lines with a letter or digit."""
+    """`doc_id, print, at, norm` of all lines with a letter."""
     filled = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(filled).alias("print"), F.posexplode(F.split(filled, "\n")).alias("at", "line")
@@ -40,19 +39,27 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def simhash(lines: DataFrame) -> DataFrame:
     """`line, simhash` from `line` (64-bit key) and `norm`, one row per line.
 
-    For each of 64 bits the words vote; two votes are counted in one long. A
+    For each of 64 bits the words vote. Four votes of up to 65,535 words are
+    counted in one long, two of any number in lines that have more words. A
     line of `lines` lies in one partition already, so this adds no shuffle.
     """
+    wide = F.size(F.split("norm", " ")) >= 1 << 16
+    return _votes(lines.where(~wide), 4).unionByName(_votes(lines.where(wide), 2))
+
+
+def _votes(lines: DataFrame, lanes: int) -> DataFrame:
+    width = BITS // lanes
+    ones = sum(1 << (width * i) for i in range(lanes))
     words = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).select("line", F.xxhash64("word").alias("w"))
-    two = F.lit((1 << 32) + 1)
-    votes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(two)).alias(f"v{i}") for i in range(32)]
+    votes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(ones))).alias(f"v{i}") for i in range(width)]
     counted = words.groupBy("line").agg(F.count("*").alias("n"), *votes)
     out = F.lit(0).cast("long")
-    for i in range(32):
-        low, high = F.col(f"v{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"v{i}", 32)
-        out = out.bitwiseOR(F.when(low * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-        top = (1 << (i + 32)) if i < 31 else -(1 << 63)
-        out = out.bitwiseOR(F.when(high * 2 > F.col("n"), F.lit(top).cast("long")).otherwise(F.lit(0).cast("long")))
+    for i in range(width):
+        for lane in range(lanes):
+            vote = F.shiftrightunsigned(f"v{i}", width * lane).bitwiseAND(F.lit((1 << width) - 1))
+            place = i + width * lane
+            bit = F.lit((1 << place) - (1 << 64 if place == 63 else 0)).cast("long")
+            out = out.bitwiseOR(F.when(vote * 2 > F.col("n"), bit).otherwise(F.lit(0).cast("long")))
     return counted.select("line", out.alias("simhash"))
 
 
@@ -64,7 +71,21 @@ def _block_masks(blocks: int, keep: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def similar_lines(
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The `a, b` pairs whose lines are similar by edit distance."""
+    joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("p")), "a")
+    joined = joined.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("q")), "b")
+    longest = F.greatest(F.length("p"), F.length("q"))
+    joined = joined.withColumn("most", F.floor(longest * (1 - similarity) + 1e-9).cast("int"))
+    joined = joined.where(F.abs(F.length("p") - F.length("q")) <= F.col("most"))
+    return joined.where(F.expr("levenshtein(p, q, most) >= 0")).select("a", "b")
+
+
+def _near(x: str, y: str, distance: int) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+
+
+def line_groups(
     docs: DataFrame,
     similarity: float = SIMILARITY,
     distance: int = DISTANCE,
@@ -73,28 +94,52 @@ def similar_lines(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """`a, b`: keys of distinct normalised lines that are near duplicates.
+    """`line, group`: distinct normalised lines connected by near duplicates.
+
+    `line` is a 64-bit key, `group` the smallest key reached. Pairs within
+    `distance` bits and `similarity` connect; lines of fewer than `least_words`
+    words are only equal or not, and lines without a partner are not listed.
+    More `blocks` make longer, more selective keys and more rows per line.
 
-    All pairs within `distance` bits are found and verified; lines of fewer
-    than `least_words` words are only equal or not. More `blocks` make longer,
-    more selective keys and more rows per line.
+    Inside a bucket of equal blocks every line is first compared with the
+    smallest line and with the one before it, so a bucket of n lines makes 2n
+    pairs. Only lines of a bucket that are not connected by then are compared
+    with each other, so nothing within the distance is lost.
     """
     # Equal lines meet as one row per task before the shuffle.
     keyed = _lines(docs, doc_id, text).select(F.xxhash64("norm").alias("line"), "norm")
     distinct = keyed.where(F.size(F.split("norm", " ")) >= least_words).groupBy("line").agg(F.max("norm").alias("norm"))
     masks = F.array(*[F.lit(m).cast("long") for m in _block_masks(blocks, blocks - distance)])
-    bands = simhash(distinct).select("line", "simhash", F.posexplode(masks).alias("choice", "mask"))
-    bands = bands.select("line", "simhash", "choice", F.col("simhash").bitwiseAND(F.col("mask")).alias("key"))
-    left = bands.select("choice", "key", F.col("line").alias("a"), F.col("simhash").alias("x"))
-    right = bands.select("choice", "key", F.col("line").alias("b"), F.col("simhash").alias("y"))
-    near = left.join(right, ["choice", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance))
-    pairs = near.select("a", "b").distinct()
-    pairs = pairs.join(distinct.select(F.col("line").alias("a"), F.col("norm").alias("p")), "a")
-    pairs = pairs.join(distinct.select(F.col("line").alias("b"), F.col("norm").alias("q")), "b")
-    longest = F.greatest(F.length("p"), F.length("q"))
-    pairs = pairs.withColumn("most", F.floor(longest * (1 - similarity) + 1e-9).cast("int"))
-    pairs = pairs.where(F.abs(F.length("p") - F.length("q")) <= F.col("most"))
-    return pairs.where(F.expr("levenshtein(p, q) <= most")).select("a", "b")
+    bands = simhash(distinct).select("line", "simhash", F.explode(masks).alias("mask"))
+    bands = bands.withColumn("key", F.col("simhash").bitwiseAND(F.col("mask")))
+    # Running frames: a bucket streams through its task, nothing is gathered.
+    order = Window.partitionBy("mask", "key").orderBy("line")
+    mate = F.struct("line", "simhash")
+    met = bands.select(
+        "*", F.lag(mate).over(order).alias("prev"), F.lead("line").over(order).alias("next"), F.first(mate).over(order).alias("head")
+    )
+    # Buckets of one line are done; of the others few are left, with their texts.
+    active = met.where("prev is not null or next is not null").drop("next")
+    active = cut_lineage(active.join(distinct, "line"))
+    texts = active.groupBy("line").agg(F.max("norm").alias("norm"))
+    mates = active.where("prev is not null").select("line", "simhash", F.inline(F.array("prev", "head")).alias("other", "theirs"))
+    first = mates.where(_near("simhash", "theirs", distance)).select(F.col("other").alias("a"), F.col("line").alias("b"))
+    edges = cut_lineage(_verified(first.distinct(), texts, similarity))
+    named = cut_lineage(components(edges, small=0))
+
+    slim = active.select("line", "simhash", "mask", "key").join(named.withColumnRenamed("node", "line"), "line", "left")
+    slim = slim.withColumn("component", F.coalesce("component", "line"))
+    split = slim.groupBy("mask", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    apart = slim.join(split.select("mask", "key"), ["mask", "key"], "left_semi")
+    left = apart.select("mask", "key", F.col("line").alias("a"), F.col("simhash").alias("x"), F.col("component").alias("c"))
+    right = apart.select("mask", "key", F.col("line").alias("b"), F.col("simhash").alias("y"), F.col("component").alias("d"))
+    rest = left.join(right, ["mask", "key"]).where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _near("x", "y", distance))
+    more = cut_lineage(_verified(rest.select("a", "b").distinct(), texts, similarity))
+    if more.isEmpty():
+        return named.select(F.col("node").alias("line"), F.col("component").alias("group"))
+    stars = named.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    every = components(stars.union(more), small=0)
+    return every.select(F.col("node").alias("line"), F.col("component").alias("group"))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -102,13 +147,11 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     `print` is xxhash64 of the text (empty for null). Of each group of near
     duplicate lines the first occurrence stays, by doc_id (null last), print
-    and position. Lines without a letter or digit are left alone. Rows of equal
+    and position. Lines without a letter are left alone. Rows of equal
     doc_id and text are one document. Documents that lose nothing, empty texts
     and empty tables give no rows.
     """
-    named = components(similar_lines(docs, doc_id=doc_id, text=text, **options), small=0).select(
-        F.col("node").alias("line"), F.col("component").alias("group")
-    )
+    named = line_groups(docs, doc_id=doc_id, text=text, **options)
     lines = _lines(docs, doc_id, text).select(
         "doc_id", "print", "at", F.xxhash64("norm").alias("line"), F.xxhash64(F.lit(1), "norm").alias("check")
     )
@@ -128,8 +171,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with the later near-duplicate lines cut out of the text.
 
-    All columns are kept. A document left without any letter or digit goes if
-    it had one before; one that had none stays as it is.
+    All columns are kept. A document left without any letter goes if it had
+    one before; one that had none stays as it is.
     """
     gone = repeated_lines(docs, doc_id, text, **options).withColumnsRenamed({"doc_id": "gone_id", "print": "gone_print"})
     rows = docs.select(batches.packed(docs), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -138,5 +181,5 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     joined = rows.join(gone, same, "left")
     lines = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i))
     rest = joined.withColumn("rest", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
-    kept = rest.where(F.col("dropped").isNull() | F.col("rest").rlike(r"[\p{L}\p{Nd}]"))
+    kept = rest.where(F.col("dropped").isNull() | F.col("rest").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
     return batches.unpacked(kept, docs.columns, **{text: F.col("rest")})

@@ -384,8 +384,7 @@ def test_components(spark, seed):
 
 
 def norm(line):
-    out = re.sub(r"[^\w]+|_+", " ", line.lower())
-    return re.sub(r"\d+", "0", re.sub(r" +", " ", out).strip())
+    return re.sub(r"[\x00-\x60\x7B-\x7F]+", " ", line.lower()).strip(" ")
 
 
 def spark_hash(text):
@@ -443,7 +442,7 @@ def brute_lines(rows):
     links = 0
     for a in marks:
         for b in marks:
-            if a < b and (marks[a] ^ marks[b]).bit_count() <= 3:
+            if a < b and (marks[a] ^ marks[b]).bit_count() <= 2:
                 if distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
                     root[find(b)] = find(a)
                     links += 1
@@ -458,7 +457,7 @@ def brute_lines(rows):
 def test_fuzzy_lines(spark):
     rows = line_corpus()
     expected, links = brute_lines(rows)
-    assert links > 3
+    assert links > 1
     got = fuzzy_lines.repeated_lines(frame(spark, rows)).collect()
     texts = dict(rows)
     assert {(r["doc_id"], texts[r["doc_id"]]): r["dropped"] for r in got} == dict(expected)

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from embedlake.llm import queries
 from oracle import connect, differences
-from test_llm_ops import brute_groups, brute_lines, brute_repetition, brute_windows
+from test_llm_ops import brute_groups, brute_lines, brute_repetition, brute_windows, norm
 
 FOLDER = os.environ.get("EMBEDLAKE_TEST_DATA", "/root/testdata/sf0.001")
 SQL = queries.oracle_sql()
@@ -54,7 +54,7 @@ def lines(spark, rows):
     out = []
     for key, text in rows:
         rest = [x for i, x in enumerate(text.split("\n")) if i not in gone.get((key, text), [])]
-        if any(c.isalnum() for x in rest for c in x):
+        if any(norm(x) for x in rest):
             out.append((key, "\n".join(rest)))
     return out
 
