@@ -11,15 +11,20 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Pieces held per worker before the memory starts anew (about 200 MB).
-PIECES = 1_000_000
+# Pieces held per worker before the memory starts anew (about 70 MB).
+PIECES = 300_000
 LONGEST_PIECE = 64
 MARKS = ".,;:!?"
+# Letters before this one are composed, and lower-case the same everywhere.
+LATIN_END = "\u0250"
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 # A line break beside other white space, or at an end, is left to the library.
 _BLANKS = re.compile(r"^\n|\n$|\s\n|\n\s|[^\S\n ]")
 
@@ -40,7 +45,9 @@ def _kind(path: str) -> str:
 class _Pieces(dict):
     """Ids by piece. A new piece is cut once more where that is safe: before
     trailing marks that follow a letter or digit, and around a line break
-    between two other characters; what is left is encoded by the library."""
+    between two other characters. What is left is encoded by the library; a
+    word of Latin letters is one pre-token, so the library's model gets it
+    directly."""
 
     def __init__(self, library, lead: str, limit: int, inner: _Pieces | None = None):
         self.library, self.lead, self.limit, self.inner = library, lead, limit, self if inner is None else inner
@@ -55,6 +62,9 @@ class _Pieces(dict):
             first, *rest = piece.split("\n")
             ids = self[first] + b"".join(self.inner["\n"] + self.inner[x] for x in rest)
             return ids
+        elif piece.isalpha() and (piece.isascii() or max(piece) < LATIN_END) and (self.lead or piece.islower()):
+            found = self.library.model.tokenize(_byte_chars(self.lead + piece))
+            ids = _packed([t.id for t in found])
         else:
             ids = _library(self.library, self.lead + piece)
         if len(piece) <= LONGEST_PIECE:
@@ -62,8 +72,27 @@ class _Pieces(dict):
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
+
+
 def _library(library, text: str) -> bytes:
-    return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return _packed(library.encode(text, add_special_tokens=False).ids)
+
+
+def _byte_table() -> dict[int, int]:
+    """Byte-level tokenizers write a byte as the character of its number, or as
+    the next one from 256 on if that one can't be seen."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_HIDDEN = _byte_table()
+
+
+def _byte_chars(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_HIDDEN)
 
 
 class Encoder:
