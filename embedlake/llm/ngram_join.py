@@ -27,7 +27,7 @@ SHINGLE, PERCENT = 5, 75
 LONGEST_MATCH = 4
 # Shingles of one reduce group and sets of one verification block, on average.
 GROUP, BLOCK = 1 << 21, 1024
-SLICE = 16 << 20
+SLICE = 6 << 20
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
