@@ -19,6 +19,9 @@ from embedlake.llm.components import components
 from embedlake.session import cut_lineage
 
 BITS, BLOCKS, DISTANCE = 64, 4, 2
+# Bits of a vote count; more words than it holds are only compared exactly.
+LANE = 21
+MOST_WORDS = (1 << LANE) - 1
 SIMILARITY, LEAST_WORDS = 0.9, 5
 
 
@@ -39,30 +42,31 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def simhash(lines: DataFrame) -> DataFrame:
     """`line, simhash` from `line` (64-bit key) and `norm`, one row per line.
 
-    For each of 64 bits the words vote. Four votes of up to 65,535 words are
-    counted in one long, two of any number in lines that have more words. A
-    line of `lines` lies in one partition already, so this adds no shuffle.
+    For each of 64 bits the words vote. Votes of three bits are counted in one
+    long, 21 bits each, so a line may have up to MOST_WORDS words. A line of
+    `lines` lies in one partition already, so this adds no shuffle.
     """
-    wide = F.size(F.split("norm", " ")) >= 1 << 16
-    return _votes(lines.where(~wide), 4).unionByName(_votes(lines.where(wide), 2))
-
-
-def _votes(lines: DataFrame, lanes: int) -> DataFrame:
-    width = BITS // lanes
-    ones = sum(1 << (width * i) for i in range(lanes))
     words = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).select("line", F.xxhash64("word").alias("w"))
-    votes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(ones))).alias(f"v{i}") for i in range(width)]
-    counted = words.groupBy("line").agg(F.count("*").alias("n"), *votes)
-    out = F.lit(0).cast("long")
-    for i in range(width):
-        for lane in range(lanes):
-            vote = F.shiftrightunsigned(f"v{i}", width * lane).bitwiseAND(F.lit((1 << width) - 1))
-            place = i + width * lane
-            bit = F.lit((1 << place) - (1 << 64 if place == 63 else 0)).cast("long")
-            out = out.bitwiseOR(F.when(vote * 2 > F.col("n"), bit).otherwise(F.lit(0).cast("long")))
+    lanes = F.lit(1 | 1 << LANE | 1 << 2 * LANE)
+    votes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(lanes)).alias(f"v{i}") for i in range(LANE)]
+    last = F.sum(F.shiftrightunsigned("w", BITS - 1)).alias("last")
+    counted = words.groupBy("line").agg(F.count("*").alias("n"), *votes, last)
+    out = F.when(F.col("last") * 2 > F.col("n"), F.lit(-(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    for place in range(BITS - 1):
+        lane, i = divmod(place, LANE)
+        vote = F.shiftrightunsigned(f"v{i}", LANE * lane).bitwiseAND(F.lit((1 << LANE) - 1))
+        bit = F.when(vote * 2 > F.col("n"), F.lit(1 << place).cast("long")).otherwise(F.lit(0).cast("long"))
+        out = out.bitwiseOR(bit)
     return counted.select("line", out.alias("simhash"))
 
 
+def _words_between(norm: str, least: int, most: int) -> Column:
+    """Has the line so many words? Looks no further than the first `least` blanks."""
+    enough = F.length(F.substring_index(norm, " ", least - 1)) < F.length(norm) if least > 1 else F.lit(True)
+    # Only a line of at least 2 * most characters can have more words.
+    return enough & ((F.length(norm) < 2 * most) | (F.size(F.split(norm, " ")) <= most))
+
+
 def _block_masks(blocks: int, keep: int) -> list[int]:
     """Masks of every choice of `keep` of `blocks` even parts of 64 bits."""
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
@@ -78,7 +82,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     longest = F.greatest(F.length("p"), F.length("q"))
     joined = joined.withColumn("most", F.floor(longest * (1 - similarity) + 1e-9).cast("int"))
     joined = joined.where(F.abs(F.length("p") - F.length("q")) <= F.col("most"))
-    return joined.where(F.expr("levenshtein(p, q, most) >= 0")).select("a", "b")
+    # Words changed in place bound the distance from above at little cost.
+    cost = F.zip_with(F.split("p", " "), F.split("q", " "), _word_cost)
+    bound = F.aggregate(cost, F.lit(0), lambda total, c: total + c)
+    return joined.where((bound <= F.col("most")) | F.expr("levenshtein(p, q, most) >= 0")).select("a", "b")
+
+
+def _word_cost(p: Column, q: Column) -> Column:
+    """Edits that turn one word into the other; one of them may be missing."""
+    longer = F.greatest(F.coalesce(F.length(p), F.lit(0)), F.coalesce(F.length(q), F.lit(0)))
+    missing = (p.isNull() | q.isNull()).cast("int")
+    return F.when(p.eqNullSafe(q), F.lit(0)).otherwise(longer + missing)
 
 
 def _near(x: str, y: str, distance: int) -> Column:
@@ -98,36 +112,41 @@ def line_groups(
 
     `line` is a 64-bit key, `group` the smallest key reached. Pairs within
     `distance` bits and `similarity` connect; lines of fewer than `least_words`
-    words are only equal or not, and lines without a partner are not listed.
+    or more than MOST_WORDS words are only equal or not, and lines without a
+    partner are not listed.
     More `blocks` make longer, more selective keys and more rows per line.
 
-    Inside a bucket of equal blocks every line is first compared with the
-    smallest line and with the one before it, so a bucket of n lines makes 2n
-    pairs. Only lines of a bucket that are not connected by then are compared
-    with each other, so nothing within the distance is lost.
+    Inside a bucket of equal blocks every line first meets the smallest line
+    and the one before it, and is compared with one of those it is near to. Only
+    lines of a bucket that are not connected by then are compared with each
+    other, so nothing within the distance is lost.
     """
     # Equal lines meet as one row per task before the shuffle.
     keyed = _lines(docs, doc_id, text).select(F.xxhash64("norm").alias("line"), "norm")
-    distinct = keyed.where(F.size(F.split("norm", " ")) >= least_words).groupBy("line").agg(F.max("norm").alias("norm"))
+    distinct = keyed.where(_words_between("norm", least_words, MOST_WORDS)).groupBy("line").agg(F.max("norm").alias("norm"))
     masks = F.array(*[F.lit(m).cast("long") for m in _block_masks(blocks, blocks - distance)])
     bands = simhash(distinct).select("line", "simhash", F.explode(masks).alias("mask"))
-    bands = bands.withColumn("key", F.col("simhash").bitwiseAND(F.col("mask")))
+    block = F.col("simhash").bitwiseAND(F.col("mask"))
+    bands = bands.repartition("mask", block).withColumn("key", block)
     # Running frames: a bucket streams through its task, nothing is gathered.
     order = Window.partitionBy("mask", "key").orderBy("line")
     mate = F.struct("line", "simhash")
     met = bands.select(
         "*", F.lag(mate).over(order).alias("prev"), F.lead("line").over(order).alias("next"), F.first(mate).over(order).alias("head")
     )
-    # Buckets of one line are done; of the others few are left, with their texts.
-    active = met.where("prev is not null or next is not null").drop("next")
+    # Buckets of one line are done. Of the other lines few are left: their text,
+    # their buckets (at most one per mask) and the smallest mate they are near to.
+    near = [F.when(_near("simhash", f"{m}.simhash", distance), F.col(f"{m}.line")) for m in ("prev", "head")]
+    active = met.where("prev is not null or next is not null")
+    active = active.withColumn("mate", F.when(F.col("prev").isNotNull(), F.least(*near)))
+    active = active.groupBy("line", "simhash").agg(F.collect_set("mask").alias("masks"), F.min("mate").alias("mate"))
     active = cut_lineage(active.join(distinct, "line"))
-    texts = active.groupBy("line").agg(F.max("norm").alias("norm"))
-    mates = active.where("prev is not null").select("line", "simhash", F.inline(F.array("prev", "head")).alias("other", "theirs"))
-    first = mates.where(_near("simhash", "theirs", distance)).select(F.col("other").alias("a"), F.col("line").alias("b"))
-    edges = cut_lineage(_verified(first.distinct(), texts, similarity))
+    texts = active.select("line", "norm")
+    first = active.where("mate is not null").select(F.col("mate").alias("a"), F.col("line").alias("b"))
+    edges = cut_lineage(_verified(first, texts, similarity))
     named = cut_lineage(components(edges, small=0))
 
-    slim = active.select("line", "simhash", "mask", "key").join(named.withColumnRenamed("node", "line"), "line", "left")
+    slim = active.select("line", "simhash", F.explode("masks").alias("mask")).withColumn("key", block).join(named.withColumnRenamed("node", "line"), "line", "left")
     slim = slim.withColumn("component", F.coalesce("component", "line"))
     split = slim.groupBy("mask", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     apart = slim.join(split.select("mask", "key"), ["mask", "key"], "left_semi")
