@@ -34,6 +34,7 @@ def build_session(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", settings.pop("driver_memory", "8g"))
     )
     for key, value in {**SQL_SETTINGS, **settings}.items():
