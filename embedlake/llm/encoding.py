@@ -18,8 +18,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Pieces held per worker before the memory starts anew (about 70 MB).
-PIECES = 300_000
+# Pieces held per worker before the memory starts anew (about 110 MB).
+PIECES = 500_000
 LONGEST_PIECE = 64
 MARKS = ".,;:!?"
 # Letters before this one are composed, and lower-case the same everywhere.
