@@ -26,12 +26,12 @@ SIMILARITY, LEAST_WORDS = 0.9, 5
 
 
 def normalised(line: Column) -> Column:
-    """Lower case; runs of ASCII that hold no letter are one blank."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x60\x7B-\x7F]+", " "))
+    """Lower case; runs of ASCII that hold no letter or digit are one blank."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """`doc_id, print, at, norm` of all lines with a letter."""
+    """`doc_id, print, at, norm` of all lines with a letter or digit."""
     filled = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(filled).alias("print"), F.posexplode(F.split(filled, "\n")).alias("at", "line")
@@ -166,7 +166,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     `print` is xxhash64 of the text (empty for null). Of each group of near
     duplicate lines the first occurrence stays, by doc_id (null last), print
-    and position. Lines without a letter are left alone. Rows of equal
+    and position. Lines without a letter or digit are left alone. Rows of equal
     doc_id and text are one document. Documents that lose nothing, empty texts
     and empty tables give no rows.
     """
@@ -190,8 +190,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with the later near-duplicate lines cut out of the text.
 
-    All columns are kept. A document left without any letter goes if it had
-    one before; one that had none stays as it is.
+    All columns are kept. A document left without any letter or digit goes if
+    it had one before; one that had none stays as it is.
     """
     gone = repeated_lines(docs, doc_id, text, **options).withColumnsRenamed({"doc_id": "gone_id", "print": "gone_print"})
     rows = docs.select(batches.packed(docs), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -200,5 +200,5 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     joined = rows.join(gone, same, "left")
     lines = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i))
     rest = joined.withColumn("rest", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
-    kept = rest.where(F.col("dropped").isNull() | F.col("rest").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
+    kept = rest.where(F.col("dropped").isNull() | F.col("rest").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     return batches.unpacked(kept, docs.columns, **{text: F.col("rest")})

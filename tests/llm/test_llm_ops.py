@@ -479,6 +479,13 @@ def test_fuzzy_lines_on_odd_rows(spark):
     assert fuzzy_lines.deduplicate(empty(spark)).count() == 0
 
 
+def test_lines_that_differ_in_numbers_stay(spark):
+    text = "Row A 12.5 300\nRow A 99 1\nx = 3\nx > 70 + 9\nChapter 4\nChapter 11\nCHAPTER 11!"
+    rows = [(1, text), (2, "+49 30 1234567\n2024-01-01 12:00"), (3, "+49 30 1234567\nnew words"), (4, "2024-01-01 12:00")]
+    kept = {r["doc_id"]: r["text"] for r in fuzzy_lines.deduplicate(frame(spark, rows)).collect()}
+    assert kept == {1: text.removesuffix("\nCHAPTER 11!"), 2: rows[1][1], 3: "new words"}
+
+
 def test_fuzzy_lines_are_native(spark):
     plan = fuzzy_lines.repeated_lines(frame(spark, line_corpus()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
