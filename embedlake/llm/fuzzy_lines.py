@@ -1,16 +1,15 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Lines are normalised; equal ones are one line. Each distinct line gets a 64-bit
-SimHash of its words. Two fingerprints that differ in at most 2 of 64 bits
-agree in at least two of four blocks, so lines are joined on every pair of
-blocks, compared by bits, and verified by edit similarity. Connected lines are
-one group, and the first occurrence of a group stays.
+Lines are normalised; equal ones are one line. Where the similarity allows one
+or two edits, one of three segments of the longer line stays whole in the
+other, so lines are joined on segments and no pair is missed. Longer lines are
+joined on bands of MinHash values of their character n-grams. Pairs are
+verified by edit similarity. Connected lines are one group, and the first
+occurrence of a group stays.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +17,15 @@ from embedlake.llm import batches
 from embedlake.llm.components import components
 from embedlake.session import cut_lineage
 
-BITS, BLOCKS, DISTANCE = 64, 4, 2
-# Bits of a vote count; more words than it holds are only compared exactly.
-LANE = 21
-MOST_WORDS = (1 << LANE) - 1
-SIMILARITY, LEAST_WORDS = 0.9, 5
+SIMILARITY = 0.9
+# Characters of an n-gram, minima per line, and bands of three minima each.
+GRAM, MINIMA = 5, 45
+BANDS = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(15)] + [(i, i + 15, i + 30) for i in range(15)]
+# Pairs met in a band alone agree in so many of the minima, told by four bits each.
+AGREE = 10
+# So many edits leave one of three segments whole, or one in the middle moved by one.
+SEGMENT_EDITS = 2
+SALTS = [((0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64)) - (1 << 63) for i in range(MINIMA)]
 
 
 def normalised(line: Column) -> Column:
@@ -39,40 +42,71 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", "print", "at", normalised(F.col("line")).alias("norm")).where("norm <> ''")
 
 
-def simhash(lines: DataFrame) -> DataFrame:
-    """`line, simhash` from `line` (64-bit key) and `norm`, one row per line.
+def _most(length: Column, similarity: float) -> Column:
+    """Edits between two lines of which the longer has this length."""
+    return F.floor(length * (1 - similarity) + 1e-9).cast("int")
+
+
+def _minima(lines: DataFrame) -> DataFrame:
+    """`line, m0, m1, ...` from `line` and `norm`: minima of salted n-gram hashes.
 
-    For each of 64 bits the words vote. Votes of three bits are counted in one
-    long, 21 bits each, so a line may have up to MOST_WORDS words. A line of
-    `lines` lies in one partition already, so this adds no shuffle.
+    A line of `lines` lies in one partition already, so this adds no shuffle.
     """
-    words = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).select("line", F.xxhash64("word").alias("w"))
-    lanes = F.lit(1 | 1 << LANE | 1 << 2 * LANE)
-    votes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(lanes)).alias(f"v{i}") for i in range(LANE)]
-    last = F.sum(F.shiftrightunsigned("w", BITS - 1)).alias("last")
-    counted = words.groupBy("line").agg(F.count("*").alias("n"), *votes, last)
-    out = F.when(F.col("last") * 2 > F.col("n"), F.lit(-(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    for place in range(BITS - 1):
-        lane, i = divmod(place, LANE)
-        vote = F.shiftrightunsigned(f"v{i}", LANE * lane).bitwiseAND(F.lit((1 << LANE) - 1))
-        bit = F.when(vote * 2 > F.col("n"), F.lit(1 << place).cast("long")).otherwise(F.lit(0).cast("long"))
-        out = out.bitwiseOR(bit)
-    return counted.select("line", out.alias("simhash"))
-
-
-def _words_between(norm: str, least: int, most: int) -> Column:
-    """Has the line so many words? Looks no further than the first `least` blanks."""
-    enough = F.length(F.substring_index(norm, " ", least - 1)) < F.length(norm) if least > 1 else F.lit(True)
-    # Only a line of at least 2 * most characters can have more words.
-    return enough & ((F.length(norm) < 2 * most) | (F.size(F.split(norm, " ")) <= most))
-
-
-def _block_masks(blocks: int, keep: int) -> list[int]:
-    """Masks of every choice of `keep` of `blocks` even parts of 64 bits."""
-    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    masks = [sum(choice) for choice in combinations(parts, keep)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    grams = lines.select("line", F.explode(F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1)).alias("gram"))
+    hashes = grams.select("line", F.xxhash64("gram").alias("g"))
+    return hashes.groupBy("line").agg(*[F.min(F.col("g").bitwiseXOR(F.lit(salt).cast("long"))).alias(f"m{i}") for i, salt in enumerate(SALTS)])
+
+
+def _sketches(lines: DataFrame) -> DataFrame:
+    """`line, s0, s1, s2`: the low four bits of 15 minima in each."""
+    minima = _minima(lines)
+    parts = []
+    for k in range(3):
+        out = F.lit(0).cast("long")
+        for i in range(15):
+            out = out.bitwiseOR(F.shiftleft(F.col(f"m{15 * k + i}").bitwiseAND(F.lit(15).cast("long")), 4 * i))
+        parts.append(out.alias(f"s{k}"))
+    return minima.select("line", *parts)
+
+
+def _agreeing(x: str, y: str) -> Column:
+    """How many of the minima of two sketches agree."""
+    differ = F.lit(0)
+    for k in range(3):
+        d = F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(int("1" * 15, 16)).cast("long"))
+        differ = differ + F.bit_count(d)
+    return F.lit(MINIMA) - differ
+
+
+def _segment_keys(similarity: float) -> Column:
+    """Keys of a line as the longer of a pair and as one up to two shorter."""
+    norm, size = F.col("norm"), F.length("norm")
+    keys = []
+    for less in range(SEGMENT_EDITS + 1):
+        longer = size + less
+        most = _most(longer, similarity)
+        fits = most.between(max(less, 1), SEGMENT_EDITS)
+        a, b = F.floor(longer / 3).cast("int"), F.floor(longer * 2 / 3).cast("int")
+        parts = [("head", fits, norm.substr(F.lit(1), a)), ("tail", fits, norm.substr(size - (longer - b) + 1, longer - b))]
+        moved = (0, -1, 1)
+        parts += [("middle", fits & (most == 2), norm.substr(a + 1 + move, b - a)) for move in moved]
+        keys += [F.when(when, F.xxhash64(F.lit(name), longer, part)) for name, when, part in parts]
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def _buckets(lines: DataFrame, similarity: float) -> DataFrame:
+    """`line, size, exact, key` from `line` and `norm`; near lines share a key."""
+    size = F.length("norm").alias("size")
+    short = lines.where(_most(F.length("norm"), similarity) <= SEGMENT_EDITS)
+    exact = short.select("line", size, F.lit(True).alias("exact"), F.explode(_segment_keys(similarity)).alias("key"))
+    # The longest partner of a line has at most size / similarity characters.
+    long = lines.where(_most(F.length("norm") / similarity + 1, similarity) > SEGMENT_EDITS)
+    bands = F.array(*[F.xxhash64(F.lit(n), *[f"m{i}" for i in band]) for n, band in enumerate(BANDS)])
+    sizes = long.select("line", size)
+    found = _minima(long).join(sizes, "line").select("line", "size", F.lit(False).alias("exact"), F.explode(bands).alias("key"))
+    return exact.union(found)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -80,7 +114,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("p")), "a")
     joined = joined.join(texts.select(F.col("line").alias("b"), F.col("norm").alias("q")), "b")
     longest = F.greatest(F.length("p"), F.length("q"))
-    joined = joined.withColumn("most", F.floor(longest * (1 - similarity) + 1e-9).cast("int"))
+    joined = joined.withColumn("most", _most(longest, similarity))
     joined = joined.where(F.abs(F.length("p") - F.length("q")) <= F.col("most"))
     # Words changed in place bound the distance from above at little cost.
     cost = F.zip_with(F.split("p", " "), F.split("q", " "), _word_cost)
@@ -95,64 +129,57 @@ def _word_cost(p: Column, q: Column) -> Column:
     return F.when(p.eqNullSafe(q), F.lit(0)).otherwise(longer + missing)
 
 
-def _near(x: str, y: str, distance: int) -> Column:
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+def _sized(x: Column, y: Column, similarity: float) -> Column:
+    """Are lines of these lengths near enough in length?"""
+    return F.abs(x - y) <= _most(F.greatest(x, y), similarity)
 
 
-def line_groups(
-    docs: DataFrame,
-    similarity: float = SIMILARITY,
-    distance: int = DISTANCE,
-    blocks: int = BLOCKS,
-    least_words: int = LEAST_WORDS,
-    doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
+def line_groups(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`line, group`: distinct normalised lines connected by near duplicates.
 
-    `line` is a 64-bit key, `group` the smallest key reached. Pairs within
-    `distance` bits and `similarity` connect; lines of fewer than `least_words`
-    or more than MOST_WORDS words are only equal or not, and lines without a
-    partner are not listed.
-    More `blocks` make longer, more selective keys and more rows per line.
+    `line` is a 64-bit key, `group` the smallest key reached. Pairs of edit
+    similarity `similarity` connect, lines without a partner are not listed.
+    All pairs of at most SEGMENT_EDITS edits by their length are found; of
+    longer lines those that share a band of minima, see README for the recall.
 
-    Inside a bucket of equal blocks every line first meets the smallest line
-    and the one before it, and is compared with one of those it is near to. Only
-    lines of a bucket that are not connected by then are compared with each
-    other, so nothing within the distance is lost.
+    Inside a bucket every line first meets the smallest line and the one before
+    it, and is compared with the one it meets most often. Only lines of a bucket
+    that are not connected by then are compared with each other, so nothing in
+    a bucket is lost.
     """
     # Equal lines meet as one row per task before the shuffle.
     keyed = _lines(docs, doc_id, text).select(F.xxhash64("norm").alias("line"), "norm")
-    distinct = keyed.where(_words_between("norm", least_words, MOST_WORDS)).groupBy("line").agg(F.max("norm").alias("norm"))
-    masks = F.array(*[F.lit(m).cast("long") for m in _block_masks(blocks, blocks - distance)])
-    bands = simhash(distinct).select("line", "simhash", F.explode(masks).alias("mask"))
-    block = F.col("simhash").bitwiseAND(F.col("mask"))
-    bands = bands.repartition("mask", block).withColumn("key", block)
+    # Shorter lines have no partner that differs.
+    able = _most(F.length("norm") / similarity + 1, similarity) > 0
+    distinct = keyed.where(able).groupBy("line").agg(F.max("norm").alias("norm"))
     # Running frames: a bucket streams through its task, nothing is gathered.
-    order = Window.partitionBy("mask", "key").orderBy("line")
-    mate = F.struct("line", "simhash")
-    met = bands.select(
+    order = Window.partitionBy("exact", "key").orderBy("line")
+    mate = F.struct("line", "size")
+    met = _buckets(distinct, similarity).select(
         "*", F.lag(mate).over(order).alias("prev"), F.lead("line").over(order).alias("next"), F.first(mate).over(order).alias("head")
     )
     # Buckets of one line are done. Of the other lines few are left: their text,
-    # their buckets (at most one per mask) and the smallest mate they are near to.
-    near = [F.when(_near("simhash", f"{m}.simhash", distance), F.col(f"{m}.line")) for m in ("prev", "head")]
+    # their buckets and the mate of fitting length they meet most often.
+    near = [F.when(_sized(F.col("size"), F.col(f"{m}.size"), similarity), F.col(f"{m}.line")) for m in ("prev", "head")]
     active = met.where("prev is not null or next is not null")
-    active = active.withColumn("mate", F.when(F.col("prev").isNotNull(), F.least(*near)))
-    active = active.groupBy("line", "simhash").agg(F.collect_set("mask").alias("masks"), F.min("mate").alias("mate"))
+    active = active.withColumn("mate", F.when(F.col("prev").isNotNull(), F.coalesce(*near)))
+    active = active.groupBy("line", "size").agg(F.collect_set(F.struct("exact", "key")).alias("keys"), F.mode("mate", True).alias("mate"))
     active = cut_lineage(active.join(distinct, "line"))
     texts = active.select("line", "norm")
     first = active.where("mate is not null").select(F.col("mate").alias("a"), F.col("line").alias("b"))
     edges = cut_lineage(_verified(first, texts, similarity))
     named = cut_lineage(components(edges, small=0))
 
-    slim = active.select("line", "simhash", F.explode("masks").alias("mask")).withColumn("key", block).join(named.withColumnRenamed("node", "line"), "line", "left")
+    slim = active.select("line", "size", F.inline("keys")).join(named.withColumnRenamed("node", "line"), "line", "left")
     slim = slim.withColumn("component", F.coalesce("component", "line"))
-    split = slim.groupBy("mask", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    apart = slim.join(split.select("mask", "key"), ["mask", "key"], "left_semi")
-    left = apart.select("mask", "key", F.col("line").alias("a"), F.col("simhash").alias("x"), F.col("component").alias("c"))
-    right = apart.select("mask", "key", F.col("line").alias("b"), F.col("simhash").alias("y"), F.col("component").alias("d"))
-    rest = left.join(right, ["mask", "key"]).where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _near("x", "y", distance))
+    split = slim.groupBy("exact", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    apart = cut_lineage(slim.join(split.select("exact", "key"), ["exact", "key"], "left_semi"))
+    banded = texts.join(apart.where("not exact").select("line").distinct(), "line", "left_semi")
+    apart = apart.join(_sketches(banded), "line", "left")
+    left = apart.select("exact", "key", F.col("line").alias("a"), F.col("size").alias("m"), F.col("component").alias("c"), *[F.col(f"s{k}").alias(f"x{k}") for k in range(3)])
+    right = apart.select("exact", "key", F.col("line").alias("b"), F.col("size").alias("n"), F.col("component").alias("d"), *[F.col(f"s{k}").alias(f"y{k}") for k in range(3)])
+    rest = left.join(right, ["exact", "key"]).where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")))
+    rest = rest.where(_sized(F.col("m"), F.col("n"), similarity)).where(F.col("exact") | (_agreeing("x", "y") >= AGREE))
     more = cut_lineage(_verified(rest.select("a", "b").distinct(), texts, similarity))
     if more.isEmpty():
         return named.select(F.col("node").alias("line"), F.col("component").alias("group"))

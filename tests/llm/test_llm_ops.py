@@ -486,6 +486,41 @@ def test_lines_that_differ_in_numbers_stay(spark):
     assert kept == {1: text.removesuffix("\nCHAPTER 11!"), 2: rows[1][1], 3: "new words"}
 
 
+def near_lines(seed=5):
+    """(line, edited copy) of many lengths, with as many edits as similarity 0.9 allows or fewer."""
+    draw, words = random.Random(seed), vocabulary()
+    out = []
+    for i in range(240):
+        line = norm(" ".join(draw.choices(words, k=draw.randint(2, 50))))
+        copy = list(line)
+        most = int(len(line) * 0.1 + 1e-9)
+        for _ in range([1, max(1, most // 2), most][i % 3] if most else 0):
+            copy[draw.randrange(len(copy))] = draw.choice("abcdeéßñ")
+        out.append((line, norm("".join(copy))))
+    return [(a, b) for a, b in out if a != b and distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)]
+
+
+def test_fuzzy_lines_by_edit_similarity_alone(spark):
+    pairs = near_lines()
+    rows = [(2 * i + j, x) for i, pair in enumerate(pairs) for j, x in enumerate(pair)]
+    gone = {r["doc_id"] for r in fuzzy_lines.repeated_lines(frame(spark, rows)).collect()}
+    short = [i for i, pair in enumerate(pairs) if max(map(len, pair)) < 30]
+    assert len(short) > 10 and all(2 * i + 1 in gone for i in short)
+    assert sum(2 * i + 1 in gone for i in range(len(pairs))) >= 0.95 * len(pairs)
+    lines = dict(rows)
+    for i in gone:
+        assert any(distance(lines[i], x) <= int(max(len(lines[i]), len(x)) * 0.1 + 1e-9) for k, x in rows if k < i)
+
+
+def test_fuzzy_lines_of_few_words_and_without_blanks(spark):
+    draw = random.Random(4)
+    chinese = "".join(chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(200))
+    rows = [(1, "responsibilities unquestionably"), (2, "responsibilities unquestionable"), (3, chinese), (4, chinese[:90] + chinese[91:])]
+    rows += [(5, "abcdefghij"), (6, "bcdefghij"), (7, "abcdefghxx")]
+    gone = {r["doc_id"] for r in fuzzy_lines.repeated_lines(frame(spark, rows)).collect()}
+    assert gone == {2, 4, 6}
+
+
 def test_fuzzy_lines_are_native(spark):
     plan = fuzzy_lines.repeated_lines(frame(spark, line_corpus()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
