@@ -2,10 +2,10 @@
 
 The field labels words (runs of non-blank characters) as O or as the beginning
 or inside of an entity, from word shapes of a word and its two neighbours. It
-is trained on a small labelled table and decoded by Viterbi. A word without a
-digit or an @ that is no cue word and stands beside none is O by definition of
-the model, so a text falls apart exactly into runs of other words, and all runs
-of a slice of texts are decoded together, one position at a time.
+is trained on a small labelled table and decoded by Viterbi. Words with a digit
+or an @, cue words, and all words up to REACH words from one of them form runs;
+the rest is O. A run goes over a single line break and ends at a blank line. All
+runs of a slice of texts are decoded together, one position at a time.
 """
 
 from __future__ import annotations
@@ -334,6 +334,8 @@ def default_field() -> Field:
 
 
 TRIM = ".,;:!?\"'"
+# Plain words kept on each side of a word with a digit, an @ or a cue.
+REACH = 3
 
 
 def _passes(kind: str, words: str) -> bool:
@@ -360,22 +362,21 @@ def decode(texts: list[str] | list[bytes], field: Field) -> list[list[tuple[str,
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if inert.all():
         return found
-    # A spelled-out address starts with plain words, so plain neighbours of a
-    # cue stay in its run.
-    cued = codes[:, 4] > 0
-    near = np.zeros(n + 1, bool)
-    near[:n] |= ~inert
-    near[: n - 1] |= cued[1:]
-    near[1:n] |= cued[: n - 1]
+    # Plain words stand inside an entity (names, letter groups) or beside it.
+    near = ~inert
+    for step in range(1, REACH + 1):
+        near[:-step] |= ~inert[step:]
+        near[step:] |= ~inert[:-step]
     breaks = np.cumsum(held.data == 0x0A)[words.starts]
+    home = np.searchsorted(words.first, np.arange(n), "right")
     new = np.ones(n, bool)
-    new[1:] = breaks[1:] != breaks[:-1]
-    keep = np.flatnonzero(near[:n])
+    new[1:] = (breaks[1:] > breaks[:-1] + 1) | (home[1:] != home[:-1])
+    keep = np.flatnonzero(near)
     begins = np.ones(len(keep), bool)
     begins[1:] = (np.diff(keep) > 1) | new[keep[1:]]
     before = np.where(new[keep], -1, keep - 1)
-    ends_line = np.append(new[1:], True)
-    after = np.where(ends_line[keep], -1, keep + 1)
+    ends_run = np.append(new[1:], True)
+    after = np.where(ends_run[keep], -1, keep + 1)
     used = np.unique(np.concatenate([keep, before[before >= 0], after[after >= 0]]))
     # Only the words of runs and their neighbours are scored.
     place = np.full(n, -1)

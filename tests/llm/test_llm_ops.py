@@ -663,6 +663,24 @@ def test_field_on_held_out_sentences():
     assert len(starts & wanted) / len(wanted) > 0.85 and len(starts & wanted) / max(len(starts), 1) > 0.95
 
 
+def test_spaced_and_wrapped_entities():
+    field = pii.default_field()
+    account = "GB82 WEST 1234 5698 7654 32"
+    for text in (f"the iban {account} was used", f"paid to account {account}, then more words", f"iban {account[:15]}\n{account[15:]} and so on"):
+        [found] = pii.decode([text], field)
+        assert [k for k, _, _ in found] == ["field_account"], text
+        assert text[found[0][1] : found[0][2]].split() == account.split(), text
+    assert pii.decode(["call (555)\n\n123 4567", "x"], field)[1] == []
+
+
+def test_decode_is_viterbi_over_the_whole_text(monkeypatch):
+    field = pii.default_field()
+    texts = [" ".join(w) for w, _ in pii.labelled(300, seed=77)]
+    pruned = pii.decode(texts, field)
+    monkeypatch.setattr(pii, "REACH", 50)
+    assert pruned == pii.decode(texts, field)
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
