@@ -62,9 +62,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     """`kind, host, score` from `kind, host, mass` seeds (kinds trust and distrust).
 
     Each round moves the mass that arrived in the last one along the edges
-    (trust) or against them (distrust), times `damping`, until less than
-    `tolerance` is under way; that takes log(tolerance) / log(damping) rounds
-    at most. Mass of hosts without links stays there. Seeds of a kind are
+    (trust) or against them (distrust), times `damping`, until what arrives is
+    at every host less than `tolerance` of its score, so a host reached for the
+    first time always passes its mass on. A chain of n hosts takes n rounds.
+    Mass of hosts without links stays there. Seeds of a kind are
     scaled to 1; no seeds or no edges are allowed.
     """
     totals = {r["kind"]: r["mass"] for r in seeds.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}
@@ -92,8 +93,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             arrived.select("kind", "host", F.col("moving").alias("score"), "moving")
         )
         state = cut_lineage(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving")))
-        left = state.agg(F.sum("moving")).first()[0] or 0.0
-        if left < tolerance * (1 - damping):
+        if state.where(F.col("moving") > tolerance * F.col("score")).isEmpty():
             return state.select("kind", "host", "score")
 
 
@@ -133,8 +133,8 @@ def judge(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     )
-    # Rounded, so that the order of additions can't turn a tie.
-    wide = wide.select("host", F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
+    # Rounded to 13 digits, so that the order of additions can't turn a tie.
+    wide = wide.select("host", *[F.format_string("%.12e", k).cast("double").alias(k) for k in ("trust", "distrust")])
     judged = ruled.drop("html").join(wide, "host", "left").fillna(0.0, ["trust", "distrust"])
     doubtful = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
     own = F.when(doubtful, "block").otherwise("allow")

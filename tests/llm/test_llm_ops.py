@@ -247,6 +247,15 @@ def test_link_trust(spark):
     assert {r["verdict"] for r in link_trust.judge(spark.createDataFrame(pages, schema), []).collect()} == {"allow"}
 
 
+def test_link_farm_among_many_seeds(spark):
+    link = lambda h: f'<a href="https://{h}/x">'
+    pages = [(i, f"https://lone{i}.com/", None) for i in range(3000)]
+    pages += [(9000, "https://spam.com/", None), (9001, "https://one.net/", link("spam.com"))]
+    pages += [(9002, "https://two.net/", link("one.net")), (9003, "https://three.net/", link("two.net"))]
+    found = link_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "com/")]).collect()
+    assert {r["verdict"] for r in found} == {"block"}
+
+
 # ---- 3 -------------------------------------------------------------------
 
 
