@@ -5,7 +5,9 @@ one format form a tree with counts, and states whose outgoing frequencies agree
 within a Hoeffding bound are merged, so that a random body folds into a loop
 while a fixed head stays a chain. The result is a probabilistic automaton. Any
 candidate string is scored against all automata and against a model of plain
-names and words; the log likelihood ratio per character decides.
+names and words; the log likelihood ratio per character decides. Candidates are
+runs of the characters that credentials have, and the parts of a run between
+any two of its `=`, `/` and `.`.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ["assign", "access", "hex", "format"]
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
+SHORTEST = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+MARKS = "=/."
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 # Log likelihood ratio per character from which a candidate counts as a secret.
@@ -215,6 +219,47 @@ class Formats:
         plain = sum(self.pairs.get((char_class(a), char_class(b)), self.rare) for a, b in zip("^" + text, text))
         return (best - plain) / len(text)
 
+    def parts(self, text: str, margin: float) -> list[tuple[float, int, int]]:
+        """(log likelihood ratio, start, end) of parts between marks that have
+        `margin` or more of it per character.
+
+        Gain is the ratio less `margin` per character. Of the starts that lead
+        to one state of an automaton only the best can win, so each state is
+        followed once per position, starts of less than SHORTEST characters
+        apart from the others.
+        """
+        n, found = len(text), {}
+        starts = {0, *(i + 1 for i, c in enumerate(text) if c in MARKS)}
+        ends = {n, *(i for i, c in enumerate(text) if c in MARKS), *(i + 1 for i, c in enumerate(text) if c == "=")}
+        kinds = [char_class(c) for c in text]
+        inner = [self.pairs.get(pair, self.rare) for pair in zip(["^", *kinds], kinds)]
+        first = {i: self.pairs.get((char_class("^"), kinds[i]), self.rare) for i in starts if i < n}
+        for automaton in self.automata.values():
+            # (state, start if still short else -1): (gain, start)
+            live: dict[tuple[int, int], tuple[float, int]] = {}
+            for i in range(n + 1):
+                if i in ends:
+                    for (state, _), (gain, a) in live.items():
+                        whole = gain + automaton.moves[state][2]
+                        if i - a >= SHORTEST and whole >= 0 and whole > found.get((a, i), -1.0):
+                            found[a, i] = whole
+                if i == n:
+                    break
+                if i in starts:
+                    live[0, i] = (0.0, i)
+                moved: dict[tuple[int, int], tuple[float, int]] = {}
+                for (state, _), (gain, a) in live.items():
+                    chars, classes, _ = automaton.moves[state]
+                    move = chars.get(text[i]) or classes.get(kinds[i])
+                    if move is None:
+                        continue
+                    more = gain + move[0] - (first[i] if a == i else inner[i]) - margin
+                    key = (move[1], a if i + 1 - a < SHORTEST else -1)
+                    if key not in moved or more > moved[key][0]:
+                        moved[key] = (more, a)
+                live = moved
+        return [(gain + margin * (b - a), a, b) for (a, b), gain in found.items()]
+
 
 @cache
 def default_formats() -> Formats:
@@ -235,17 +280,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def format_spans(text: str, base: list[tuple[int, int, int]], formats: Formats, margin: float) -> list:
-    """Candidates outside the base spans whose format likelihood is high enough."""
+    """Candidates outside the base spans whose format likelihood is high enough.
+
+    Of overlapping parts of a run the likeliest one is kept.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
         word = m[0].rstrip(".")
-        a, b = m.start(), m.start() + len(word)
-        if len(word) < 20 or not any(c in DIGIT or c in UPPER for c in word):
-            continue
-        if any(s < b and a < e for s, _, e in base):
+        if len(word) < SHORTEST or not any(c in DIGIT or c in UPPER for c in word):
             continue
-        if formats.ratio(word) >= margin:
-            found.append((a, 3, b))
+        if any(c in word for c in MARKS):
+            parts = sorted(formats.parts(word, margin), key=lambda p: (-p[0], p[1], p[2]))
+        else:
+            parts = [(0.0, 0, len(word))] if formats.ratio(word) >= margin else []
+        taken = list(base)
+        for _, a, b in parts:
+            if not any(c in DIGIT or c in UPPER for c in word[a:b]):
+                continue
+            a, b = m.start() + a, m.start() + b
+            if not any(s < b and a < e for s, _, e in taken):
+                taken.append((a, 3, b))
+                found.append((a, 3, b))
     return found
 
 

@@ -617,6 +617,19 @@ def test_formats_on_held_out_credentials():
     assert np.mean(hits) > 0.93 and np.mean(false) < 0.01
 
 
+def test_credentials_glued_to_names():
+    model = secrets.default_formats()
+    for kind, key in secrets.labelled(6, seed=99):
+        if kind == "plain" or len(key) < 20 or model.ratio(key) < secrets.MARGIN:
+            continue
+        for text in (f"GLUED_NAME={key}", f"https://a.example/p?key={key}&x=1", f"git clone host/path/{key}", f"export A_B={key}\n"):
+            spans = secrets.format_spans(text, secrets.base_spans(text), model, secrets.MARGIN)
+            base = secrets.base_spans(text)
+            at = text.index(key)
+            assert any(s < at + len(key) and at < e for s, _, e in spans + base), (kind, text)
+            assert base or kind == "base64 key" or [text[s:e] for s, _, e in spans] == [key], (kind, text, spans)
+
+
 PERSONAL = [
     (1, "é mail a.b+c@x-y.example.com, 10.0.0.256 and 10.0.0.255.1 or 1.2.3.4"),
     (2, "cards 4111 1111 1111 1111 and 4111-1111-1111-1112; +1 (555) 123-4567 x +12 34"),
