@@ -22,7 +22,7 @@ SIMILARITY = 0.9
 GRAM, MINIMA = 5, 45
 BANDS = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(15)] + [(i, i + 15, i + 30) for i in range(15)]
 # Pairs met in a band alone agree in so many of the minima, told by four bits each.
-AGREE = 10
+AGREE = 13
 # So many edits leave one of three segments whole, or one in the middle moved by one.
 SEGMENT_EDITS = 2
 SALTS = [((0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64)) - (1 << 63) for i in range(MINIMA)]
