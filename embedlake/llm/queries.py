@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from embedlake.llm import (
+    conversation_repair,
     decontaminate,
+    filter_audit,
     frames,
     fuzzy_lines,
     length_histogram,
@@ -20,6 +22,7 @@ from embedlake.llm import (
     pii,
     repetition,
     secrets,
+    warc,
 )
 from embedlake.session import tune
 
@@ -187,3 +190,80 @@ def op5_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped_lines"),
     )
+
+
+@query(
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), l AS (
+      SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+      FROM labels GROUP BY doc_id
+    ), f AS (
+      SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic,
+             CAST(len(w) < 200 AS INT)
+             + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+             + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT)
+             + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+             + 16 * CAST(coalesce(min(d.doc_id) OVER (PARTITION BY t) < d.doc_id, false) AS INT) AS mask
+      FROM d LEFT JOIN l USING (doc_id)
+    ), c AS (
+      SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY part, mask
+    ), letters AS (
+      SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b
+    ), orders AS (
+      SELECT p.x || q.x || r.x || s.x || u.x AS filter_order, [p.b, q.b, r.b, s.b, u.b] AS bits
+      FROM letters p, letters q, letters r, letters s, letters u
+      WHERE p.b + q.b + r.b + s.b + u.b = 31 AND p.b & q.b = 0 AND p.b & r.b = 0 AND p.b & s.b = 0 AND p.b & u.b = 0
+        AND q.b & r.b = 0 AND q.b & s.b = 0 AND q.b & u.b = 0 AND r.b & s.b = 0 AND r.b & u.b = 0 AND s.b & u.b = 0
+    ), steps AS (
+      SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, list_sum(bits[1 : step]) - bits[step] AS before
+      FROM orders, (SELECT unnest(range(1, 6)) AS step)
+    )
+    SELECT part, filter_order, step,
+           CAST(coalesce(sum(n) FILTER (mask & (before + bit)::INT = 0), 0) AS BIGINT) AS kept,
+           CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before::INT = 0), 0) AS BIGINT) AS removed,
+           CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before::INT > 0), 0) AS BIGINT) AS redundant,
+           CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+           CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before::INT = 0), 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before::INT = 0), 0) AS BIGINT) AS toxic_lost,
+           CAST(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit > 0), 0) AS BIGINT) AS shapley
+    FROM c, steps GROUP BY part, filter_order, step
+    """
+)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS h,
+             row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS place,
+             min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+      FROM pages
+    )
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+           CASE WHEN strlen(h) >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN strlen(h) >= 100 AND place > 1 THEN first END AS refers_to
+    FROM p
+    """
+)
+def op12_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    kind = dict(pages.dtypes)["page_id"]
+    found = warc.archived_pages(pages)
+    return found.select(
+        F.col("page_id").cast(kind),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_page").cast(kind).alias("refers_to"),
+    )
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repaired_conversations(table(spark, folder, "conversations"))

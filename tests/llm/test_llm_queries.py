@@ -16,7 +16,7 @@ SQL = queries.oracle_sql()
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", queries.queries())
