@@ -1,15 +1,14 @@
 """Mixed dataset files to canonical rows, with a verdict for every file.
 
-A job plans on the file list: a look at each file decides format, delimiter and
-header (first MiB) and charset and NUL bytes (all of it); files that read alike
-go through one reader.
-Rows then carry their cells as a map, and the column choice of each file is
-one small aggregate joined back.
+A job plans on the file list: one pass over byte ranges decides format,
+delimiter, charset and the gates of each file, and where its records begin. One
+reader per format then cuts any file into records, whatever its columns. Rows
+carry their cells as a map, and the column choice of each file is one small
+aggregate joined back.
 """
 
 from __future__ import annotations
 
-import codecs
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -18,25 +17,15 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from embedlake.functions import text as tx
 from embedlake.operators.canonical import ALIASES, ROLES, cell_violations, match_schema
 from embedlake.operators.registry import minted_id
 from embedlake.session import cut_lineage
-from embedlake.sources.jsonl import flatten
-from embedlake.sources.remote import filesystem, open_for_reading
+from embedlake.sources import splits
+from embedlake.sources.remote import filesystem
 from embedlake.sources.workbook import read_workbooks
 
-# One ingest call plans on this many files at most; a folder with more is
-# streamed in such batches (see streaming.ingest).
-MAX_FILES = 100_000
-# Distinct (delimiter, encoding, header) shapes one call reads.
-MAX_SHAPES = 1_000
-# CSV files above this size are checked for splitting.
-SPLIT_BYTES = 128 << 20
-UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
-
 
 def list_files(spark: SparkSession, *paths: str) -> DataFrame:
     """Path and length of every file below files or folders; no content is read.
@@ -49,6 +38,10 @@ def list_files(spark: SparkSession, *paths: str) -> DataFrame:
     return found.unionByName(roots.mapInPandas(_empty_files, "path string, length bigint"))
 
 
+def _glob_safe(path: str) -> str:
+    return "".join("\\" + c if c in "\\*?[]{}^" else c for c in path)
+
+
 def _empty_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for root in frame["path"]:
@@ -62,241 +55,103 @@ def _empty_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame([(prefix + p, 0) for p in empty], columns=["path", "length"])
 
 
-def _look(file) -> tuple[str, bool, bytes]:
-    """Charset, presence of a NUL byte and first bytes, from the whole file.
+def inspect(files: DataFrame, max_bytes: int = tx.MAX_UPLOAD_BYTES, strict: bool = False) -> DataFrame:
+    """Format, delimiter, encoding, shape and gate verdict of every file.
 
-    The file passes through in pieces of one MiB, none of which is kept.
+    ``strict`` also refuses files with a formula pattern or any ``@`` anywhere;
+    the default escapes formulas cell by cell instead.
     """
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    head = chunk = file.read(tx.HEADER_BYTES)
-    encoding, nul = UTF8, False
-    while True:
-        nul = nul or b"\x00" in chunk
-        if encoding == UTF8:
-            try:
-                decoder.decode(chunk, final=not chunk)
-            except UnicodeDecodeError:
-                encoding = LATIN1
-        if not chunk:
-            return encoding, nul, head
-        chunk = file.read(1 << 20)
-
-
-HEAD_COLUMNS = ["path", "length", "encoding", "nul", "head", "problem"]
-HEAD_SCHEMA = "path string, length bigint, encoding string, nul boolean, head string, problem string"
-
-
-def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A file that can't be read is a row with a problem, not a failed job."""
-    for frame in frames:
-        for path, length in zip(frame["path"], frame["length"]):
-            encoding = text = problem = None
-            nul = False
-            try:
-                with open_for_reading(path) as file:
-                    encoding, nul, head = _look(file)
-                text = head.removeprefix(codecs.BOM_UTF8).decode(encoding, errors="ignore")
-            except OSError as failure:
-                problem = str(failure)
-            yield pd.DataFrame([(path, length, encoding, nul, text, problem)], columns=HEAD_COLUMNS)
+    return _judged(_profiles(files), max_bytes, strict)
 
 
-def inspect(files: DataFrame, max_bytes: int = tx.MAX_UPLOAD_BYTES, strict: bool = False) -> DataFrame:
-    """Format, delimiter, encoding, shape and gate verdict of every file.
+def _profiles(files: DataFrame, range_bytes: int = splits.RANGE_BYTES) -> DataFrame:
+    return splits.profile(files.withColumn("extension", tx.extension(tx.base_name(F.col("path")))), range_bytes)
 
-    ``strict`` also refuses files whose head shows a formula pattern or any
-    ``@``; the default escapes formulas cell by cell instead.
-    """
-    seen = files.mapInPandas(_heads, HEAD_SCHEMA)
-    ext = tx.extension(tx.base_name(F.col("path")))
-    verdict = tx.content_verdict(F.col("head"), ext)
-    if not strict:
-        verdict = F.when(verdict != "malicious_content", verdict)
+
+def _judged(profiles: DataFrame, max_bytes: int = tx.MAX_UPLOAD_BYTES, strict: bool = False) -> DataFrame:
+    """One row per file from the rows of its ranges."""
+    seen = profiles.groupBy("path", "length", "extension").agg(
+        F.min("problem").alias("problem"),
+        F.coalesce(F.every("utf8"), F.lit(True)).alias("utf8"),
+        F.coalesce(F.some("nul"), F.lit(False)).alias("nul"),
+        F.coalesce(F.some("marked"), F.lit(False)).alias("marked"),
+        F.bit_xor("print").alias("print"),
+        F.min("delimiter").alias("delimiter"),
+        F.min("shape").alias("shape"),
+        F.min("opens").alias("opens"),
+    )
+    text = F.col("extension").isin(*splits.TEXT_KINDS)
     error = (
         F.when(F.col("problem").isNotNull(), F.lit("unreadable"))
         .when(F.col("length") == 0, F.lit("empty_file"))
         .when(F.col("length") > max_bytes, F.lit("file_too_large"))
-        .when(F.col("nul") & (ext != "xlsx") & ext.isin(tx.DATASET_EXTENSIONS), F.lit("nul_byte"))
-        .otherwise(verdict)
-    )
-    error = F.coalesce(error, F.when(ext == "xls", F.lit("unsupported_format")))
-    first_line = F.regexp_extract("head", r"\A([^\r\n]*)", 1)
-    first_child = F.regexp_extract(
-        "head", r"(?s)\A\s*(?:<\?.*?\?>|<!--.*?-->|\s)*<[^!?>]+>\s*(?:<!--.*?-->\s*)*<([^\s/>!?]+)", 1
-    )
-    # An object too large for the head can only be a data envelope.
-    keys = F.json_object_keys("head")
-    is_object = keys.isNotNull() & ~F.array_contains(keys, "data")
-    shape = (
-        F.when(ext == "csv", first_line)
-        .when(ext == "xml", first_child)
-        .when((ext == "json") & is_object, F.lit("object"))
+        .when(F.col("nul") & text, F.lit("nul_byte"))
+        .when(~text & (F.col("extension") != "xlsx"), F.lit("unsupported_format"))
+        .when(F.lit(strict) & F.col("marked") & text, F.lit("malicious_content"))
     )
     return seen.select(
         "path",
         "length",
-        ext.alias("extension"),
-        "encoding",
-        tx.delimiter(F.col("head")).alias("delimiter"),
-        shape.alias("shape"),
+        "extension",
+        F.when(F.col("utf8"), splits.UTF8).otherwise(splits.LATIN1).alias("encoding"),
+        "delimiter",
+        "shape",
+        "opens",
+        "print",
         error.alias("error"),
     )
 
 
-def _glob_safe(path: str) -> str:
-    return "".join("\\" + c if c in "\\*?[]{}^" else c for c in path)
-
-
-def _file_path() -> Column:
-    """Path of the row's file in the form the file list uses."""
-    # The metadata column percent-encodes names; a plus stands for itself.
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return F.regexp_replace(F.url_decode(encoded), "^file:/+", "file:/")
-
-
-def _as_cells(df: DataFrame, columns: list[str], malformed: Column | None = None) -> DataFrame:
-    pairs = [x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
-    cells = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
-    bad = malformed if malformed is not None else F.lit(False)
-    return df.select("path", cells.alias("cells"), bad.alias("malformed"))
-
-
-def _one_line_records(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Large CSV files without a line break inside quotes.
-
-    A record that spans lines leaves a line with an odd number of quotes. Files
-    without one can be split over tasks; the check itself is split already.
-    """
-    if not paths:
-        return set()
-    lines = spark.read.text([_glob_safe(p) for p in paths])
-    odd = tx.occurrences(F.col("value"), '"') % 2 == 1
-    open_quotes = lines.groupBy(_file_path().alias("path")).agg(F.bool_or(odd).alias("spans"))
-    return {r["path"] for r in open_quotes.filter("not spans").collect()}
-
-
-def _read_csv(spark, paths, delimiter, encoding, multiline) -> DataFrame:
-    """CSV cells; a record with more cells than the header is malformed."""
-    reader = (
-        spark.read.option("header", "true")
-        .option("sep", delimiter)
-        .option("encoding", encoding)
-        .option("multiLine", str(multiline).lower())
-        .option("quote", '"')
-        .option("escape", '"')
-    )
-    columns = reader.csv(paths).columns
-    raw = max(["__record", *(c + "_" for c in columns if c.startswith("__record"))], key=len)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, raw]])
-    df = reader.schema(schema).option("columnNameOfCorruptRecord", raw).csv(paths)
-    # Records of another width come back raw; the short ones end in nulls.
-    bare = F.regexp_replace(F.col(raw), '"(?:[^"]|"")*"', "")
-    wide = F.coalesce(tx.occurrences(bare, delimiter) >= len(columns), F.lit(False))
-    return _as_cells(df.withColumn("path", _file_path()), columns, wide)
-
-
 _OBJECT = "map<string,string>"
 
 
-def _lines_of(spark, paths, encoding) -> DataFrame:
-    """Lines of files; of charsets other than UTF-8 only the CSV reader knows."""
-    if encoding == UTF8:
-        return spark.read.text(paths).select(_file_path().alias("path"), "value")
-    lines = (
-        spark.read.schema("value string")
-        .option("encoding", encoding)
-        .option("sep", "\x01")
-        .option("quote", "")
-        .csv(paths)
-    )
-    return lines.select(_file_path().alias("path"), "value")
-
-
-def _read_jsonl(spark, paths, encoding) -> DataFrame:
-    lines = _lines_of(spark, paths, encoding)
+def _parsed(lines: DataFrame) -> DataFrame:
+    """JSON objects of `path, value` as cells; anything else is malformed."""
     cells = F.from_json("value", _OBJECT)
-    return lines.filter(~F.col("value").rlike(r"^\s*$")).select(
-        "path", cells.alias("cells"), cells.isNull().alias("malformed")
-    )
+    return lines.select("path", cells.alias("cells"), cells.isNull().alias("malformed"))
 
 
-def _read_json(spark, paths, encoding) -> DataFrame:
+def _array_cells(ranges: DataFrame) -> DataFrame:
     """Arrays of objects and ``{"data": [...]}`` envelopes."""
-    whole = spark.read.format("binaryFile").load(paths)
-    text = F.decode("content", encoding)
-    documents = whole.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), text.alias("value"))
-    is_array = F.ltrim("value").startswith("[")
-    items = F.when(is_array, F.from_json("value", f"array<{_OBJECT}>")).otherwise(
-        F.from_json("value", f"data array<{_OBJECT}>")["data"]
-    )
-    return documents.select("path", F.explode_outer(items).alias("cells")).select(
-        "path", "cells", F.col("cells").isNull().alias("malformed")
-    )
-
+    outer = F.col("shape") == "array"
+    arrays = ranges.where(outer).withColumns({"level": F.lit(1), "closes": F.lit(None).cast("long")})
+    held = splits.data_arrays(ranges.where(~outer))
+    envelopes = ranges.where(~outer).drop("opens").join(held, "path").withColumn("level", F.lit(2))
+    items = _parsed(splits.array_items(arrays.unionByName(envelopes)))
+    lost = ranges.where(~outer & (F.col("begin") == 0)).join(held, "path", "left_anti")
+    refused = lost.select("path", F.lit(None).cast(_OBJECT).alias("cells"), F.lit(True).alias("malformed"))
+    return items.unionByName(refused)
 
-def _read_json_objects(spark, paths, encoding) -> DataFrame:
-    """One object per file as one row of dotted columns."""
-    rows = flatten(
-        spark.read.option("multiLine", "true")
-        .option("encoding", encoding)
-        .json(paths)
-        .withColumn("path", _file_path())
-    )
-    # Columns of other files of the group are no columns of this one.
-    return _as_cells(rows, [c for c in rows.columns if c != "path"]).withColumn(
-        "cells", F.map_filter("cells", lambda _, v: v.isNotNull())
-    )
 
+def read_cells(spark: SparkSession, inspected: DataFrame, profiles: DataFrame, sheet: int = 0) -> DataFrame:
+    """``path, cells, malformed`` rows of all files without an error.
 
-def _read_xml(spark, paths, row_tag, encoding) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", row_tag).option("encoding", encoding)
-    df = reader.option("inferSchema", "false").load(paths)
-    filled = df.select(
-        _file_path().alias("path"),
-        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns],
-    )
-    return _as_cells(filled, df.columns)
-
-
-def read_cells(spark: SparkSession, inspected: DataFrame, sheet: int = 0) -> DataFrame:
-    """``path, cells, malformed`` rows of all files without an error."""
-    usable = inspected.filter(F.col("error").isNull())
-    is_csv = F.col("extension") == "csv"
-    shapes = [
-        "extension",
-        F.when(is_csv, F.col("delimiter")).alias("sep"),
-        F.col("encoding").alias("charset"),
-        F.col("shape"),
-    ]
-    large = (is_csv & (F.col("length") > SPLIT_BYTES)).alias("large")
-    # Paths only: the readers below list them on the driver in any case.
-    listed = usable.select("path", large, *shapes).limit(MAX_FILES + 1).collect()
-    if len(listed) > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} files, stream the folder instead")
-    splittable = _one_line_records(spark, [r["path"] for r in listed if r["large"]])
-    groups: dict[tuple, list[str]] = {}
-    for row in listed:
-        multiline = row["path"] not in splittable if row["extension"] == "csv" else None
-        groups.setdefault((*row[2:], multiline), []).append(_glob_safe(row["path"]))
-    if len(groups) > MAX_SHAPES:
-        raise ValueError(f"more than {MAX_SHAPES} file shapes, stream the folder instead")
-
+    Each format is one reader, however many files there are and whatever their
+    columns; `inspected` and `profiles` are those of the same files.
+    """
+    usable = inspected.filter(F.col("error").isNull()).select("path", "extension", "encoding", "delimiter", "shape", "opens")
+    # At most one row per format and shape.
+    there = {(r["extension"], r["shape"]) for r in usable.select("extension", "shape").distinct().collect()}
+    kinds = {ext for ext, _ in there}
+    facts = usable.drop("extension")
     parts = []
-    for (ext, sep, charset, shape, multiline), paths in groups.items():
-        if ext == "csv":
-            parts.append(_read_csv(spark, paths, sep, charset, multiline))
-        elif ext == "jsonl":
-            parts.append(_read_jsonl(spark, paths, charset))
-        elif ext == "json" and shape == "object":
-            parts.append(_read_json_objects(spark, paths, charset))
-        elif ext == "json":
-            parts.append(_read_json(spark, paths, charset))
-        elif ext == "xml" and shape:
-            parts.append(_read_xml(spark, paths, shape, charset))
-    if any(ext == "xlsx" for ext, *_ in groups):
+    if kinds & {"csv", "json"}:
+        entered = cut_lineage(splits.entered(profiles).join(facts, "path"))
+    if "csv" in kinds:
+        parts.append(splits.csv_cells(entered.where("extension = 'csv'")))
+    if "jsonl" in kinds:
+        ranges = profiles.where("extension = 'jsonl'").select("path", "length", "begin", "stop")
+        parts.append(_parsed(splits.text_lines(ranges.join(facts, "path"))))
+    if there & {("json", "array"), ("json", "envelope")}:
+        parts.append(_array_cells(entered.where("extension = 'json' AND shape <> 'object'")))
+    if ("json", "object") in there:
+        parts.append(splits.object_cells(usable.where("shape = 'object'")))
+    if "xml" in kinds:
+        parts.append(splits.xml_cells(usable.where("extension = 'xml'")))
+    if "xlsx" in kinds:
         parts.append(read_workbooks(usable.filter("extension = 'xlsx'"), sheet))
     if not parts:
-        return spark.createDataFrame([], "path string, cells map<string,string>, malformed boolean")
+        return spark.createDataFrame([], splits.CELLS)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -346,16 +201,20 @@ def ingest(
     mapping: Mapping[str, str | None] | None = None,
     sheet: int = 0,
     strict: bool = False,
+    range_bytes: int = splits.RANGE_BYTES,
 ) -> Ingested:
     """Read every file of a ``path, length`` table into canonical rows.
 
     ``mapping`` names columns explicitly; a role mapped to None is resolved by
     name. ``strict`` refuses files with formula patterns or malformed cells,
-    which the default escapes or keeps.
+    which the default escapes or keeps. Files are read in ranges of
+    ``range_bytes``, which change nothing but the number of tasks and the ids:
+    a file's id follows its path and content.
     """
     mapping = dict(mapping or {})
-    inspected = cut_lineage(inspect(files, strict=strict))
-    cells = read_cells(spark, inspected, sheet)
+    profiles = cut_lineage(_profiles(files, range_bytes))
+    inspected = cut_lineage(_judged(profiles, strict=strict))
+    cells = read_cells(spark, inspected, profiles, sheet)
 
     headers = F.transform(F.map_keys("cells"), lambda k: F.lower(k))
     ranks = {}
@@ -415,7 +274,7 @@ def ingest(
         "classification",
         F.when(F.col("error").isNull(), F.when(F.col("negative_name").isNotNull(), "T").otherwise("D")),
     )
-    judged = cut_lineage(judged.withColumn("dataset_id", minted_id("path", "length")))
+    judged = cut_lineage(judged.withColumn("dataset_id", minted_id("path", "length", "print")))
 
     good = judged.filter(F.col("error").isNull()).select(
         "path", "dataset_id", "extension", "classification", *[f"{r}_name" for r in ROLES]

@@ -166,19 +166,64 @@ def test_classification_counts_and_names(ingested):
     assert found["latin.csv"].encoding == "ISO-8859-1"
 
 
-def test_large_csv_is_split_only_when_safe(spark, folder, monkeypatch):
-    from embedlake.sources import files as fl
-
-    monkeypatch.setattr(fl, "SPLIT_BYTES", 1)
-    paths = [str(folder / n) for n in ["comma.csv", "tab.csv", "latin.csv", "; rm -rf %2F.csv"]]
-    listed = list_files(spark, *paths)
-    assert {p.rsplit("/", 1)[-1] for p in fl._one_line_records(spark, [r.path for r in listed.collect()])} == {
-        "tab.csv", "latin.csv",
-    }
-    rows = by_name(ingest(spark, listed).rows)
-    assert sorted((r.question, r.positive, r.negative) for r in rows["comma.csv"]) == sorted(ROWS)
-    assert [(r.question, r.positive) for r in rows["latin.csv"]] == [("Größe", "Maß")]
-    assert len(rows["tab.csv"]) == 2
+@pytest.mark.parametrize("size", [13, 60])
+def test_ranges_of_any_size_read_the_same(spark, folder, ingested, size):
+    names = ["comma.csv", "tab.csv", "latin.csv", "bom.csv", "; rm -rf %2F.csv", "array.json", "late.json", "envelope.json"]
+    names += ["lines.jsonl", "broken.jsonl", "wrong.csv", "header_only.csv", "nul.csv"]
+    small = ingest(spark, list_files(spark, *[str(folder / n) for n in names]), range_bytes=size)
+    verdict = lambda r: (r.path.rsplit("/", 1)[-1], r.error, r.detail, r.encoding, r.delimiter, r.rows, r.classification)
+    assert {verdict(r) for r in small.files.collect()} == {verdict(r) for r in ingested.files.collect() if verdict(r)[0] in names}
+    row = lambda r: (r.path, r.question or "", r.positive or "", r.negative or "")
+    kept = {r.path for r in small.rows.collect()}
+    assert sorted(map(row, small.rows.collect())) == sorted(row(r) for r in ingested.rows.collect() if r.path in kept)
+
+
+def test_one_reader_per_format(spark, tmp_path):
+    """The plan does not grow with the shapes of the files."""
+    for i in range(12):
+        (tmp_path / f"f{i}.csv").write_text(f"question,positive,spare{i}\na{i},b,c\n")
+        (tmp_path / f"g{i}.xml").write_text(f"<r><row{i}><question>x{i}</question><positive>y</positive></row{i}></r>")
+    result = ingest(spark, list_files(spark, str(tmp_path)))
+    assert {r.question for r in result.rows.collect()} == {f"{c}{i}" for c in "ax" for i in range(12)}
+    plan = result.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+def test_files_keep_to_their_own_columns(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<d><r><prompt>p</prompt><chosen>c</chosen></r><r><prompt/><chosen>e</chosen></r></d>")
+    (tmp_path / "b.xml").write_text("<d><r><prompt>p</prompt><chosen>c</chosen><rejected>n</rejected></r></d>")
+    (tmp_path / "broken.xml").write_text("<d><r><prompt>p</prompt>")
+    (tmp_path / "none.xml").write_text("<d></d>")
+    (tmp_path / "wide.csv").write_text('"ques\ntion",question,positive\n1,2,3\n')
+    (tmp_path / "other.csv").write_text('"ques\nother",answer,prompt\n4,5,6\n')
+    (tmp_path / "open.json").write_text('[{"question": "a", "positive": "b"}')
+    (tmp_path / "keyless.json").write_text('{"x": [{"question": "a"}]' + " " * (1 << 20) + "}")
+    result = ingest(spark, list_files(spark, str(tmp_path)))
+    files = {n: (r[0].error, r[0].classification) for n, r in by_name(result.files).items()}
+    assert files == {
+        "a.xml": (None, "D"), "b.xml": (None, "T"), "broken.xml": ("invalid_format", None), "none.xml": ("empty_file", None),
+        "wide.csv": (None, "D"), "other.csv": (None, "D"), "open.json": ("invalid_format", None), "keyless.json": ("invalid_format", None),
+    }
+    rows = {n: sorted((r.question, r.positive, r.negative) for r in found) for n, found in by_name(result.rows).items()}
+    assert rows["a.xml"] == [("", "e", None), ("p", "c", None)]
+    assert rows["wide.csv"] == [("2", "3", None)] and rows["other.csv"] == [("6", "5", None)]
+
+
+def test_strict_patterns_are_found_anywhere(spark, tmp_path):
+    filler = b"question,positive\n" + b"a,b\n" * 600_000
+    (tmp_path / "late.csv").write_bytes(filler + b"=SuM(1),c\n")
+    (tmp_path / "clean.csv").write_bytes(filler)
+    result = ingest(spark, list_files(spark, str(tmp_path)), strict=True, range_bytes=1 << 20)
+    assert {n: r[0].error for n, r in by_name(result.files).items()} == {"late.csv": "malicious_content", "clean.csv": None}
+
+
+def test_ids_follow_the_content(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("question,positive\na,b\n")
+    read = lambda: ingest(spark, list_files(spark, str(tmp_path))).files.first().dataset_id
+    first = read()
+    assert read() == first
+    (tmp_path / "a.csv").write_text("question,positive\na,c\n")
+    assert read() != first
 
 
 def test_strict_mode(spark, folder):
