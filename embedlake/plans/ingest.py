@@ -11,8 +11,9 @@ from embedlake.plans.catalog import query
 from embedlake.plans.tables import Tables, archive_members, text_triplets
 from embedlake.plans.training import TEXT_TRIPLETS_SQL
 from embedlake.session import work_dir
-from embedlake.sources.files import ingest, list_files, scan_subsets
-from embedlake.sources.jsonl import canonical_lines, flatten
+from embedlake.sources.files import Ingested, ingest, inspect, list_files, scan_subsets
+from embedlake.sources.jsonl import canonical_lines, flatten, write_json_files
+from embedlake.sources.splits import RANGE_BYTES
 
 
 @query(
@@ -441,19 +442,26 @@ _ESCAPED = """CASE WHEN left(ltrim(text, E' \\t\\n\\r\\f\\v'), 1) IN ('=', '+',
   THEN '''' || text ELSE text END"""
 
 
-def _round_trip(t: Tables, kind: str, **options: str) -> DataFrame:
-    """Documents written as files of a kind and read again as a dataset."""
-    folder = work_dir(t.spark, kind)
-    rows = t.documents.select(F.col("text").alias("prompt"), F.col("source").alias("chosen"), F.col("lang").alias("rejected"))
-    rows.write.format(kind).options(**options).save(folder)
-    files = list_files(t.spark, folder).filter(tx.extension(tx.base_name(F.col("path"))) == kind)
-    read = ingest(t.spark, files)
+def _dataset(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("text").alias("prompt"), F.col("source").alias("chosen"), F.col("lang").alias("rejected"))
+
+
+def _counted(read: Ingested) -> DataFrame:
+    """Every row read, as its digest; a refused file is a row with its reason."""
     rejected = read.files.filter(F.col("error").isNotNull()).select(F.col("error").alias("question_md5"))
     found = read.rows.select(F.md5("question").alias("question_md5"), "positive", "negative", "classification")
     found = found.unionByName(rejected, allowMissingColumns=True)
     return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
 
 
+def _round_trip(t: Tables, kind: str, range_bytes: int = RANGE_BYTES, rows: DataFrame | None = None, **options: str) -> DataFrame:
+    """Documents written as files of a kind and read again as a dataset."""
+    folder = work_dir(t.spark, kind)
+    (_dataset(t) if rows is None else rows).write.format(kind).options(**options).save(folder)
+    files = list_files(t.spark, folder).filter(tx.extension(tx.base_name(F.col("path"))) == kind)
+    return _counted(ingest(t.spark, files, range_bytes=range_bytes))
+
+
 def _round_trip_sql(text: str) -> str:
     return f"""SELECT md5({text}) AS question_md5, source AS positive, lang AS negative, 'T' AS classification,
   count(*) AS n FROM documents GROUP BY ALL"""
@@ -465,6 +473,74 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return _round_trip(t, "csv", header="true", quote='"', escape='"')
 
 
+# Small ranges, so that every scale has records, strings and characters that a range cuts.
+SMALL_RANGES = 1 << 18
+
+
+@query(_round_trip_sql(_ESCAPED))
+def csv_ranges_round_trip(t: Tables) -> DataFrame:
+    """One CSV file with line breaks inside quotes, read by many tasks."""
+    return _round_trip(t, "csv", SMALL_RANGES, _dataset(t).coalesce(1), header="true", quote='"', escape='"')
+
+
+_LATIN = f"regexp_replace({_ESCAPED}, '[^\\x00-\\xFF]', '?', 'g')"
+
+
+@query(_round_trip_sql(_LATIN))
+def latin_csv_round_trip(t: Tables) -> DataFrame:
+    """Files in Latin-1; what the charset lacks is written as a question mark."""
+    return _round_trip(t, "csv", SMALL_RANGES, header="true", quote='"', escape='"', encoding="ISO-8859-1")
+
+
+def _json_round_trip(t: Tables, layout: str) -> DataFrame:
+    files = write_json_files(_dataset(t), work_dir(t.spark, layout), layout)
+    return _counted(ingest(t.spark, files, range_bytes=SMALL_RANGES))
+
+
+@query(_round_trip_sql("text"))
+def json_array_round_trip(t: Tables) -> DataFrame:
+    """Arrays of objects, cut into records by many tasks."""
+    return _json_round_trip(t, "array")
+
+
+@query(_round_trip_sql("text"))
+def json_envelope_round_trip(t: Tables) -> DataFrame:
+    """Objects whose key `data` holds the records."""
+    return _json_round_trip(t, "envelope")
+
+
+@query(_round_trip_sql("text"))
+def jsonl_round_trip(t: Tables) -> DataFrame:
+    """JSON lines, as datasets are stored."""
+    return _json_round_trip(t, "lines")
+
+
+@query(_round_trip_sql("text"))
+def xml_round_trip(t: Tables) -> DataFrame:
+    """Records of XML files, whatever their columns."""
+    return _round_trip(t, "xml", rowTag="record", rootTag="data")
+
+
+@query(
+    """SELECT source, lang, bool_or(contains(lower(text), '=cmd') OR contains(lower(text), '=sum') OR contains(text, '@')
+  OR contains(lower(text), '=importxml')) AS malicious,
+  CASE WHEN bool_or(regexp_matches(text, '[\\x{80}-\\x{FF}]')) THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding
+FROM documents GROUP BY source, lang"""
+)
+def strict_file_gates(t: Tables) -> DataFrame:
+    """Charset and formula patterns of Latin-1 files, wherever in a file they stand."""
+    folder = work_dir(t.spark, "gates")
+    rows = t.documents.select("text", "source", "lang")
+    rows.write.partitionBy("source", "lang").options(encoding="ISO-8859-1", quote='"', escape='"').csv(folder)
+    files = list_files(t.spark, folder).filter(tx.extension(tx.base_name(F.col("path"))) == "csv")
+    seen = inspect(files, strict=True)
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    return seen.groupBy(part("source"), part("lang")).agg(
+        F.bool_or(F.coalesce(F.col("error") == "malicious_content", F.lit(False))).alias("malicious"),
+        F.min("encoding").alias("encoding"),
+    )
+
+
 @query(
     """SELECT 'hub/orders_' || o_orderstatus || '_' || CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset_name,
   o_orderpriority AS question, o_orderkey::VARCHAR AS positive,

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyarrow.fs import FileType
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embedlake.operators.canonical import ROLES
-from embedlake.sources.remote import filesystem
+from embedlake.sources.remote import filesystem, open_for_writing
 
 TRIPLET_SCHEMA = "question string, positive string, negative string"
 
@@ -68,6 +71,40 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+# What stands before, between and after the records of a file.
+LAYOUTS = {"lines": ("", "\n", "\n"), "array": ("[", ",\n", "]"), "envelope": ('{"data": [', ",\n", "]}")}
+EXTENSIONS = {"lines": "jsonl", "array": "json", "envelope": "json"}
+
+
+def write_json_files(df: DataFrame, path: str, layout: str = "lines") -> DataFrame:
+    """Any frame as JSON files of a layout, as `path, length` of the files written.
+
+    A task streams its rows into one file and holds none of them. Files bear the
+    name of the attempt, and the list, kept in `path/_files`, names those that
+    counted.
+    """
+    before, between, after = LAYOUTS[layout]
+    ending = EXTENSIONS[layout]
+
+    def save(parts):
+        name, out = f"{path}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.{ending}", None
+        for part in parts:
+            for value in part.column("value"):
+                start = out is None
+                if start:
+                    out = open_for_writing(name)
+                out.write(((before if start else between) + value.as_py()).encode())
+        if out is not None:
+            out.write(after.encode())
+            length = out.tell()
+            out.close()
+            yield pa.RecordBatch.from_pydict({"path": [name], "length": pa.array([length], "int64")})
+
+    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    lines.mapInArrow(save, "path string, length long").write.parquet(f"{path}/_files")
+    return df.sparkSession.read.parquet(f"{path}/_files")
+
+
 def delete_stored(path: str) -> bool:
     """Remove a stored dataset; False when there is none."""
     system, name = filesystem(path)
