@@ -12,24 +12,31 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedlake.llm import batches
-from embedlake.session import work_dir
+from embedlake.llm.frames import _open
+from embedlake.session import cut_lineage, work_dir
 
 # Bytes of text in one shard; a longer text is a shard of its own.
 SHARD_BYTES = 8 << 20
+# Words of shards that one hash bucket of the dictionary takes on average.
+BUCKET_WORDS = 500_000
 # Bytes of text counted at once; a longer text is cut at blanks.
 PIECE_BYTES = 4 << 20
 CHUNK = 1 << 20
+MOST_TASKS = 50_000
 
 FEWEST_WORDS = 200
 LEAST_DISTINCT = 50
@@ -37,7 +44,7 @@ MOST_CAPITALS = 2
 SYMBOLS = "#$%&*|"
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
-_FACTS = "digest binary, chars long, capitals long, symbols long"
+_FACTS = {"digest": pa.binary(), "chars": pa.int64(), "capitals": pa.int64(), "symbols": pa.int64()}
 
 
 def _pieces(texts: pa.Array, limit: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -99,91 +106,162 @@ class _Shard:
     def _code(self, word: str) -> int:
         return self.codes.setdefault(word, len(self.codes)) if word else -1
 
-    def row(self, shard: int, kind: pa.DataType) -> pa.RecordBatch:
+    def save(self, path: str, keys: pa.StructType) -> None:
+        """One compressed Arrow record; codes follow the order of the words' hashes."""
+        kind = pa.list_(pa.struct([*keys, *[pa.field(n, k) for n, k in _FACTS.items()]]))
         indptr = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))]).astype("i8")
-        return pa.RecordBatch.from_pydict(
+        words = [w.encode() for w in self.codes]
+        hashes = np.fromiter(map(zlib.crc32, words), "u4", len(words))
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(words), "i4")
+        rank[order] = np.arange(len(words))
+        record = pa.RecordBatch.from_pydict(
             {
-                "shard": pa.array([shard], "int64"),
                 "docs": pa.array([self.docs], kind),
                 "indptr": pa.array([indptr], pa.list_(pa.int64())),
-                "codes": pa.array([np.concatenate(self.indices)], pa.list_(pa.int32())),
+                "codes": pa.array([rank[np.concatenate(self.indices)]], pa.list_(pa.int32())),
                 "data": pa.array([np.concatenate(self.data)], pa.list_(pa.int32())),
-                "words": pa.array([list(self.codes)], pa.list_(pa.string())),
+                "words": pa.array([b" ".join([words[i] for i in order])], pa.large_binary()),
+                "hashes": pa.array([hashes[order]], pa.list_(pa.uint32())),
             }
         )
+        system, name = _open(path)
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(name, compression=None) as sink:
+            with ipc.new_file(sink, record.schema, options=ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write(record)
 
 
-def _local_shards(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+def _load(path: str, *names: str) -> pa.RecordBatch:
+    system, name = _open(path)
+    with system.open_input_file(name) as source:
+        fields = ipc.open_file(source).schema.names
+        options = ipc.IpcReadOptions(included_fields=[fields.index(n) for n in names])
+        return ipc.open_file(source, options=options).get_batch(0)
+
+
+def _local_shards(docs: DataFrame, keys: list[str], text: str, folder: str) -> DataFrame:
+    """`shard, path, n_words` of shards whose counts lie in files of attempts that counted."""
     held = docs.select(F.struct(*keys).alias("key"), F.col(text).alias("text"))
-    fields = held.schema["key"].dataType.simpleString()[len("struct<") : -1]
-    facts = _FACTS.replace(" ", ":").replace(",:", ",")
-    schema = (
-        f"shard long, docs array<struct<{fields},{facts}>>, indptr array<long>, "
-        "codes array<int>, data array<int>, words array<string>"
-    )
-    names = [f.split()[0] for f in _FACTS.split(", ")]
 
     def count(parts):
-        part, number, held = TaskContext.get().partitionId(), 0, _Shard()
+        part, attempt, number, shard, kind = TaskContext.get().partitionId(), uuid.uuid4().hex[:8], 0, _Shard(), None
+
+        def row():
+            path = f"{folder}/counts/{part:06d}-{number:04d}-{attempt}.arrow"
+            shard.save(path, kind)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "shard": pa.array([part << 32 | number], "int64"),
+                    "path": [path],
+                    "n_words": pa.array([len(shard.codes)], "int64"),
+                }
+            )
+
         for piece in batches.slices(parts, limit=PIECE_BYTES):
-            texts = pc.fill_null(piece.column("text"), "")
+            texts, kind = pc.fill_null(piece.column("text"), ""), piece.schema.field("key").type
             size = int(pc.sum(pc.binary_length(texts)).as_py() or 0)
-            if held.docs and held.bytes + size > SHARD_BYTES:
-                yield held.row(part << 32 | number, kind)
-                number, held = number + 1, _Shard()
+            if shard.docs and shard.bytes + size > SHARD_BYTES:
+                yield row()
+                number, shard = number + 1, _Shard()
             raw = texts.cast(pa.large_binary())
-            kind = piece.schema.field("key").type
-            kind = pa.list_(
-                pa.struct([*kind, *[pa.field(n, pa.binary() if n == "digest" else pa.int64()) for n in names]])
-            )
-            found = [dict(zip(names, _facts(raw[i].as_py()))) for i in range(len(raw))]
-            held.add([k | f for k, f in zip(piece.column("key").to_pylist(), found)], texts)
-            held.bytes += size
-        if held.docs:
-            yield held.row(part << 32 | number, kind)
+            found = [dict(zip(_FACTS, _facts(raw[i].as_py()))) for i in range(len(raw))]
+            shard.add([k | f for k, f in zip(piece.column("key").to_pylist(), found)], texts)
+            shard.bytes += size
+        if shard.docs:
+            yield row()
 
-    return held.mapInArrow(count, schema)
+    return held.mapInArrow(count, "shard long, path string, n_words long")
 
 
-def _numbered(words: DataFrame, path: str) -> DataFrame:
-    """`word, n_shards, term_id`: dense numbers for distinct words.
+def _dealt(buckets: int):
+    """The words of each shard by hash bucket, as one packed row each."""
 
-    A word's place inside its partition is fixed by writing it; the partitions
-    then start one after the other. Only one row per partition is ordered.
-    """
-    placed = words.groupBy("word").agg(F.count("*").alias("n_shards")).withColumns(
-        {"block": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
-    )
-    placed.write.parquet(path)
-    placed = words.sparkSession.read.parquet(path)
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("block").agg(F.count("*").alias("n"))
-    starts = starts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.join(starts, "block").select("word", "n_shards", (F.col("start") + F.col("place")).alias("term_id"))
+    def deal(parts):
+        for part in parts:
+            for shard, path in zip(part.column("shard").to_pylist(), part.column("path").to_pylist()):
+                held = _load(path, "words", "hashes")
+                words = held.column("words")[0].as_py().split(b" ")
+                hashes = held.column("hashes").flatten().to_numpy().astype("u8")
+                edges = np.searchsorted(hashes * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype="u8"))
+                rows = [(b, edges[b], edges[b + 1]) for b in range(buckets) if edges[b] < edges[b + 1]]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": pa.array([b for b, _, _ in rows], "int64"),
+                        "shard": pa.array([shard] * len(rows), "int64"),
+                        "words": pa.array([zlib.compress(b" ".join(words[i:j]), 1) for _, i, j in rows], pa.binary()),
+                    }
+                )
 
+    return deal
 
-def _recode(parts):
-    """Local word codes become term ids; the entries of a row are put in their order."""
+
+NUMBERED = "bucket long, shard long, places binary, n_new long, new_words binary"
+
+
+def _number(parts):
+    """Numbers the words of a bucket as they come; new ones stand in the row that has them first."""
+    bucket, known = None, {}
     for part in parts:
-        for n in range(part.num_rows):
-            one = part.slice(n, 1)
-            value = lambda name: one.column(name).flatten().to_numpy(zero_copy_only=False)
-            indptr, indices = value("indptr"), value("codes")
-            indices = value("terms")[indices] if len(indices) else np.empty(0, "i8")
-            row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-            order = np.lexsort((indices, row))
+        rows = []
+        for row in part.to_pylist():
+            if row["bucket"] != bucket:
+                bucket, known = row["bucket"], {}
+            words, before = zlib.decompress(row["words"]).split(b" "), len(known)
+            places = np.fromiter((known.setdefault(w, len(known)) for w in words), "u4", len(words))
+            new = [w for w, p in zip(words, places.tolist()) if p >= before]
+            rows.append((bucket, row["shard"], zlib.compress(places.tobytes(), 1), len(new), zlib.compress(b" ".join(new), 1)))
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    one.column("shard"),
-                    one.column("docs"),
-                    one.column("indptr"),
-                    pa.array([indices[order]], pa.list_(pa.int64())),
-                    pa.array([value("data")[order]], pa.list_(pa.int32())),
-                ],
-                ["shard", "docs", "indptr", "indices", "data"],
+                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in NUMBERED.split(", ")]
             )
 
 
+def _named(parts):
+    """`word, term_id` from the new words of each row, numbered in their order."""
+    for part in parts:
+        for start, n, words in zip(*(part.column(c).to_pylist() for c in ("first_id", "n_new", "new_words"))):
+            if n:
+                found = pa.array(zlib.decompress(words).split(b" "), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([found, pa.array(np.arange(start, start + n))], ["word", "term_id"])
+
+
+def _recode(parts):
+    """Local codes become term ids. Rows come by shard: its path first, then its places by bucket."""
+    shard, path, terms = None, None, []
+
+    def row():
+        held = _load(path, "docs", "indptr", "codes", "data")
+        value = lambda name: held.column(name).flatten().to_numpy(zero_copy_only=False)
+        indptr, codes = value("indptr"), value("codes")
+        indices = np.concatenate(terms)[codes] if len(codes) else np.empty(0, "i8")
+        # Rows of a shard and term ids fit one key.
+        key = np.repeat(np.arange(len(indptr) - 1) << 40, np.diff(indptr)) | indices
+        order = np.argsort(key)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([shard], "int64"),
+                held.column("docs"),
+                held.column("indptr"),
+                pa.array([indices[order]], pa.list_(pa.int64())),
+                pa.array([value("data")[order]], pa.list_(pa.int32())),
+            ],
+            ["shard", "docs", "indptr", "indices", "data"],
+        )
+
+    for part in parts:
+        for one in part.to_pylist():
+            if one["path"] is not None:
+                if shard is not None:
+                    yield row()
+                shard, path, terms = one["shard"], one["path"], []
+            else:
+                terms.append(np.frombuffer(zlib.decompress(one["places"]), "u4").astype("i8") + one["start"])
+    if shard is not None:
+        yield row()
+
+
 def document_terms(docs: DataFrame, keys: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The matrix shards and the dictionary of a table of texts.
 
@@ -191,32 +269,51 @@ def document_terms(docs: DataFrame, keys: list[str], text: str = "text") -> tupl
     `keys` of each document with `digest` (SHA-256 of the text), `chars` (code
     points), `capitals` and `symbols`; the entries of document i are
     `indices[indptr[i]:indptr[i + 1]]` (term ids, ascending) with their counts
-    in `data`. The dictionary is `word, n_shards, term_id` with dense term ids.
+    in `data`. The dictionary is `word, term_id` with dense term ids.
 
     Words are maximal runs of characters other than ASCII blanks. A null text is
     empty, an empty or blank one has an empty row; repeated rows are rows of
     their own, ids may be null or repeat, and an empty table gives no shard and
     no word. Only `keys` and `text` are read, so other columns may have any
-    name. Shards hold about 8 MiB of text; a longer text is counted in pieces of
-    4 MiB and is a shard alone. Only a shard's own words, once each, meet the
-    other shards' words, and a word of every shard is one row per shard. All
-    tables lie in the shared folder, so that a lost executor costs its tasks.
+    name. Shards hold about 16 MiB of text; a longer text is counted in pieces
+    of 4 MiB and is a shard alone.
+
+    Counts stay in files of the shared folder. A shard's words, once each, go
+    packed by hash bucket to the task that numbers the bucket, and the numbers
+    go back to the shard. Buckets are as many as keep one at about 500,000
+    words, and the most frequent word is one word per shard there. Numbers are
+    a written table, so a lost executor costs its tasks and no number changes.
     """
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession, "terms")
-    _local_shards(docs, keys, text).write.parquet(f"{folder}/local")
-    local = spark.read.parquet(f"{folder}/local")
-    words = local.select("shard", F.posexplode("words").alias("code", "word"))
-    dictionary = _numbered(words.select("word"), f"{folder}/dictionary")
-    # One row per distinct word of a shard, so a shard's list has its size as bound.
-    terms = words.join(dictionary, "word").groupBy("shard").agg(
-        F.sort_array(F.collect_list(F.struct("code", "term_id"))).alias("found")
+    _local_shards(docs, keys, text, folder).write.parquet(f"{folder}/shards")
+    local = spark.read.parquet(f"{folder}/shards")
+    total, shards = local.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
+    buckets = max(1, -(-total // BUCKET_WORDS))
+    # A shard is a small row, so AQE would put all of them into one task.
+    paths = local.where("n_words > 0").select("shard", "path").repartition(max(1, min(shards, MOST_TASKS)), "shard")
+    dealt = paths.mapInArrow(_dealt(buckets), "bucket long, shard long, words binary")
+    dealt = dealt.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket", "shard")
+    dealt.mapInArrow(_number, NUMBERED).write.parquet(f"{folder}/numbers")
+    numbers = spark.read.parquet(f"{folder}/numbers")
+    # One row per bucket is ordered here; buckets start one after the other.
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = numbers.groupBy("bucket").agg(F.sum("n_new").alias("n"))
+    starts = starts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = numbers.join(starts, "bucket")
+    in_bucket = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("n_new").over(in_bucket), F.lit(0))
+    named = placed.select("n_new", "new_words", first.alias("first_id"))
+    dictionary = named.mapInArrow(_named, "word string, term_id long")
+
+    heads = local.select("shard", F.lit(-1).cast("long").alias("bucket"), "path")
+    rows = placed.select("shard", "bucket", "start", "places").unionByName(heads, allowMissingColumns=True)
+    fields = docs.select(*keys).schema.simpleString()[len("struct<") : -1]
+    facts = ",".join(f"{n}:{'binary' if n == 'digest' else 'long'}" for n in _FACTS)
+    gathered = rows.repartition(max(1, min(shards, MOST_TASKS)), "shard").sortWithinPartitions("shard", "bucket")
+    matrix = gathered.mapInArrow(
+        _recode, f"shard long, docs array<struct<{fields},{facts}>>, indptr array<long>, indices array<long>, data array<int>"
     )
-    terms = terms.select("shard", F.col("found.term_id").alias("terms"))
-    coded = local.drop("words").join(terms, "shard", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<long>")))
-    kinds = dict(coded.dtypes)
-    schema = f"shard long, docs {kinds['docs']}, indptr array<long>, indices array<long>, data array<int>"
-    coded.mapInArrow(_recode, schema).write.parquet(f"{folder}/matrix")
-    return spark.read.parquet(f"{folder}/matrix"), dictionary
+    return matrix, dictionary
 
 
 def row_sums(shards: DataFrame) -> DataFrame:
@@ -252,7 +349,7 @@ def judged(docs: DataFrame, labels: DataFrame, part: str = "source", doc_id: str
     """
     keys = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(part, F.lit("")).alias("part"), F.col(text).alias("text"))
     shards, _ = document_terms(keys, ["doc_id", "part"])
-    facts = row_sums(shards)
+    facts = cut_lineage(row_sums(shards))
     # Only texts that occur more than once go to the join; AQE splits a hot one.
     copies = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     marks = labels.groupBy(F.col("doc_id").alias("label_id")).agg(
