@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -24,6 +25,8 @@ from embedlake.llm.words import Texts, Words, not_blank
 
 # Fixed values of the base rules; the look-behinds only save repeated work.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -51,13 +54,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of EMAIL, left to right, found from their signs.
+
+    A search from the left tries every place of a long run that no sign ends;
+    here each run before a sign is walked once, from the sign to the left, and
+    never into the match before it.
+    """
+    end, at = 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > end and text[begin - 1] in MAILBOX:
+            begin -= 1
+        # A run cut by a sign can't hold another one, so what follows decides.
+        found = DOMAIN.match(text, at + 1) if begin < at else None
+        if found:
+            end = found.end()
+            yield begin, end
+        at = text.find("@", max(at + 1, end))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base matches that pass."""
     found = []
-    if "@" in text:
-        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    found += [(0, *span) for span in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             found.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
