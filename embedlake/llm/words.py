@@ -12,7 +12,8 @@ import functools
 import numpy as np
 
 SEGMENT = 2 << 20
-_PERIOD = 1 << 16
+_PERIOD_BITS = 16
+_PERIOD = 1 << _PERIOD_BITS
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,8 +88,13 @@ class Words:
             low, sizes = self.starts[a:b], self.ends[a:b] - self.starts[a:b]
             begins = np.cumsum(sizes) - sizes
             at = np.repeat(low - begins, sizes) + np.arange(int(sizes.sum()))
-            place = (at - np.repeat(low, sizes)) & (_PERIOD - 1)
-            out[a:b] = np.add.reduceat(values[self.texts.data[at]] * powers[place], begins)
+            place = at - np.repeat(low, sizes)
+            factor = powers[place & (_PERIOD - 1)]
+            if int(sizes.max()) > _PERIOD:
+                # The factors begin anew after each block, so the block's number goes into them.
+                far = place >= _PERIOD
+                factor[far] = mix(factor[far] + (place[far] >> _PERIOD_BITS).astype("u8") * _GRAM) | np.uint64(1)
+            out[a:b] = np.add.reduceat(values[self.texts.data[at]] * factor, begins)
             a = b
         return mix(out + (self.ends - self.starts).astype("u8"))
 

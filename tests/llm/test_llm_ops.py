@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -26,6 +27,7 @@ from embedlake.llm import (
     repetition,
     secrets,
 )
+from embedlake.llm.words import Texts, Words, not_blank
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -586,6 +588,25 @@ SECRETS = [
 ]
 
 
+def test_swapped_blocks_of_a_long_word_differ():
+    """Position factors do not repeat: blocks of 65,536 bytes in another order are another word."""
+    x, y, z = (c * 65536 for c in "xyz")
+    same = [x + y, y + x, x + y + z, x + z + y, z + y + x, x + x + y, x + y]
+    hashes = Words(Texts([" ".join(same)]), not_blank(), lower=False).hashes
+    assert len(set(hashes.tolist())) == 6 and hashes[0] == hashes[-1]
+
+
+def test_long_words_in_joins_and_rules(spark):
+    x, y = "x" * 65536, "y" * 65536
+    groups = ngram_join.similar_groups(frame(spark, [(1, x + y), (2, y + x), (3, x + y)]))
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == {1: 1, 2: 2, 3: 1}
+    row = repetition.repetition(frame(spark, [(1, f"{x}{y}\n{y}{x}\n{x}{y}")])).collect()[0]
+    assert row["n_dup_lines"] == 1
+    items = spark.createDataFrame([(1, x + y)], "item_id long, text string")
+    judged = decontaminate.judge(frame(spark, [(1, y + x), (2, x + y)]), items).collect()
+    assert {r["doc_id"]: r["contaminated"] for r in judged} == {1: False, 2: True}
+
+
 def brute_secrets(text):
     base = []
     pattern = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -670,6 +691,18 @@ def test_personal_data(spark):
     assert pii.scan(empty(spark)).count() == 0
 
 
+def test_base_spans_of_long_runs():
+    began = time.time()
+    for text in ["0" * 5000 + ".1.1.1", "a" * 1_000_000, "a.b@" + "x" * 1_000_000, "a@" * 300_000, "1." * 300_000, "+1 " * 300_000]:
+        pii.base_spans(text)
+    assert time.time() - began < 30
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)] and pii.base_spans("1" * 5000 + ".1.1.1") == []
+    draw = random.Random(7)
+    for _ in range(20_000):
+        text = "".join(draw.choice("a_@.@-. é") for _ in range(draw.randint(0, 14)))
+        assert list(pii._emails(text)) == [m.span() for m in pii.EMAIL.finditer(text)], text
+
+
 def test_field_on_held_out_sentences():
     field = pii.default_field()
     rows = pii.labelled(150, seed=77)
