@@ -103,6 +103,8 @@ def row_position(
     return running_total(df, F.lit(1).cast("bigint"), order, levels, by, name)
 
 
+# Rows of a sample that a top-n per task and one merge may hold.
+TOP_ROWS = 50_000
 # Digest characters that name a cell: 16^3 counts come back per level.
 CELL_CHARS = 3
 DIGEST_CHARS = 30
@@ -114,16 +116,20 @@ def exact_sample(
     """Seeded sample of exactly ``n`` rows (all rows when there are fewer).
 
     ``key`` identifies a row; rows with equal keys are ordered as they come.
-    The choice depends on keys and seed only, not on partitioning. Counting
-    digest prefixes finds, level by level, the cell that holds the n-th
-    smallest digest; all rows before it are a filter, and of the rows with
-    that very digest the first are taken by a top-n, so exactly n come back.
-    ``df`` is read once per level, so materialise an expensive one first.
+    The choice depends on keys and seed only, not on partitioning: the rows of
+    the smallest digests, which up to TOP_ROWS are a top-n per task, merged, in
+    one scan. Beyond, counting digest prefixes finds, level by level, the cell
+    that holds the n-th smallest digest; all rows before it are a filter, and of
+    the rows with that very digest the first are taken by a top-n, so exactly n
+    come back; then ``df`` is read once per level, so materialise an expensive
+    one first.
     """
     if n <= 0:
         return df.limit(0)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     digest = F.substring(digest, 1, DIGEST_CHARS)
+    if n <= TOP_ROWS:
+        return df.orderBy(digest, *key).limit(n)
     hashed = df.select(digest.alias("__digest"))
     rest, prefix = n, ""
     while len(prefix) < DIGEST_CHARS:

@@ -311,32 +311,84 @@ def lineage(models: DataFrame, key: str = "id", parent: str = "trained_from_id")
     )
 
 
+# Rows of a page, with those before it, that a top-n may hold.
+NEAR_ROWS = 10_000
+
+
 def page_by_offset(
     registry: DataFrame, limit: int, offset: int = 0, key: str = "id"
 ) -> DataFrame:
     """Rows of one page in ``key`` order with the total row count.
 
     Any orderable key will do; nulls come first, and rows of equal keys keep
-    places of their own. Rows are dealt out by key ranges, the sizes of the
-    ranges say where a page begins, and only the ranges it touches are sorted.
+    places of their own, by a hash of the row. A near page is a top-n. For a far one only the keys are
+    dealt out by ranges; their counts say which range the page begins in, and
+    the rows between its bounds are read.
     """
-    ranged = registry.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-    # One row per range: as many as there are partitions.
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    sizes = sizes.select(
-        "__range",
-        "__n",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.partitionBy()).alias("total"),
+    order = [F.col(key), F.xxhash64(*[F.col(f"`{c}`") for c in registry.columns])]
+    if offset + limit <= NEAR_ROWS:
+        total = F.lit(registry.count()).cast("long").alias("total")
+        return registry.orderBy(*order).offset(offset).limit(limit).select("*", total)
+    keys = registry.select(F.col(key).alias("k")).repartitionByRange("k")
+    # One row per partition comes back, and one evaluation gives all of them.
+    sizes = keys.groupBy(F.spark_partition_id().alias("r")).agg(
+        F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.count_if(F.col("k").isNull()).alias("nulls")
     )
-    touched = sizes.filter((F.col("__before") < offset + limit) & (F.col("__before") + F.col("__n") > offset))
-    inside = Window.partitionBy("__range").orderBy(key)
-    place = F.row_number().over(inside) - 1 + F.col("__before")
-    page = ranged.join(touched, "__range").withColumn("__place", place)
-    page = page.filter(F.col("__place").between(offset, offset + limit - 1)).orderBy("__place")
-    return page.select(*registry.columns, "total")
+    before, bounds, empty_keys, total = 0, [], False, 0
+    for row in sizes.orderBy("r").collect():
+        if before < offset + limit and before + row["n"] > offset:
+            bounds.append((row["low"], row["high"]))
+            empty_keys = empty_keys or row["nulls"] > 0
+            skipped = before if len(bounds) == 1 else skipped
+        before += row["n"]
+        total = before
+    if not bounds:
+        return registry.limit(0).withColumn("total", F.lit(total).cast("long"))
+    lows = [low for low, _ in bounds if low is not None]
+    highs = [high for _, high in bounds if high is not None]
+    inside = F.col(key).isNull() if empty_keys else F.lit(False)
+    if lows:
+        inside = inside | F.col(key).between(F.lit(min(lows)), F.lit(max(highs)))
+    page = registry.where(inside).orderBy(*order).offset(offset - skipped).limit(limit)
+    return page.withColumn("total", F.lit(total).cast("long"))
+
+
+# Rows of one range of a stored listing.
+RANGE_ROWS = 100_000
+
+
+def write_listing(registry: DataFrame, path: str, key: str = "id", range_rows: int = RANGE_ROWS) -> None:
+    """Store a table in ``key`` order with an index of its ranges, for paging.
+
+    ``path/rows`` has a folder per range, ``path/index`` its first row's place
+    and its size. Equal keys are ordered by a hash of their row, so a key of any
+    size is spread over ranges; only rows that are equal stay together.
+    """
+    ranges = max(1, -(-registry.count() // range_rows))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in registry.columns])
+    held = registry.withColumn("__tie", tie).repartitionByRange(ranges, key, "__tie")
+    held = held.withColumn("__range", F.spark_partition_id()).sortWithinPartitions(key, "__tie")
+    if registry.isEmpty():
+        # A folder without files has no columns.
+        held.drop("__range").write.parquet(f"{path}/rows/__range=0")
+    else:
+        held.write.partitionBy("__range").parquet(f"{path}/rows")
+    stored = registry.sparkSession.read.parquet(f"{path}/rows")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy("__range").agg(F.count("*").alias("n"))
+    sizes.select("__range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).write.parquet(f"{path}/index")
+
+
+def read_page(spark: SparkSession, path: str, limit: int, offset: int = 0, key: str = "id") -> DataFrame:
+    """One page of a stored listing with the total row count: reads the ranges it lies in, shuffles nothing."""
+    index = spark.read.parquet(f"{path}/index")
+    total = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    touched = index.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).orderBy("__range").collect()
+    rows = spark.read.parquet(f"{path}/rows")
+    inside = rows.where(F.col("__range").isin([r["__range"] for r in touched]))
+    skipped = offset - touched[0]["before"] if touched else 0
+    page = inside.orderBy(key, "__tie").offset(skipped).limit(limit)
+    return page.drop("__tie", "__range").withColumn("total", F.lit(total).cast("long"))
 
 
 def page_by_number(registry: DataFrame, page: int, size: int, key: str = "id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlake.functions import text as tx
-from embedlake.operators import registry as rg
+from embedlake.operators import registry as rg, snapshots
 from embedlake.plans.catalog import query
 from embedlake.plans.tables import Tables, datasets, models, now, task_tables
 from embedlake.session import work_dir
@@ -391,3 +391,45 @@ def paged_far_strings(t: Tables) -> DataFrame:
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("id"), "o_totalprice"
     )
     return rg.page_by_offset(listing, 70, listing.count() - 100)
+
+
+_PAGES_SQL = """SELECT '{page}' AS page, 'order ' || o_orderkey AS id, o_totalprice, (SELECT count(*) FROM orders) AS total
+FROM (SELECT * FROM orders ORDER BY 'order ' || o_orderkey LIMIT 40 OFFSET {offset})"""
+
+
+@query(
+    _PAGES_SQL.format(page="near", offset=20)
+    + " UNION ALL "
+    + _PAGES_SQL.format(page="far", offset="(SELECT count(*) * 2 // 3 FROM orders)")
+)
+def stored_pages(t: Tables) -> DataFrame:
+    """A near and a far page of a stored listing with text ids."""
+    path = work_dir(t.spark, "listing")
+    listing = t.orders.select(
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("id"), "o_totalprice"
+    )
+    rg.write_listing(listing, path, range_rows=2_000)
+    pages = {"near": 20, "far": listing.count() * 2 // 3}
+    found = [rg.read_page(t.spark, path, 40, offset).select(F.lit(name).alias("page"), "*") for name, offset in pages.items()]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN p_size + 1 ELSE p_size END AS version,
+  CASE WHEN p_partkey % 6 = 0 THEN 'new ' || p_name ELSE p_name || '_' || p_partkey END AS name
+FROM part WHERE p_partkey % 5 <> 0"""
+)
+def stored_updates(t: Tables) -> DataFrame:
+    """A stored table after updates, half of them stale, and deletes."""
+    path = work_dir(t.spark, "snapshot")
+    snapshots.create(datasets(t).select("id", "version", "name"), path)
+    every_third = t.part.where("p_partkey % 3 = 0")
+    updates = every_third.select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") - 1).alias("expected_version"),
+        F.concat(F.lit("new "), "p_name").alias("name"),
+        F.col("p_partkey").alias("seq"),
+    )
+    snapshots.update(t.spark, path, updates, ["name"], chained=False)
+    snapshots.delete(t.spark, path, t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id")))
+    return snapshots.read(t.spark, path)

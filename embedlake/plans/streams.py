@@ -10,8 +10,8 @@ from embedlake.plans.catalog import query
 from embedlake.plans.monitoring import REQUESTS_SQL
 from embedlake.plans.tables import Tables, requests, task_log
 from embedlake.plans.tasks import LOG_SQL, _state_sql
-from embedlake.streaming import jobs
-from embedlake.streaming.changelog import read_stream, replay, replay_appends
+from embedlake.streaming import jobs, state
+from embedlake.streaming.changelog import read_stream, replay, replay_appends, replay_closed
 
 
 class StreamedTables(Tables):
@@ -76,3 +76,53 @@ FROM requests GROUP BY method, path"""
 def stream_in_flight(t: Tables) -> DataFrame:
     at = F.expr("timestamp_ntz'2024-01-15 00:00:00'")
     return replay(jobs.in_flight_at(requests(streamed(t)), at), ["method", "path"], "in-flight")
+
+
+# Stored files come in any order, so no row of them may count as late.
+WHOLE_SPAN = "366 days"
+MILLENNIA = 2_000 * 366 * 86_400_000
+
+
+def _closing(rows: DataFrame, **values) -> DataFrame:
+    """One row of the same columns, far behind all others."""
+    names = {c: F.lit(values.get(c)).cast(kind) for c, kind in rows.dtypes}
+    late = F.lit("2200-01-01 00:00:00").cast(dict(rows.dtypes)["ts"])
+    return rows.sparkSession.range(1).select(*[(late if c == "ts" else v).alias(c) for c, v in names.items()])
+
+
+@query(
+    f"""WITH {REQUESTS_SQL}, steps AS (
+  SELECT method, path, ts AS instant, 1 AS change FROM requests
+  UNION ALL SELECT method, path, ts + to_microseconds(round(duration_s * 1000000)::BIGINT), -1 FROM requests),
+summed AS (SELECT method, path, instant, sum(change) AS change FROM steps GROUP BY ALL)
+SELECT method, path, instant, (sum(change) OVER (PARTITION BY method, path ORDER BY instant))::BIGINT AS in_flight
+FROM summed"""
+)
+def stream_gauge(t: Tables) -> DataFrame:
+    """The running gauge; every seventh request comes a second time."""
+    rows = requests(t).select("event_id", "method", "path", "ts", "duration_s")
+    sent = rows.unionByName(rows.filter("event_id % 7 = 0"))
+    build = lambda stream: state.running_gauge(stream, lateness=WHOLE_SPAN)
+    closing = _closing(rows, event_id=-1, method="end", path="end", duration_s=0)
+    found = replay_closed(sent, closing, build, ["method", "path", "instant"], "gauge", "append")
+    return found.withColumn("instant", F.col("instant").cast("timestamp_ntz"))
+
+
+@query(
+    f"""WITH {LOG_SQL}, placed AS (
+  SELECT *, coalesce(sum((task_status IN ('D', 'F'))::INT) OVER (
+    PARTITION BY id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM log)
+SELECT id, arg_max(task_status, (ts, event_id)) FILTER (ended = 0) AS task_status,
+  max(ts) FILTER (ended = 0 AND task_status IN ('D', 'F')) AS end_date,
+  arg_max(error_msg, (ts, event_id)) FILTER (ended = 0 AND error_msg IS NOT NULL) AS error_msg,
+  arg_max(progress, (ts, event_id)) FILTER (ended = 0 AND progress IS NOT NULL) AS progress,
+  count(*) FILTER (ended > 0) AS refused
+FROM placed GROUP BY id"""
+)
+def stream_task_life(t: Tables) -> DataFrame:
+    """Tasks that end once; the events of a file are in no order."""
+    log = task_log(t).orderBy(F.xxhash64("event_id"))
+    closing = _closing(task_log(t), id=-1, event_id=-1, task_status="Q")
+    build = lambda stream: state.task_life(stream, lateness=WHOLE_SPAN, retention_ms=MILLENNIA)
+    found = replay_closed(log, closing, build, ["id"], "task-life").filter("id <> -1")
+    return found.withColumn("end_date", F.col("end_date").cast("timestamp_ntz"))

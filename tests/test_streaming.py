@@ -4,8 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from embedlake.operators import monitoring as mo
 from embedlake.operators import tasks as tk
-from embedlake.streaming import jobs
+from embedlake.streaming import jobs, state
 from embedlake.streaming.changelog import current_rows, read_stream, start_changelog
 
 START = dt.datetime(2024, 1, 1)
@@ -82,3 +83,53 @@ def test_log_lines(spark):
     assert [r.message for r in got] == ["hi", "no time", "not json"]
     assert [r.ts for r in got] == [START + dt.timedelta(seconds=1.5), START, START]
     assert {r.source for r in got} == {"fastapi"}
+
+
+def progress(spark, folder, out, mark, build, mode):
+    query = start_changelog(build(read_stream(spark, f"{folder}/*", 1)), out, mark, mode)
+    query.awaitTermination()
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_gauge_runs_behind_the_watermark(spark, tmp_path):
+    folder, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    schema = "event_id long, method string, path string, ts timestamp, duration_s double"
+    rows = [(i, "GET", f"/{i % 2}", minute(m), s) for i, (m, s) in enumerate([(0, 90.5), (3, 30.0), (1, 600.0), (2, 60.0), (5, 0.0), (4, 60.25)])]
+    later = [(10 + i, "GET", "/0", minute(m), 30.0) for i, m in enumerate([25, 22, 24])]
+    build = lambda df: state.running_gauge(df, lateness="10 minutes")
+    write(spark, folder, "1", [*rows[:4], rows[0], rows[2]], schema)
+    progress(spark, folder, out, mark, build, "append")
+    write(spark, folder, "2", [*rows[4:], rows[1], *later], schema)
+    progress(spark, folder, out, mark, build, "append")
+    # A row later than the watermark (minute 15) is not counted, a retry within the lateness neither.
+    write(spark, folder, "3", [(99, "GET", "/0", minute(1), 1.0), later[0], (100, "GET", "/1", minute(90), 0.0)], schema)
+    progress(spark, folder, out, mark, build, "append")
+    write(spark, folder, "4", [(101, "GET", "/1", minute(200), 0.0)], schema)
+    open_rows = progress(spark, folder, out, mark, build, "append")
+    got = spark.read.parquet(out).select("method", "path", "instant", "in_flight")
+    requests = spark.createDataFrame([*rows, *later, (100, "GET", "/1", minute(90), 0.0)], schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mo.in_flight(requests).collect()))
+    # What is left: the last request's id and instant, and their timer.
+    assert open_rows <= 4
+
+
+def test_tasks_end_once_and_leave_no_state(spark, tmp_path):
+    folder, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    schema = "id int, ts timestamp, event_id int, task_status string, error_msg string, progress double"
+    build = lambda df: state.task_life(df, "10 minutes", retention_ms=3_600_000)
+    first = [(1, minute(5), 3, "D", None, None), (1, minute(0), 0, "Q", None, None), (2, minute(1), 1, "Q", "x", 0.5), (1, minute(2), 2, "R", None, 0.1)]
+    write(spark, folder, "1", first, schema)
+    progress(spark, folder, out, mark, build, "update")
+    write(spark, folder, "2", [(1, minute(20), 4, "R", "late move", 0.9), (2, minute(21), 5, "F", None, None)], schema)
+    progress(spark, folder, out, mark, build, "update")
+    write(spark, folder, "3", [(3, minute(60), 6, "Q", None, None), (1, minute(3), 7, "F", "too late", None)], schema)
+    progress(spark, folder, out, mark, build, "update")
+    write(spark, folder, "4", [(3, minute(300), 8, "D", None, None)], schema)
+    write(spark, folder, "5", [(3, minute(900), 9, "R", None, None)], schema)
+    left = progress(spark, folder, out, mark, build, "update")
+    got = {r.id: (r.task_status, r.end_date, r.error_msg, r.progress, r.refused) for r in current_rows(spark, out, ["id"]).collect()}
+    assert got[1] == ("D", minute(5), None, 0.1, 1)
+    assert got[2] == ("F", minute(21), "x", 0.5, 0)
+    assert got[3][:2] == ("D", minute(300))
+    # Tasks 1 and 2 are gone; task 3 waits with its last event and a timer.
+    assert left <= 4
