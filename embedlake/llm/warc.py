@@ -31,6 +31,8 @@ HTTP = "application/http;msgtype=response"
 LEAST_BYTES = 100
 # An archive ends after so many bytes of payload or so many records.
 FILE_BYTES, FILE_RECORDS = 64 << 20, 50_000
+# Raw archives are read once and written anew.
+RAW_LEVEL = 1
 CHUNK = 1 << 20
 OWN_IDS = uuid.UUID("6f1c1d2e-3a55-4c57-9a5b-7f1f6a0f5c11")
 
@@ -140,16 +142,16 @@ def _split(fields: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
 class Writer:
     """Writes one archive of gzip members."""
 
-    def __init__(self, path: str, date: str):
+    def __init__(self, path: str, date: str, level: int = 6):
         system, name = _open(path)
         system.create_dir(name.rpartition("/")[0], recursive=True)
-        self.path, self.date, self.n, self.bytes = path, date, 0, 0
+        self.path, self.date, self.level, self.n, self.bytes = path, date, level, 0, 0
         self.sink = system.open_output_stream(name, compression=None)
         info = b"software: embedlake\r\nformat: WARC File Format 1.1\r\n"
         self._put(_record("warcinfo", str(uuid.uuid4()), date, info, {"Content-Type": "application/warc-fields"}))
 
     def _put(self, record: bytes) -> None:
-        self.sink.write(gzip.compress(record, 6, mtime=0))
+        self.sink.write(gzip.compress(record, self.level, mtime=0))
 
     def add(self, record: bytes) -> int:
         """The record's place among those added."""
@@ -177,7 +179,9 @@ def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write(
+    pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", level: int = 6
+) -> DataFrame:
     """Archives of one response record per row below `folder`, and their index.
 
     The index has the columns of INDEX, one row per record, and is kept in
@@ -198,7 +202,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                     key, at, text = (batch.column(i)[n].as_py() for i in range(3))
                     payload = (text or "").encode()
                     if out is None:
-                        out = Writer(f"{folder}/raw-{part:06d}-{attempt}-{number:04d}.warc.gz", date)
+                        out = Writer(f"{folder}/raw-{part:06d}-{attempt}-{number:04d}.warc.gz", date, level)
                     row = {
                         "path": out.path, "record_type": "response", "record_id": str(uuid.uuid4()), "date": date,
                         "url": at, "page_id": key, "payload_digest": hashlib.sha256(payload).hexdigest(),
@@ -425,6 +429,6 @@ def archived_pages(pages: DataFrame, folder: str | None = None, least: int = LEA
     `folder/raw`, deduplicated ones in `folder/deduplicated`.
     """
     folder = folder or work_dir(pages.sparkSession, "warc")
-    index = write(pages, f"{folder}/raw")
+    index = write(pages, f"{folder}/raw", level=RAW_LEVEL)
     files = rewrite(index.select("path").distinct(), resolve(index, least), f"{folder}/deduplicated")
     return referred(scan(files))
