@@ -8,20 +8,28 @@ are encoded whole, so the ids are always those of the library.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
+import string
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Pieces held per worker before the memory starts anew (about 110 MB).
-PIECES = 500_000
+# Pieces held per worker before the memory starts anew (about 220 MB).
+PIECES = 1_000_000
 LONGEST_PIECE = 64
-MARKS = ".,;:!?"
+# A longer text is encoded by itself, so that the arrays of a slice stay small.
+LONGEST_TEXT = 16 << 20
+# Signs behind a letter or digit begin a pre-token of their own.
+MARKS = string.punctuation
 # Letters before this one are composed, and lower-case the same everywhere.
 LATIN_END = "\u0250"
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -62,7 +70,7 @@ class _Pieces(dict):
             first, *rest = piece.split("\n")
             ids = self[first] + b"".join(self.inner["\n"] + self.inner[x] for x in rest)
             return ids
-        elif piece.isalpha() and (piece.isascii() or max(piece) < LATIN_END) and (self.lead or piece.islower()):
+        elif self.is_word(piece):
             found = self.library.model.tokenize(_byte_chars(self.lead + piece))
             ids = _packed([t.id for t in found])
         else:
@@ -72,6 +80,11 @@ class _Pieces(dict):
         return ids
 
 
+    def is_word(self, piece: str) -> bool:
+        """Letters that are one pre-token whatever stands around them."""
+        return piece.isalpha() and (piece.isascii() or max(piece) < LATIN_END) and (bool(self.lead) or piece.islower())
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
@@ -92,6 +105,8 @@ _HIDDEN = _byte_table()
 
 
 def _byte_chars(text: str) -> str:
+    if text.isascii() and text.isalpha():
+        return text
     return text.encode().decode("latin-1").translate(_HIDDEN)
 
 
@@ -109,6 +124,87 @@ class Encoder:
         if self.kind == "dropped":
             self.known = _Pieces(self.library, "", pieces)
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as `encode` gives them.
+
+        All texts are cut at once, each different piece is looked up once, and
+        the ids are put together as arrays. Texts that `encode` gives to the
+        library as a whole, and very long ones, go there one by one.
+        """
+        out: list[bytes | None] = [None] * len(texts)
+        together = [i for i, t in enumerate(texts) if t and self._cuts(t)]
+        if together:
+            held = [self._lowered(texts[i]) if self.kind == "dropped" else texts[i] for i in together]
+            lists = pc.split_pattern(pa.array(held, pa.large_string()), " ")
+            pieces = lists.flatten().dictionary_encode()
+            offsets, codes = lists.offsets.to_numpy().astype("i8"), pieces.indices.to_numpy().astype("i8")
+            offsets -= offsets[0]
+            different = pieces.dictionary.to_pylist()
+            self.learn(different)
+            found = [self.known[p] for p in different]
+            if self.kind == "leading":
+                # The first piece has no blank before it; an empty one is a blank at the begin.
+                codes[offsets[:-1]] = np.arange(len(held)) + len(found)
+                found += [self.bare[first] if first else b"" for first in (t.partition(" ")[0] for t in held)]
+            pool = np.frombuffer(b"".join(found), "<u4")
+            sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
+            begins = np.cumsum(sizes) - sizes
+            lengths = sizes[codes]
+            ends = np.cumsum(lengths)
+            ids = pool[np.repeat(begins[codes] - ends + lengths, lengths) + np.arange(int(ends[-1]))].tobytes()
+            edges = (4 * np.append(0, ends)[offsets]).tolist()
+            for i, a, b in zip(together, edges, edges[1:]):
+                out[i] = ids[a:b]
+        for i, text in enumerate(texts):
+            yield self.encode(text) if out[i] is None else out[i]
+
+    def _cuts(self, text: str) -> bool:
+        """Whether the ids of a text are the ids of its pieces between blanks."""
+        if self.kind == "whole" or len(text) > LONGEST_TEXT or any(s in text for s in self.special):
+            return False
+        return self.kind == "dropped" or "  " not in text
+
+    @staticmethod
+    def _lowered(text: str) -> str:
+        # The tokenizer lowers letter by letter; Python's final sigma differs.
+        return (text if "\u03a3" in text else text.lower()).replace("\n", " ")
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode the new words among pieces in one call, so that each of them is known.
+
+        Words are one pre-token each, so blanks keep them apart; where a blank
+        goes to the word behind it the first token of a word shows it, and where
+        blanks are dropped the last one does.
+        """
+        if self.kind not in ("leading", "dropped"):
+            return
+        known = self.known
+        new = {p.rstrip(MARKS) for p in pieces if p not in known}
+        words = [w for w in new if w not in known and len(w) <= LONGEST_PIECE and known.is_word(w)]
+        if len(known) + len(words) > known.limit:
+            known.clear()
+        # A memory smaller than the words of one slice takes what fits.
+        words = words[: known.limit]
+        if not words:
+            return
+        joined = known.lead + " ".join(words)
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(self._edges[ids]) + (not known.lead)
+        edges = np.append(edges, len(ids)) if known.lead else np.concatenate([[0], edges])
+        if len(edges) != len(words) + 1:
+            return
+        raw, places = ids.tobytes(), (4 * edges).tolist()
+        known.update(zip(words, [raw[a:b] for a, b in zip(places, places[1:])]))
+
+    @functools.cached_property
+    def _edges(self) -> np.ndarray:
+        """Which tokens begin a word with its blank, or end one."""
+        mark = _byte_chars(" ") if self.known.lead else self.library.model.end_of_word_suffix
+        shows = str.startswith if self.known.lead else str.endswith
+        out = np.zeros(self.library.get_vocab_size(), bool)
+        out[[i for t, i in self.library.get_vocab().items() if mark and shows(t, mark)]] = True
+        return out
+
     @property
     def id_bytes(self) -> int:
         return 2 if self.library.get_vocab_size() <= 1 << 16 else 4
@@ -117,9 +213,7 @@ class Encoder:
         if self.kind == "whole" or any(s in text for s in self.special):
             return _library(self.library, text)
         if self.kind == "dropped":
-            # The tokenizer lowers letter by letter; Python's final sigma differs.
-            lowered = text if "\u03a3" in text else text.lower()
-            return b"".join(map(self.known.__getitem__, lowered.replace("\n", " ").split(" ")))
+            return b"".join(map(self.known.__getitem__, self._lowered(text).split(" ")))
         if "  " in text:
             return _library(self.library, text)
         first, blank, rest = text.partition(" ")

@@ -182,9 +182,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
         path, out = f"{folder}/part-{part:06d}-{attempt}.zst", None
         try:
             for piece in batches.slices(parts):
-                for key, words in zip(piece.column("doc_id").to_pylist(), batches.texts(piece)):
+                for key, ids in zip(piece.column("doc_id").to_pylist(), encode.encode_all(batches.texts(piece))):
                     out = out or Writer(path, encode.id_bytes)
-                    out.add(key, np.frombuffer(encode.encode(words) + END_ID.to_bytes(4, "little"), "<u4"))
+                    out.add(key, np.frombuffer(ids + END_ID.to_bytes(4, "little"), "<u4"))
         finally:
             if out:
                 out.close()

@@ -23,9 +23,9 @@ def length_counts(docs: DataFrame, tokenizer: str, text: str = "text", end: bool
     """
 
     def count(parts):
-        encode = encoding.encoder(tokenizer).encode
+        encode = encoding.encoder(tokenizer)
         for part in batches.slices(parts):
-            seen = Counter(len(encode(t)) // 4 + end for t in batches.texts(part))
+            seen = Counter(len(ids) // 4 + end for ids in encode.encode_all(batches.texts(part)))
             yield pa.RecordBatch.from_pydict(
                 {"n_tokens": pa.array(seen.keys(), "int64"), "n_docs": pa.array(seen.values(), "int64")}
             )

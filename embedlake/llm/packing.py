@@ -161,13 +161,13 @@ def pieces(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
     """`doc_id, start, length, ids_crc32, doc_tokens` of full windows and remainders."""
 
     def run(parts):
-        encode = encoding.encoder(tokenizer).encode
+        encode = encoding.encoder(tokenizer)
         end, step = END_ID.to_bytes(4, "little"), 4 * window
         for part in batches.slices(parts):
             keys = part.column("doc_id").to_pylist()
             rows = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
-            for key, words in zip(keys, batches.texts(part)):
-                ids = memoryview(encode(words) + end)
+            for key, found in zip(keys, encode.encode_all(batches.texts(part))):
+                ids = memoryview(found + end)
                 for at in range(0, len(ids), step):
                     own = ids[at : at + step]
                     for name, value in zip(rows, (key, at // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4)):

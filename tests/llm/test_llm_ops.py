@@ -89,8 +89,19 @@ def test_ids_are_those_of_the_library(path):
     texts = ["".join(draw.choices(" \n\t.,'sab5ÉΣ%\u0301\x0b", k=draw.randint(0, 16))) for _ in range(4000)]
     texts += ["it's. don't.\nI'll go.", "ΟΔΟΣ. x", "<|endoftext|> x", "a  b   c", *[t or "" for _, t in ODD]]
     plain, ours = Tokenizer.from_file(path), encoding.Encoder(path, pieces=50)
-    for text, found in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
+    expected = plain.encode_batch(texts, add_special_tokens=False)
+    for text, found in zip(texts, expected):
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == found.ids, repr(text)
+    texts += [t for _, t in corpus(30)] + ["Ærø straße ñandú ªº µ, Don't STOP. naïve", "ünder über ΑΒΓ", "", " ", " a", "a ", "x%%% y&&&_1 z'll's"]
+    expected = plain.encode_batch(texts, add_special_tokens=False)
+    for pieces in (40, 500_000):
+        learned = encoding.Encoder(path, pieces)
+        for at in range(0, len(texts), 700):
+            for text, ids, found in zip(texts[at:], learned.encode_all(texts[at : at + 700]), expected[at:]):
+                assert np.frombuffer(ids, "<u4").tolist() == found.ids, repr(text)
+    words = [w for _, t in corpus(30) for w in t.split(" ") if learned.known.is_word(w)]
+    assert all(w in learned.known for w in words)
+    assert list(learned.encode_all([])) == [] and list(learned.encode_all([""])) == [b""]
 
 
 def lengths(rows):
