@@ -1,4 +1,4 @@
-"""Template rows generated from media files and from existing datasets."""
+"""Requests for synthesis, the media files they may bring, and what became of uploads."""
 
 from __future__ import annotations
 
@@ -10,59 +10,8 @@ from embedlake.functions.text import (
     MEDIA_EXTENSIONS,
     base_name,
     extension,
-    stem,
 )
 
-# Template rows (question, positive, negative). {n} is a page
-# number, {stem} a file's stem and {rows} a dataset's row count.
-PAGE_TEMPLATE = (
-    "What is discussed on page {n}?",
-    "Content extracted from page {n} of the PDF document.",
-    "Unrelated information about page {n}.",
-)
-PAGES = 3
-IMAGE_TEMPLATES = [
-    (
-        "What does this image show?",
-        "Text extracted from image using OCR technology.",
-        "Random sentence unrelated to the image content.",
-    ),
-    (
-        "Is there any text visible in this image?",
-        "Yes, the extracted text is displayed in this dataset.",
-        "This is an unrelated sentence about something else.",
-    ),
-    (
-        "What can you tell me about {stem}?",
-        "This image file named {stem} contains readable text.",
-        "Random information not related to the image analysis.",
-    ),
-]
-DATASET_TEMPLATES = [
-    (
-        "What patterns can be found in the source dataset?",
-        "The dataset contains {rows} examples with structured question-answer pairs.",
-        "Random unrelated content that doesn't match the dataset structure.",
-    ),
-    (
-        "How can we expand this dataset synthetically?",
-        "By analyzing existing patterns and generating similar structured examples.",
-        "By copying random text from unrelated sources without any structure.",
-    ),
-    (
-        "What makes this synthetic extension valuable?",
-        "It maintains the original dataset's format while adding new training examples.",
-        "Synthetic data is always inferior and should never be used for training.",
-    ),
-    (
-        "Why use the source dataset as a foundation?",
-        "It ensures consistency with the original {rows} examples and their structure.",
-        "Starting from scratch would be more efficient than using existing data.",
-    ),
-]
-UNREADABLE_ROWS = 3
-
-
 def request_error(n_files: Column, dataset_id: Column) -> Column:
     """A synthesis request needs files or an existing dataset."""
     return F.when(
@@ -70,25 +19,6 @@ def request_error(n_files: Column, dataset_id: Column) -> Column:
     )
 
 
-def _rows(templates, fields: dict[str, Column], names) -> Column:
-    def fill(text: str) -> Column:
-        out = F.lit(text)
-        for field, value in fields.items():
-            if "{" + field + "}" in text:
-                out = F.replace(out, F.lit("{" + field + "}"), value.cast("string"))
-        return out
-
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i + 1).alias("row_no"),
-                *[fill(text).alias(name) for text, name in zip(template, names)],
-            )
-            for i, template in enumerate(templates)
-        ]
-    )
-
-
 def media_error(path: Column, length: Column, max_bytes: int = MAX_UPLOAD_BYTES) -> Column:
     """Why a media file is refused, null when it is accepted."""
     return F.when(
@@ -96,32 +26,6 @@ def media_error(path: Column, length: Column, max_bytes: int = MAX_UPLOAD_BYTES)
     ).when(length > max_bytes, F.lit("file_too_large"))
 
 
-def from_media(
-    files: DataFrame,
-    keep=("path",),
-    names=("question", "positive", "negative"),
-) -> DataFrame:
-    """Three template rows per accepted file of ``path, length``."""
-    name = base_name(F.col("path"))
-    pages = [tuple(t.replace("{n}", str(n)) for t in PAGE_TEMPLATE) for n in range(1, PAGES + 1)]
-    rows = F.when(extension(name) == "pdf", _rows(pages, {}, names)).otherwise(
-        _rows(IMAGE_TEMPLATES, {"stem": stem(name)}, names)
-    )
-    accepted = files.filter(media_error(F.col("path"), F.col("length")).isNull())
-    return accepted.select(*keep, F.inline(rows))
-
-
-def from_datasets(
-    counts: DataFrame,
-    keep=("dataset",),
-    rows: str = "num_rows",
-    names=("question", "positive", "negative"),
-) -> DataFrame:
-    """Four template rows per dataset of a row-count table."""
-    count = F.coalesce(F.col(rows), F.lit(UNREADABLE_ROWS))
-    return counts.select(*keep, F.inline(_rows(DATASET_TEMPLATES, {"rows": count}, names)))
-
-
 def ingest_outcome(
     files: DataFrame,
     by: str,

@@ -78,11 +78,6 @@ def text_triplets(t: Tables) -> DataFrame:
     )
 
 
-def complete_triplets(t: Tables) -> DataFrame:
-    """Text triplets of conversations that have a successor with that turn."""
-    return text_triplets(t).filter(F.col("negative").isNotNull())
-
-
 def datasets(t: Tables) -> DataFrame:
     """Dataset registry."""
     source = F.element_at(F.array(*map(F.lit, "HLS")), (F.col("p_partkey") % 3 + 1).cast("int"))

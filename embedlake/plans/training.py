@@ -9,7 +9,7 @@ from embedlake.operators import training as tr
 from embedlake.operators.canonical import require_valid, training_errors, validation_report
 from embedlake.operators.ranking import radix_levels
 from embedlake.plans.catalog import query
-from embedlake.plans.tables import Tables, complete_triplets, text_triplets
+from embedlake.plans.tables import Tables, text_triplets
 
 TEXT_TRIPLETS_SQL = """
 text_triplets AS (
@@ -137,13 +137,12 @@ def training_throughput(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {TEXT_TRIPLETS_SQL}
-SELECT conv_id, turn, question, positive, negative FROM text_triplets WHERE negative IS NOT NULL"""
+SELECT conv_id, turn, question, positive, coalesce(negative, question) AS negative FROM text_triplets"""
 )
 def evaluation_triplets(t: Tables) -> DataFrame:
-    """Whole valid triplets; an invalid row would fail the job."""
-    return require_valid(complete_triplets(t)).select(
-        "conv_id", "turn", "question", "positive", "negative"
-    )
+    """Triplets whose question stands in for a missing negative; an invalid row would fail the job."""
+    whole = text_triplets(t).withColumn("negative", F.coalesce("negative", "question"))
+    return require_valid(whole).select("conv_id", "turn", "question", "positive", "negative")
 
 
 @query(

@@ -306,8 +306,9 @@ def scan_subsets(spark: SparkSession, root: str, tag: str) -> DataFrame:
     """All subsets and splits of a dataset laid out as ``subset=/split=`` folders.
 
     Every subset and split goes by the first allowed schema that its own keys
-    cover; rows keep the registry and file name of their part. A part that no
-    schema fits, and a line that is no object, fails the job.
+    cover; rows keep the registry and file name of their part. A row that lacks
+    one of its schema's keys is skipped, one whose value is null is kept. A part
+    that no schema fits, and a line that is no object, fails the job.
     """
     lines = spark.read.text(root)
     split = F.col("split") if "split" in lines.columns else F.lit(None).cast("string")
@@ -323,7 +324,8 @@ def scan_subsets(spark: SparkSession, root: str, tag: str) -> DataFrame:
     lost = F.raise_error(F.concat(F.lit("no allowed schema fits "), F.to_json("columns"))).cast("string")
     matched = match_schema(keys.agg(F.collect_set("key").alias("columns")), "columns")
     matched = matched.withColumn("question_column", F.coalesce("question_column", lost))
-    joined = rows.join(matched, "part")
+    needed = F.array_compact(F.array(*[f"{r}_column" for r in ROLES]))
+    joined = rows.join(matched, "part").where(F.size(F.array_except(needed, F.map_keys("cells"))) == 0)
     names = tx.dataset_names(F.lit(tag), F.col("part.split"), F.col("part.subset"))
     values = {r: F.try_element_at("cells", F.col(f"{r}_column")).alias(r) for r in ROLES}
     return joined.select(*[c.alias(n) for n, c in names.items()], *values.values(), "classification")

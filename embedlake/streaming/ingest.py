@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from embedlake.sources.files import ingest
+from embedlake.sources.files import ingest, list_files
 from embedlake.sources.jsonl import canonical_lines
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -38,6 +38,19 @@ def store(spark: SparkSession, files: DataFrame, out: str, batch_id: int, **opti
     result.rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
 
 
+def with_empty_files(spark: SparkSession, files: DataFrame, folder: str, out: str, batch_id: int) -> DataFrame:
+    """The files of a batch and the empty ones of the folder that no earlier batch has refused.
+
+    The file stream never shows empty files, so they are listed whenever a batch
+    runs; a repeated batch finds the same ones.
+    """
+    empty = list_files(spark, folder).where("length = 0").select("path", "length")
+    if batch_id:
+        told = spark.read.parquet(f"{out}/rejects").where(F.col("batch") < batch_id)
+        empty = empty.join(told.select(F.col("source_file").alias("path")), "path", "left_anti")
+    return files.select("path", "length").unionByName(empty)
+
+
 def watch_folder(
     spark: SparkSession,
     folder: str,
@@ -47,7 +60,15 @@ def watch_folder(
     mapping: Mapping[str, str | None] | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Ingest files as they arrive, at most ``max_files`` per batch."""
+    """Ingest files as they arrive, at most ``max_files`` per batch.
+
+    Empty files get their verdict with the next batch of other files.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        store(session, with_empty_files(session, batch, folder, out, number), out, number, mapping=mapping)
+
     arriving = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
@@ -59,6 +80,6 @@ def watch_folder(
     return (
         arriving.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(lambda batch, i: store(batch.sparkSession, batch, out, i, mapping=mapping))
+        .foreachBatch(run)
         .start()
     )

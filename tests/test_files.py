@@ -325,7 +325,8 @@ def test_subset_and_split_scan(spark, tmp_path):
         for split in ["train", "test"]:
             part = tmp_path / f"subset={subset}" / f"split={split}"
             part.mkdir(parents=True)
-            (part / "x.json").write_text(json.dumps({"instruction": "i", "output": split, "n": 1}) + "\n")
+            lines = [{"instruction": "i", "output": split, "n": 1}, {"instruction": "lacks the output"}]
+            (part / "x.json").write_text("".join(json.dumps(x) + "\n" for x in lines))
     df = scan_subsets(spark, str(tmp_path), "org/set")
     got = {(r.dataset_name, r.file_name, r.positive, r.classification) for r in df.collect()}
     assert got == {
@@ -342,16 +343,20 @@ def test_folder_stream(spark, tmp_path):
     for i in range(3):
         (inbox / f"f{i}.csv").write_text(csv_text(["prompt", "chosen"], [("a", str(i))]))
     (inbox / "bad.csv").write_text("x,y\n1,2\n")
+    (inbox / "empty.csv").write_text("")
     run = lambda: watch_folder(spark, str(inbox), str(out), str(mark), max_files=2).awaitTermination()
     run()
     (inbox / "later.jsonl").write_text('{"q": "a", "answer": "later"}\n')
+    (inbox / "none.json").write_text("")
     run()
     lines = spark.read.text(f"{out}/datasets")
     stored = lines.select(F.from_json("value", "positive string").alias("r")).select("r.*")
     assert {r.positive for r in stored.collect()} == {"0", "1", "2", "later"}
     registry = spark.read.parquet(f"{out}/registry")
     assert registry.count() == 4 and {r.rows for r in registry.collect()} == {1}
-    assert spark.read.parquet(f"{out}/rejects").count() == 1
+    refused = {(r.source_file.rsplit("/", 1)[-1], r.reason) for r in spark.read.parquet(f"{out}/rejects").collect()}
+    assert refused == {("bad.csv", "missing_column"), ("empty.csv", "empty_file"), ("none.json", "empty_file")}
+    assert spark.read.parquet(f"{out}/rejects").count() == 3
 
 
 def test_wide_rows_charsets_and_lost_files(spark, tmp_path):

@@ -322,16 +322,6 @@ def test_throughput(spark):
     assert (b.train_samples_per_second, b.train_steps_per_second) == (0.0, 0.0)
 
 
-def test_synthesis(spark):
-    files = spark.createDataFrame([("a/x.pdf", 1), ("b.PNG", 1), ("c.gif", 1), ("d.jpg", 2**40)], "path string, length long")
-    got = sy.from_media(files, names=("q", "p", "n"))
-    assert got.columns == ["path", "row_no", "q", "p", "n"] and got.count() == 6
-    assert got.filter("q = 'What can you tell me about b?'").count() == 1
-    counts = spark.createDataFrame([("d", 7), ("e", None)], "dataset string, num_rows long")
-    texts = [r.positive for r in sy.from_datasets(counts).collect()]
-    assert sum("7 examples" in x for x in texts) == 2 and sum("3 examples" in x for x in texts) == 2
-
-
 # ---- registry -------------------------------------------------------------------
 
 
