@@ -264,6 +264,80 @@ def op12_revisits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE keyed AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             [ascii(c)::BIGINT FOR c IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS codes
+      FROM conversations
+    ), crc AS (
+      SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, codes), lambda c, b:
+               list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i:
+                 xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS kind
+      FROM keyed
+    ), damaged AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM crc, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+    ), placed AS (
+      SELECT *, coalesce(conv_id::VARCHAR, 'null') AS conv,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged
+    ), faulty AS (
+      SELECT *, left(role, 1) AS letter, rtrim(text, E' 	
+') AS shown,
+             row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 AS again,
+             lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY n) AS before FROM placed
+    ), rows_ AS (
+      SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN again THEN 'duplicate'
+                     WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM faulty
+    ), stats AS (
+      SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+             count_if(fault = 'truncated') AS truncated,
+             count_if(before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM rows_ GROUP BY conv
+    ), inserted(p, q, k) AS (
+      VALUES ('n', 'n', 0), ('n', 'u', 1), ('n', 'a', 2), ('s', 's', 0), ('s', 'u', 1), ('s', 'a', 2),
+             ('u', 'u', 0), ('u', 'a', 1), ('a', 'a', 0), ('a', 'u', 1)
+    ), moves(edit, p, takes, q, price) AS (
+      VALUES ('D', 'n', NULL, 'n', 4), ('D', 's', NULL, 's', 4), ('D', 'u', NULL, 'u', 4), ('D', 'a', NULL, 'a', 4),
+             ('R', 'n', NULL, 'u', 3), ('R', 's', NULL, 'u', 3), ('R', 'u', NULL, 'a', 3), ('R', 'a', NULL, 'u', 3),
+             ('K', 'n', 's', 's', 0), ('K', 'n', 'u', 'u', 0), ('K', 's', 'u', 'u', 0), ('K', 'u', 'a', 'a', 0), ('K', 'a', 'u', 'u', 0)
+    ), best AS (
+      SELECT conv, 0::BIGINT AS i, 'n' AS q, '000000000' AS v FROM stats
+      UNION ALL
+      SELECT b.conv, r.n, m.q,
+             min(lpad((left(b.v, 9)::BIGINT + 3 * s.k + m.price
+                       + CASE WHEN r.fault = 'truncated' AND m.edit <> 'D' THEN 3 ELSE 0 END)::VARCHAR, 9, '0')
+                 || b.v[10:] || repeat('I', s.k) || m.edit)
+      FROM best b JOIN rows_ r ON r.conv = b.conv AND r.n = b.i + 1
+      JOIN inserted s ON s.p = b.q JOIN moves m ON m.p = s.q
+      WHERE (m.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (m.takes IS NULL OR m.takes = r.letter)
+      GROUP BY b.conv, r.n, m.q
+    ), solved AS (
+      SELECT b.conv, min(lpad((left(b.v, 9)::BIGINT + 3 * s.k)::VARCHAR, 9, '0') || b.v[10:] || repeat('I', s.k)) AS v
+      FROM best b JOIN stats t ON t.conv = b.conv AND t.n = b.i JOIN inserted s ON s.p = b.q
+      WHERE s.q IN ('n', 'a') GROUP BY b.conv
+    ), edits AS (
+      SELECT conv, j, v[9 + j] AS edit FROM solved, range(1, length(v) - 8) AS t(j)
+    ), numbered AS (
+      SELECT *, count_if(edit <> 'I') OVER w AS at, count_if(edit <> 'D') OVER w AS o
+      FROM edits WINDOW w AS (PARTITION BY conv ORDER BY j)
+    ), lined AS (
+      SELECT e.conv, e.j, e.edit, e.o, r.role, CASE WHEN e.edit = 'I' THEN '' ELSE r.text END AS text,
+             bool_or(e.o = 1 AND e.edit = 'K' AND r.letter = 's') OVER (PARTITION BY e.conv) AS opened
+      FROM numbered e LEFT JOIN rows_ r ON r.conv = e.conv AND r.n = e.at AND e.edit <> 'I' WHERE e.edit <> 'D'
+    ), texts AS (
+      SELECT conv, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - opened::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                              || ':' || text, chr(10) ORDER BY j) AS repaired FROM lined GROUP BY conv
+    )
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+           coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(v, 9)::BIGINT, 0) AS cost, coalesce(v[10:], '') AS audit,
+           sha256(coalesce(repaired, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'null') AS conv FROM conversations) c
+    LEFT JOIN stats USING (conv) LEFT JOIN solved USING (conv) LEFT JOIN texts USING (conv)
+    """
+)
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repaired_conversations(table(spark, folder, "conversations"))
