@@ -68,9 +68,55 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return frames.read(listed)
 
 
-@query()
+FOLLOWING = ", ".join(f"lead(word, {j}) OVER v AS w{j}" for j in range(1, 10))
+
+
+@query(
+    rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), words AS (
+      SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+    ), chars AS (SELECT r, sum(length(word)) AS word_chars FROM words GROUP BY r),
+    following AS (
+      SELECT r, p, word, {FOLLOWING} FROM words WINDOW v AS (PARTITION BY r ORDER BY p)
+    ), windows AS (
+      SELECT r, k, i, count(*) OVER (PARTITION BY r, k, s) > 1 AS again
+      FROM (SELECT r, 5 AS k, p AS i, concat_ws(' ', word, w1, w2, w3, w4) AS s FROM following WHERE w4 IS NOT NULL
+            UNION ALL SELECT r, 7, p, concat_ws(' ', word, w1, w2, w3, w4, w5, w6) FROM following WHERE w6 IS NOT NULL
+            UNION ALL SELECT r, 10, p, concat_ws(' ', word, w1, w2, w3, w4, w5, w6, w7, w8, w9) FROM following WHERE w9 IS NOT NULL)
+    ), covered AS (
+      SELECT r, k, count(*) AS n, sum(length(word)) AS c
+      FROM (SELECT DISTINCT r, k, unnest(range(i, i + k)) AS p FROM windows WHERE again) JOIN words USING (r, p) GROUP BY r, k
+    ), grams AS (
+      SELECT r, max(n) FILTER (k = 5) AS n5, max(c) FILTER (k = 5) AS c5, max(c) FILTER (k = 7) AS c7,
+             max(c) FILTER (k = 10) AS c10 FROM covered GROUP BY r
+    ), lines AS (
+      SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY place) > 1 AS again
+      FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS place FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+    ), dups AS (
+      SELECT r, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS c FROM lines WHERE again GROUP BY r
+    ), facts AS (
+      SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(n5, 0)::BIGINT AS n_repeat_words,
+             coalesce(dups.c, 0)::DOUBLE / greatest(word_chars, 1) AS l, coalesce(c5, 0)::DOUBLE / greatest(word_chars, 1) AS s5,
+             coalesce(c7, 0)::DOUBLE / greatest(word_chars, 1) AS s7, coalesce(c10, 0)::DOUBLE / greatest(word_chars, 1) AS s10
+      FROM d LEFT JOIN chars USING (r) LEFT JOIN grams USING (r) LEFT JOIN dups USING (r)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(l, 6) AS dup_line_share,
+           round(s5, 6) AS dup_share_5, round(s7, 6) AS dup_share_7, round(s10, 6) AS dup_share_10,
+           n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR l > 0.30 OR s5 > 0.20 OR s7 > 0.17 OR s10 > 0.14) AS kept
+    FROM facts
+    """
+)
 def op7_repetition(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.repetition(table(spark, folder, "documents"))
+    found = repetition.repetition(table(spark, folder, "documents"))
+    shares = [F.round(F.col("dup_gram_shares")[i], 6).alias(f"dup_share_{n}") for i, n in enumerate(sorted(repetition.GRAM_SHARES))]
+    return found.withColumn("dup_line_share", F.round("dup_line_share", 6)).select("*", *shares).drop("dup_gram_shares")
 
 
 def _digest(spans: DataFrame, base: list[str], by_kind: bool) -> DataFrame:
@@ -158,7 +204,25 @@ def op3_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    rf"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), sets AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    pairs AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+      SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ), reached AS (
+      SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM reached r JOIN links l ON l.a = r.doc_id
+    )
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM reached r WHERE r.doc_id = d.doc_id) AS component_id
+    FROM d LEFT JOIN sizes USING (doc_id)
+    """
+)
 def op4_ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -284,7 +348,8 @@ def op12_revisits(spark: SparkSession, folder: str) -> DataFrame:
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged
     ), faulty AS (
       SELECT *, left(role, 1) AS letter, rtrim(text, E' 	
-') AS shown,
+
+') AS shown,
              row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 AS again,
              lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY n) AS before FROM placed
     ), rows_ AS (

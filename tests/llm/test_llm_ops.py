@@ -406,25 +406,30 @@ def test_components(spark, seed):
 
 
 def norm(line):
-    return re.sub(r"[\x00-\x60\x7B-\x7F]+", " ", line.lower()).strip(" ")
+    return re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", line.lower()).strip(" ")
 
 
 def spark_hash(text):
     return xxhash.xxh64_intdigest(text.encode(), 42)
 
 
-def brute_simhash(line):
-    words = line.split(" ")
-    votes = [sum(spark_hash(w) >> i & 1 for w in words) for i in range(64)]
-    return sum(1 << i for i in range(64) if 2 * votes[i] > len(words))
+def most_edits(a, b):
+    return int(max(len(a), len(b)) * 0.1 + 1e-9)
 
 
-def distance(a, b):
+def distance(a, b, most=None):
+    """Edit distance; beyond `most` any number over it."""
+    most = max(len(a), len(b)) if most is None else most
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        low, high = max(1, i - most), min(len(b), i + most)
+        last, row[low - 1] = row[low - 1], i if low == 1 else most + 1
+        for j in range(low, high + 1):
+            # The cell above the band's last one was never within it.
+            above = row[j] if j < i + most else most + 1
+            last, row[j] = row[j], min(above + 1, row[j - 1] + 1, last + (x != b[j - 1]))
+        if min(row[low - 1 : high + 1], default=0) > most:
+            return most + 1
     return row[-1]
 
 
@@ -449,10 +454,10 @@ def line_corpus(seed=2):
 
 
 def brute_lines(rows):
-    """Dropped positions by (doc_id, text)."""
+    """Dropped positions by (doc_id, text): connected groups by edit similarity alone."""
     places = sorted({(k is None, k or 0, spark_hash(t or ""), i, norm(x), k, t) for k, t in rows for i, x in enumerate((t or "").split("\n")) if norm(x)},
                     key=lambda p: (p[0], p[1], p[2] - (1 << 64) * (p[2] >> 63), p[3]))
-    distinct = sorted({p[4] for p in places})
+    distinct = sorted({p[4] for p in places}, key=lambda x: (len(x), x))
     root = {x: x for x in distinct}
 
     def find(x):
@@ -460,14 +465,21 @@ def brute_lines(rows):
             x = root[x]
         return x
 
-    marks = {x: brute_simhash(x) for x in distinct if len(x.split(" ")) >= 5}
+    letters = {c: i for i, c in enumerate(sorted(set("".join(distinct))))}
+    counts = np.zeros((len(distinct), len(letters)), "i4")
+    for i, x in enumerate(distinct):
+        np.add.at(counts[i], [letters[c] for c in x], 1)
+    sizes = np.array([len(x) for x in distinct])
+    most = (sizes * 0.1 + 1e-9).astype("i8")
     links = 0
-    for a in marks:
-        for b in marks:
-            if a < b and (marks[a] ^ marks[b]).bit_count() <= 2:
-                if distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
-                    root[find(b)] = find(a)
-                    links += 1
+    for i, a in enumerate(distinct):
+        # The longer one comes later; letters that only one of the two has need an edit each.
+        end = int(np.searchsorted(sizes - most, sizes[i], "right"))
+        common = np.minimum(counts[i], counts[i + 1 : end]).sum(1)
+        for j in (np.flatnonzero(sizes[i + 1 : end] - common <= most[i + 1 : end]) + i + 1).tolist():
+            if distance(a, distinct[j], int(most[j])) <= most[j]:
+                root[find(distinct[j])] = find(a)
+                links += 1
     seen, gone = set(), defaultdict(list)
     for p in places:
         if find(p[4]) in seen:
