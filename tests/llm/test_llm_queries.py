@@ -19,9 +19,30 @@ def test_all_are_registered():
     assert "pipeline" in names and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
+# Columns that each query has at least, with their types.
+COLUMNS = {
+    "op2": "page_id bigint, host string, path string, rule string, verdict string",
+    "op3": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op4": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op6": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op7": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+    "base_failed boolean, kept boolean",
+    "op8": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op9": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op10": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op11": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, "
+    "good_lost bigint, toxic_lost bigint, shapley bigint",
+    "op12": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op13": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, "
+    "audit string, repaired_sha256 string",
+}
+
+
 @pytest.mark.parametrize("name", queries.queries())
 def test_query(spark, name):
     frame = queries.queries()[name](spark, FOLDER)
+    wanted = COLUMNS.get(name.split("_")[0])
+    assert not wanted or set(tuple(c.split()) for c in wanted.split(", ")) <= set(frame.dtypes)
     if name in SQL:
         assert differences(frame, connect(FOLDER), SQL[name]) == []
     else:
