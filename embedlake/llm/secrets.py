@@ -5,9 +5,11 @@ one format form a tree with counts, and states whose outgoing frequencies agree
 within a Hoeffding bound are merged, so that a random body folds into a loop
 while a fixed head stays a chain. The result is a probabilistic automaton. Any
 candidate string is scored against all automata and against a model of plain
-names and words; the log likelihood ratio per character decides. Candidates are
-runs of the characters that credentials have, and the parts of a run between
-any two of its `=`, `/` and `.`.
+names and words; the log likelihood ratio per character decides. A merged loop
+forgets how long its body was, so each format also keeps the lengths of its
+examples. Candidates are runs of the characters that credentials have, and the
+parts of a run between any two of its `=`, `/` and `.`, of every length that a
+learnt format has.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from embedlake.llm import batches
 
@@ -33,13 +36,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ["assign", "access", "hex", "format"]
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
-SHORTEST = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 MARKS = "=/."
+# A format whose examples have so many lengths or more has no greatest one.
+VARIED = 6
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 # Log likelihood ratio per character from which a candidate counts as a secret.
-MARGIN = 0.6
+MARGIN = 0.3
 
 
 def labelled(per_format: int = 80, seed: int = 7) -> list[tuple[str, str]]:
@@ -85,7 +88,7 @@ CLASS_SIZE = {"a": 26, "A": 26, "0": 10}
 class Automaton:
     """A probabilistic automaton learnt from examples by state merging."""
 
-    def __init__(self, examples: list[str], alpha: float = 0.05):
+    def __init__(self, examples: list[str], alpha: float = 0.002):
         # State: [arrivals, stops, {char: [count, target]}].
         self.states: list[list] = [[0, 0, {}]]
         for text in examples:
@@ -100,6 +103,10 @@ class Automaton:
                 at = edge[1]
             self.states[at][0] += 1
             self.states[at][1] += 1
+        # The least and greatest length; of a varied format the latter is open.
+        lengths = {len(text) for text in examples}
+        self.lengths = lengths if len(lengths) < VARIED else None
+        self.least, self.most = min(lengths), max(lengths) if len(lengths) < VARIED else math.inf
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
         self._smooth()
@@ -114,6 +121,9 @@ class Automaton:
             p, q = todo.pop()
             n, stop_p, out_p = self.states[p]
             m, stop_q, out_q = self.states[q]
+            # So few examples differ from nothing, nor do their parts.
+            if m <= self.bound**2:
+                continue
             if self._differ(stop_p, n, stop_q, m):
                 return False
             for key in out_p.keys() | out_q.keys():
@@ -129,6 +139,44 @@ class Automaton:
             todo += [(out_p[c][1], out_q[c][1]) for c in out_p.keys() & out_q.keys()]
         return True
 
+    def _unseen(self, s: int) -> dict[str, float]:
+        """Share of each character of a class at a state, drawn there or not.
+
+        A class met as few different characters is a fixed head, not a body.
+        """
+        n, _, out = self.states[s]
+        counts, kinds = Counter(), Counter()
+        for c, e in out.items():
+            counts[char_class(c)] += e[0]
+            kinds[char_class(c)] += 1
+        spread = {k: max(kinds[k] - 1, 0.01) / CLASS_SIZE[k] if k in CLASS_SIZE else 1.0 for k in kinds}
+        return {k: 0.5 * counts[k] / n * spread[k] / CLASS_SIZE.get(k, 1) for k in counts}
+
+    def _likeness(self, p: int, q: int, by_state: dict[int, dict]) -> float:
+        """Mean log likelihood of the tree below q from state p, as far as p goes along.
+
+        `by_state` remembers the class shares of states until the next merge.
+        """
+        total, weight, todo = 0.0, 0, [(p, q)]
+        while todo:
+            p, q = todo.pop()
+            n, stops, out = self.states[p]
+            _, ends, below = self.states[q]
+            by_class = by_state.get(p)
+            if by_class is None:
+                by_class = by_state[p] = self._unseen(p)
+            if ends:
+                total += ends * math.log((stops + 0.05) / (n + 0.1))
+            weight += ends
+            for c, (count, target) in below.items():
+                kind = char_class(c)
+                share = 0.5 * out.get(c, (0,))[0] / n + by_class.get(kind, 0.0)
+                total += count * math.log(max(share, 1e-6))
+                weight += count
+                if c in out:
+                    todo.append((out[c][1], target))
+        return total / weight
+
     def _fold(self, p: int, q: int) -> None:
         """Add the tree below q to state p."""
         todo = [(p, q)]
@@ -151,15 +199,23 @@ class Automaton:
             target = self.states[source][2][c][1]
             if target in red:
                 continue
-            for state in red:
-                if self._compatible(state, target):
-                    self.states[source][2][c][1] = state
-                    self._fold(state, target)
-                    break
+            # A rare branch is compatible with much; it goes with its class, or where it is likeliest.
+            fitting = [state for state in red if self._compatible(state, target)]
+            if fitting:
+                alike = [e for x, e in self.states[source][2].items() if char_class(x) == char_class(c) and e[1] in red]
+                seen: dict[int, dict] = {}
+                if self.states[target][0] <= self.bound**2 and alike:
+                    state = max(alike)[1]
+                else:
+                    state = max(fitting, key=lambda r: (self._likeness(r, target, seen), -r))
+                self.states[source][2][c][1] = state
+                self._fold(state, target)
             else:
                 red.append(target)
             known = set(red)
             blue = [(s, x) for s in red for x in sorted(self.states[s][2]) if self.states[s][2][x][1] not in known]
+            # Frequent branches first.
+            blue.sort(key=lambda b: -self.states[b[0]][2][b[1]][0])
         self.kept = red
 
     def _smooth(self) -> None:
@@ -170,18 +226,30 @@ class Automaton:
             by_class: dict[str, Counter] = {}
             for c, (count, target) in out.items():
                 by_class.setdefault(char_class(c), Counter())[target] += count
-            classes = {
-                k: (math.log(0.5 * sum(t.values()) / n / CLASS_SIZE.get(k, 1)), t.most_common(1)[0][0])
-                for k, t in by_class.items()
-            }
+            classes = {k: (math.log(share), by_class[k].most_common(1)[0][0]) for k, share in self._unseen(s).items()}
+            # A state with two of the three classes is inside a body: the third was not drawn yet.
+            mixed = [k for k in by_class if k in CLASS_SIZE]
+            if len(mixed) == 2:
+                unseen = next(k for k in CLASS_SIZE if k not in mixed)
+                target = sum((by_class[k] for k in mixed), Counter()).most_common(1)[0][0]
+                classes[unseen] = (math.log(0.5 / (n + 1) / CLASS_SIZE[unseen]), target)
             chars = {}
             for c, (count, target) in out.items():
-                share = 0.5 * count / n + math.exp(classes[char_class(c)][0])
+                k = char_class(c)
+                whole, every = sum(by_class[k].values()), math.exp(classes[k][0])
+                # What its class takes away from the character comes back in part.
+                share = count / n - count / whole * every * CLASS_SIZE.get(k, 1) + every
                 chars[c] = (math.log(share), target)
             self.moves[s] = (chars, classes, math.log((stops + 0.05) / (n + 0.1)))
 
+    def fits(self, length: int) -> bool:
+        """Is this a length of the format?"""
+        return length in self.lengths if self.lengths is not None else length >= self.least
+
     def score(self, text: str) -> float:
         """Log probability of the text, or minus infinity."""
+        if not self.fits(len(text)):
+            return -math.inf
         at, total = 0, 0.0
         for c in text:
             chars, classes, _ = self.moves[at]
@@ -196,13 +264,14 @@ class Automaton:
 class Formats:
     """Automata by format, and a model of characters by the one before for the rest."""
 
-    def __init__(self, rows: list[tuple[str, str]], alpha: float = 0.05):
+    def __init__(self, rows: list[tuple[str, str]], alpha: float = 0.002):
         groups: dict[str, list[str]] = {}
         for kind, text in rows:
             if kind is not None and text:
                 groups.setdefault(kind, []).append(text)
         plain = groups.pop("plain", [])
         self.automata = {k: Automaton(v, alpha) for k, v in groups.items()}
+        self.least = min((a.least for a in self.automata.values()), default=math.inf)
         pairs, singles = Counter(), Counter()
         for text in plain:
             for a, b in zip("^" + text, text):
@@ -224,9 +293,9 @@ class Formats:
         `margin` or more of it per character.
 
         Gain is the ratio less `margin` per character. Of the starts that lead
-        to one state of an automaton only the best can win, so each state is
-        followed once per position, starts of less than SHORTEST characters
-        apart from the others.
+        to one state of an automaton only the best can win once they are long
+        enough, so from there each state is followed once per position. Starts
+        of a format of fixed lengths stay apart and end at the greatest one.
         """
         n, found = len(text), {}
         starts = {0, *(i + 1 for i, c in enumerate(text) if c in MARKS)}
@@ -235,26 +304,27 @@ class Formats:
         inner = [self.pairs.get(pair, self.rare) for pair in zip(["^", *kinds], kinds)]
         first = {i: self.pairs.get((char_class("^"), kinds[i]), self.rare) for i in starts if i < n}
         for automaton in self.automata.values():
-            # (state, start if still short else -1): (gain, start)
+            # (state, start if still apart else -1): (gain, start)
+            least, most, varied = automaton.least, automaton.most, automaton.lengths is None
             live: dict[tuple[int, int], tuple[float, int]] = {}
             for i in range(n + 1):
                 if i in ends:
                     for (state, _), (gain, a) in live.items():
                         whole = gain + automaton.moves[state][2]
-                        if i - a >= SHORTEST and whole >= 0 and whole > found.get((a, i), -1.0):
+                        if automaton.fits(i - a) and whole >= 0 and whole > found.get((a, i), -1.0):
                             found[a, i] = whole
                 if i == n:
                     break
-                if i in starts:
+                if i in starts and n - i >= least:
                     live[0, i] = (0.0, i)
                 moved: dict[tuple[int, int], tuple[float, int]] = {}
                 for (state, _), (gain, a) in live.items():
                     chars, classes, _ = automaton.moves[state]
                     move = chars.get(text[i]) or classes.get(kinds[i])
-                    if move is None:
+                    if move is None or i + 1 - a > most:
                         continue
                     more = gain + move[0] - (first[i] if a == i else inner[i]) - margin
-                    key = (move[1], a if i + 1 - a < SHORTEST else -1)
+                    key = (move[1], -1 if varied and i + 1 - a >= least else a)
                     if key not in moved or more > moved[key][0]:
                         moved[key] = (more, a)
                 live = moved
@@ -266,6 +336,17 @@ def default_formats() -> Formats:
     return Formats(labelled())
 
 
+def learn(labels: DataFrame, kind: str = "kind", text: str = "text", most: int = 20_000, alpha: float = 0.002) -> Formats:
+    """Formats of a labelled table of `kind` (`plain` for the rest) and `text`.
+
+    The automata are fitted on at most `most` rows, those of least digest;
+    repeated rows count as often as they stand, null and empty ones are left out.
+    """
+    rows = labels.select(F.col(kind).alias("kind"), F.col(text).alias("text")).where("kind is not null and text <> ''")
+    rows = rows.orderBy(F.xxhash64("kind", "text"), "kind", "text").limit(most)
+    return Formats([(r["kind"], r["text"]) for r in rows.collect()], alpha)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base matches that pass, in order."""
     found = []
@@ -279,15 +360,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+@cache
+def candidates(least: int) -> re.Pattern:
+    """Runs of the characters of credentials that may hold one of this length."""
+    return re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % least)
+
+
 def format_spans(text: str, base: list[tuple[int, int, int]], formats: Formats, margin: float) -> list:
     """Candidates outside the base spans whose format likelihood is high enough.
 
     Of overlapping parts of a run the likeliest one is kept.
     """
     found = []
-    for m in CANDIDATE.finditer(text):
+    if formats.least == math.inf:
+        return found
+    for m in candidates(formats.least).finditer(text):
         word = m[0].rstrip(".")
-        if len(word) < SHORTEST or not any(c in DIGIT or c in UPPER for c in word):
+        if not any(c in DIGIT or c in UPPER for c in word):
             continue
         if any(c in word for c in MARKS):
             parts = sorted(formats.parts(word, margin), key=lambda p: (-p[0], p[1], p[2]))

@@ -674,6 +674,32 @@ def test_credentials_glued_to_names():
             assert base or kind == "base64 key" or [text[s:e] for s, _, e in spans] == [key], (kind, text, spans)
 
 
+def test_lookalikes_are_no_credentials():
+    model, draw = secrets.default_formats(), random.Random(41)
+    alnum = "".join(chr(c) for c in [*range(48, 58), *range(65, 91), *range(97, 123)])
+    body = lambda n: "".join(draw.choices(alnum, k=n))
+    texts = [f"Main-{body(20)}.js" for _ in range(100)] + [f"https://x.example/assets/{body(20)}/a.css" for _ in range(100)]
+    texts += ["".join(draw.choices("0123456789ABCDEF", k=n)) for n in (32, 36, 40, 64) for _ in range(25)]
+    texts += ["-".join("".join(draw.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12)).replace("a", "A", 1) for _ in range(100)]
+    texts += ["VGhpcyBpcyBhIHBsYWluIHRleHQgc2VudGVuY2Uu"]
+    assert sum(bool(secrets.format_spans(t, secrets.base_spans(t), model, secrets.MARGIN)) for t in texts) <= 0.01 * len(texts)
+
+
+def test_formats_of_a_labelled_table(spark):
+    draw = random.Random(8)
+    body = lambda: "".join(draw.choices("ABCDEFGH2345", k=9))
+    rows = [("short", f"Q7-{body()}") for _ in range(200)] + [("plain", w) for w in vocabulary(300) if w.isascii()]
+    table = spark.createDataFrame(rows + [(None, "x"), ("short", None), ("short", "")], "kind string, text string")
+    model = secrets.learn(table)
+    # Twelve characters: candidates are as short as the formats learnt.
+    assert model.least == 12
+    docs = [(i, f"it is Q7-{body()} here") for i in range(50)] + [(50, "Q7-ABCDEFGH"), (51, "Q7-ABCDEFGH23"), (52, "it is here")]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(frame(spark, docs), model).collect()}
+    assert sum(found[i] == [(6, 18)] for i in range(50)) >= 48 and not any(found[i] for i in (50, 51, 52))
+    none = secrets.learn(table.limit(0))
+    assert all(r["spans"] == [] for r in secrets.scan(frame(spark, docs), none).collect())
+
+
 PERSONAL = [
     (1, "é mail a.b+c@x-y.example.com, 10.0.0.256 and 10.0.0.255.1 or 1.2.3.4"),
     (2, "cards 4111 1111 1111 1111 and 4111-1111-1111-1112; +1 (555) 123-4567 x +12 34"),
