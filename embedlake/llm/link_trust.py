@@ -15,8 +15,6 @@ from embedlake.session import cut_lineage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, TOLERANCE = 0.85, 1e-3
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
-# Rules are compared as expressions, so a rule list is a parameter, not a table.
-MOST_RULES = 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -29,23 +27,30 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def judge_by_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """struct(size, rule, verdict) of the longest rule that fits, or null.
+def rules_by_host(hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """`host, fits`: the rules of a host's own name and of the domains above it.
 
-    A rule `host/path` fits its host and all subdomains where the url's path
-    starts with the rule's. Of equally long ones the later in the alphabet wins.
+    `hosts` has one row per `host`. An equi-join on the ends of its name, as
+    many labels long as a rule's name at most; hosts without a rule are left out.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    fits = []
-    for verdict, rule in rules:
-        own, slash, rest = rule.partition("/")
-        same = (host == own) | host.endswith("." + own)
-        found = F.struct(F.lit(len(rule)).alias("size"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))
-        fits.append(F.when(same & path.startswith(slash + rest), found))
-    if not fits:
-        return F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
-    return F.array_max(F.array(*fits))
+    cut = [(verdict, rule, *rule.partition("/")) for verdict, rule in rules]
+    rows = [(own, slash + rest, len(rule), rule, verdict) for verdict, rule, own, slash, rest in cut]
+    table = hosts.sparkSession.createDataFrame(rows, "own string, start string, size int, rule string, verdict string")
+    labels = max((own.count(".") + 1 for _, _, own, _, _ in cut), default=1)
+    parts = F.split("host", r"\.")
+    counts = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels)))
+    ends = F.transform(counts, lambda n: F.array_join(F.slice(parts, -n, n), "."))
+    named = hosts.select("host", F.explode(ends).alias("own")).join(table, "own")
+    return named.groupBy("host").agg(F.collect_list(F.struct("start", "size", "rule", "verdict")).alias("fits"))
+
+
+def longest_rule(path: Column, fits: Column) -> Column:
+    """struct(size, rule, verdict) of the longest rule whose path starts the url's, or null.
+
+    Of equally long ones the later in the alphabet wins.
+    """
+    found = F.filter(fits, lambda f: path.startswith(f["start"]))
+    return F.array_max(F.transform(found, lambda f: F.struct(f["size"].alias("size"), f["rule"].alias("rule"), f["verdict"].alias("verdict"))))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -109,8 +114,10 @@ def judge(
 ) -> DataFrame:
     """`page_id, host, path, rule, verdict, trust, distrust`, one row per input row.
 
-    `rules`: (allow or block, host/path). A page takes the verdict of its
-    longest fitting rule. Otherwise its host is blocked if distrust / (trust +
+    `rules`: (allow or block, host/path), any number of them, joined on the
+    ends of host names. A rule fits its host and all subdomains where the url's
+    path starts with the rule's; a page takes the verdict of the longest one.
+    Otherwise its host is blocked if distrust / (trust +
     distrust) exceeds `threshold`; a host without either is allowed, as are
     urls without a host. A host is a seed by the share of its pages that rules
     allow or block, so a host with a third of all pages counts as one host.
@@ -120,7 +127,9 @@ def judge(
     """
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
-    ruled = rows.withColumn("fit", judge_by_rules(F.col("host"), F.col("path"), rules))
+    slim = rows.drop("html")
+    fits = cut_lineage(rules_by_host(slim.select("host").distinct(), rules))
+    ruled = slim.join(fits, "host", "left").withColumn("fit", longest_rule(F.col("path"), F.col("fits"))).drop("fits")
     hosts = ruled.where("host <> ''").groupBy("host").agg(
         F.avg(F.when(F.col("fit.verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"),
         F.avg(F.when(F.col("fit.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"),
@@ -135,7 +144,7 @@ def judge(
     )
     # Rounded to 13 digits, so that the order of additions can't turn a tie.
     wide = wide.select("host", *[F.format_string("%.12e", k).cast("double").alias(k) for k in ("trust", "distrust")])
-    judged = ruled.drop("html").join(wide, "host", "left").fillna(0.0, ["trust", "distrust"])
+    judged = ruled.join(wide, "host", "left").fillna(0.0, ["trust", "distrust"])
     doubtful = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
     own = F.when(doubtful, "block").otherwise("allow")
     return judged.select(

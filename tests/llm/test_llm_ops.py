@@ -520,6 +520,22 @@ def test_lines_that_differ_in_numbers_stay(spark):
     assert kept == {1: text.removesuffix("\nCHAPTER 11!"), 2: rows[1][1], 3: "new words"}
 
 
+def test_many_rules_by_the_ends_of_host_names(spark):
+    draw = random.Random(12)
+    names = [".".join(draw.choices(["a", "bb", "c", "org", ""], k=draw.randint(1, 4))) for _ in range(60)]
+    rules = {(draw.choice(["allow", "block"]), f"{draw.choice(names)}/{draw.choice(['', 'x', 'x/y', 'é'])}") for _ in range(150)}
+    rules = sorted(rules) + [("block", f"h{i}.example/") for i in range(3000)]
+    urls = [f"http://{draw.choice(names)}{draw.choice(['', '/', '/x', '/x/y/z', '/é?q', '#x'])}" for _ in range(300)]
+    urls += ["http://a.h7.example/x", "http://h2999.example/", "http://xh1.example/", "http:///x", "nothing", None]
+    pages = spark.createDataFrame([(i, u, "", "extra") for i, u in enumerate(urls)], "page_id long, url string, html string, fits string")
+    for row in link_trust.judge(pages, rules).collect():
+        host, path = row["host"], row["path"]
+        fits = [(len(r), r, v) for v, r in rules for own, slash, rest in [r.partition("/")]
+                if (host == own or host.endswith("." + own)) and path.startswith(slash + rest)]
+        best = max(fits, default=None)
+        assert row["rule"] == (best and best[1]) and (not best or row["verdict"] == best[2]), (row, best)
+
+
 def near_lines(seed=5):
     """(line, edited copy) of many lengths, with as many edits as similarity 0.9 allows or fewer."""
     draw, words = random.Random(seed), vocabulary()
