@@ -38,21 +38,59 @@ def attach_vectors(
     vectors make hot join keys; AQE splits those. A triplet whose vector is
     missing stays, with nulls.
     """
-    values = prefix(F.col(vector_column), dimensions)
-    sized = vectors.select(F.col(id_column).alias("__id"), values.alias("__v")).withColumn(
-        "__sq", squared_norm(F.col("__v"))
-    )
+    sized = _sized(vectors, dimensions, id_column, vector_column)
     out = triplets
     for role in ("q", "p", "n"):
-        side = sized.select(
-            F.col("__id").alias(f"{role}_id"),
-            F.col("__v").alias(f"{role}_vec"),
-            F.col("__sq").alias(f"{role}_sq"),
-        )
-        out = out.join(side, f"{role}_id", "left")
+        out = _with_role(out, sized, role)
     return out
 
 
+def _sized(vectors: DataFrame, dimensions: int | None, id_column: str, vector_column: str) -> DataFrame:
+    values = prefix(F.col(vector_column), dimensions)
+    found = vectors.select(F.col(id_column).alias("__id"), values.alias("__v"))
+    return found.withColumn("__sq", squared_norm(F.col("__v")))
+
+
+def _with_role(rows: DataFrame, sized: DataFrame, role: str) -> DataFrame:
+    side = sized.select(
+        F.col("__id").alias(f"{role}_id"),
+        F.col("__v").alias(f"{role}_vec"),
+        F.col("__sq").alias(f"{role}_sq"),
+    )
+    return rows.join(side, f"{role}_id", "left")
+
+
+def score_triplets(
+    triplets: DataFrame,
+    vectors: DataFrame,
+    keep: Sequence[str] = ("q_id",),
+    runs: Mapping[str, int | None] | None = None,
+    dimensions: int | None = None,
+    id_column: str = "vec_id",
+    vector_column: str = "embedding",
+) -> DataFrame:
+    """Scores of ``q_id, p_id, n_id`` without rows of three vectors.
+
+    The positive's vector gives way to its similarities before the negative is
+    joined, so only the question's vector moves on, once per further join. With
+    ``runs`` every triplet has one row per ``model``, see ``prefix_scores``.
+    """
+    models = runs or {"": None}
+    sized = _sized(vectors, dimensions, id_column, vector_column)
+    rows = _with_role(triplets, sized, "q")
+    for role in ("p", "n"):
+        rows = _with_role(rows, sized, role)
+        found = F.array(*[_similarity(role, d) for d in models.values()])
+        rows = rows.withColumn(f"__{role}", found).drop(f"{role}_vec", f"{role}_sq")
+    if runs is None:
+        return rows.select(*keep, F.col("__p")[0].alias("pos_sim"), F.col("__n")[0].alias("neg_sim"))
+    each = [
+        F.struct(F.lit(m).alias("model"), F.col("__p")[i].alias("pos_sim"), F.col("__n")[i].alias("neg_sim"))
+        for i, m in enumerate(runs)
+    ]
+    return rows.select(*keep, F.inline(F.array(*each)))
+
+
 def unscored(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Triplets, and those without a score: a vector is missing or unequally long."""
     lost = F.col("pos_sim").isNull() | F.col("neg_sim").isNull()
@@ -79,6 +117,12 @@ def triplet_scores(scored: DataFrame, keep: Sequence[str] = ("q_id",)) -> DataFr
     )
 
 
+def _similarity(other: str, dimensions: int | None) -> Column:
+    if dimensions is None:
+        return cosine(F.col("q_vec"), F.col(f"{other}_vec"), F.col("q_sq"), F.col(f"{other}_sq"))
+    return cosine(prefix(F.col("q_vec"), dimensions), prefix(F.col(f"{other}_vec"), dimensions))
+
+
 def prefix_scores(
     scored: DataFrame, runs: Mapping[str, int | None], keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -87,17 +131,12 @@ def prefix_scores(
     The vectors are joined once; every run of ``name -> dimensions`` adds a row.
     """
 
-    def similarity(other: str, dimensions: int | None) -> Column:
-        if dimensions is None:
-            return cosine(F.col("q_vec"), F.col(f"{other}_vec"), F.col("q_sq"), F.col(f"{other}_sq"))
-        return cosine(prefix(F.col("q_vec"), dimensions), prefix(F.col(f"{other}_vec"), dimensions))
-
     rows = F.array(
         *[
             F.struct(
                 F.lit(name).alias("model"),
-                similarity("p", d).alias("pos_sim"),
-                similarity("n", d).alias("neg_sim"),
+                _similarity("p", d).alias("pos_sim"),
+                _similarity("n", d).alias("neg_sim"),
             )
             for name, d in runs.items()
         ]

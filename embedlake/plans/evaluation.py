@@ -60,8 +60,7 @@ _ROUNDED = """round(avg_positive_similarity, 6) + 0.0 AS avg_positive_similarity
 
 
 def scores(t: Tables, dimensions: int | None = None) -> DataFrame:
-    joined = ev.attach_vectors(vector_triplets(t), t.embeddings, dimensions)
-    return ev.triplet_scores(joined, ["q_id", "label"])
+    return ev.score_triplets(vector_triplets(t), t.embeddings, ["q_id", "label"], dimensions=dimensions)
 
 
 def rounded(df: DataFrame, *names: str, decimals: int = 6) -> DataFrame:
@@ -74,9 +73,8 @@ def rounded_metrics(df: DataFrame) -> DataFrame:
 
 def both_models(t: Tables) -> DataFrame:
     """Metrics of the full vectors (trained) and of their prefix (baseline)."""
-    joined = ev.attach_vectors(vector_triplets(t), t.embeddings)
     runs = {"trained": None, "baseline": BASELINE_DIMENSIONS}
-    return ev.evaluate(ev.prefix_scores(joined, runs), ["model"])
+    return ev.evaluate(ev.score_triplets(vector_triplets(t), t.embeddings, (), runs), ["model"])
 
 
 _BOTH_SQL = (
@@ -300,6 +298,6 @@ FROM scores GROUP BY label"""
 def evaluate_missing_vectors(t: Tables) -> DataFrame:
     """Every seventh question has no vector; no triplet is lost."""
     triplets = vector_triplets(t).withColumn("q_id", F.when(F.col("q_id") % 7 == 0, -F.col("q_id") - 1).otherwise(F.col("q_id")))
-    scored = ev.triplet_scores(ev.attach_vectors(triplets, t.embeddings), ["q_id", "label"])
+    scored = ev.score_triplets(triplets, t.embeddings, ["q_id", "label"])
     means = ev.scored_only(scored).groupBy("label").agg(F.avg("pos_sim").alias("avg_positive_similarity"))
     return rounded(ev.unscored(scored, ["label"]).join(means, "label", "left"), "avg_positive_similarity")

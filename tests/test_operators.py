@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -503,3 +504,24 @@ def test_extraction_targets(spark):
     )
     got = {r.member: (r.common_prefix, r.target) for r in archives.extraction_plan(df).collect()}
     assert got == {"m/x/a.bin": ("m/x", "a.bin"), "m/x/y/b.json": ("m/x", "y/b.json"), "m/x/c.txt": ("m/x", None)}
+
+
+def test_scores_without_rows_of_three_vectors(spark):
+    vectors = spark.createDataFrame(
+        [(1, [1.0, 2.0, 3.0]), (2, [3.0, 2.0, 1.0]), (3, [0.0, 0.0, 0.0]), (4, [1.0, 2.0]), (5, None)],
+        "vec_id long, embedding array<float>",
+    )
+    ids = [1, 2, 3, 4, 5, 9, None]
+    rows = [(q, p, n, f"{q}") for q in ids for p in ids for n in ids] + [(1, 2, 3, "1")]
+    triplets = spark.createDataFrame(rows, "q_id long, p_id long, n_id long, label string")
+    joined = ev.attach_vectors(triplets, vectors)
+    keep = ["q_id", "p_id", "n_id", "label"]
+    fused = ev.score_triplets(triplets, vectors, keep)
+    assert Counter(map(tuple, fused.collect())) == Counter(map(tuple, ev.triplet_scores(joined, keep).collect()))
+    runs = {"whole": None, "cut": 2}
+    by_run = ev.score_triplets(triplets, vectors, keep, runs)
+    assert Counter(map(tuple, by_run.collect())) == Counter(map(tuple, ev.prefix_scores(joined, runs, keep).collect()))
+    plan = fused._jdf.queryExecution().optimizedPlan().toString()
+    # The positive's similarity is projected below the join with the negative.
+    assert plan.index("__p#") < plan.rindex("Join") and not [x for x in plan.split("\n") if "p_vec" in x and "n_vec" in x]
+    assert ev.score_triplets(triplets.limit(0), vectors, keep).count() == 0
