@@ -155,6 +155,20 @@ def read_cells(spark: SparkSession, inspected: DataFrame, profiles: DataFrame, s
     return reduce(DataFrame.unionByName, parts)
 
 
+# Up to so many files their facts go to every task; more are joined by sorting.
+FEW_FILES = 10_000
+
+
+def with_files(cells: DataFrame, files: DataFrame) -> DataFrame:
+    """`cells` with the facts of their files, a materialised table of one row per `path`.
+
+    Cells come from rows that name a range or a file each, so Spark takes them
+    for small, and without a hint it broadcasts every cell through the driver.
+    """
+    few = files.limit(FEW_FILES + 1).count() <= FEW_FILES
+    return cells.join(files.hint("broadcast" if few else "merge"), "path")
+
+
 def _names(role: str, mapping: Mapping[str, str | None]) -> list[str]:
     explicit = mapping.get(role)
     return [explicit.lower()] if explicit is not None else [role, *ALIASES[role]]
@@ -257,9 +271,8 @@ def ingest(
         .withColumns({f"{r}_name": name_of(r) for r in ROLES})
     )
     if strict:
-        table_cells = cells.join(inspected.filter(is_sheet).select("path"), "path").select(
-            "path", F.explode("cells").alias("key", "cell")
-        )
+        sheets = inspected.filter(is_sheet).select("path")
+        table_cells = with_files(cells, sheets).select("path", F.explode("cells").alias("key", "cell"))
         worst = (
             cell_violations(table_cells, ["path"], ["cell"])
             .groupBy("path")
@@ -283,7 +296,7 @@ def ingest(
     escaped = {
         r: F.when(is_sheet, tx.escape_formula(v)).otherwise(v).alias(r) for r, v in values.items()
     }
-    rows = cells.join(good, "path").select("path", "dataset_id", "classification", *escaped.values())
+    rows = with_files(cells, good).select("path", "dataset_id", "classification", *escaped.values())
     names = tx.sanitized_name(F.col("path"))
     report = judged.select(
         "path",

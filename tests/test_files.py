@@ -394,3 +394,19 @@ def test_subsets_go_by_their_own_columns(spark, tmp_path):
         ("b query", "b chosen", "b rejected", "T"),
         ("c input", "c output", None, "D"),
     }
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_cells_are_never_broadcast(spark, tmp_path, monkeypatch, few):
+    """A file is one row before it is read, its records are many."""
+    monkeypatch.setattr("embedlake.sources.files.FEW_FILES", few, raising=False)
+    written = [(f"q{i}", "p" * 500, f"n{i}") for i in range(2_000)]
+    (tmp_path / "a.csv").write_text(csv_text(["question", "positive", "negative"], written))
+    rows = ingest(spark, list_files(spark, str(tmp_path))).rows
+    found = sorted((r.question, r.positive, r.negative) for r in rows.collect())
+    assert found == sorted(written)
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    if few:
+        assert "BuildRight" in plan and "BuildLeft" not in plan
+    else:
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
