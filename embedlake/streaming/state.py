@@ -7,11 +7,12 @@ one timer for the first row that waits.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -104,11 +105,36 @@ def running_gauge(
 
 
 _TASK = "task_status string, end_us bigint, error_msg string, progress double, refused bigint"
-_WAITING = "ts array<bigint>, event_id array<bigint>, task_status array<string>, error_msg array<string>, progress array<double>"
+# The first time that waits, and the events as JSON: what a row costs is its columns.
+_WAITING = "first bigint, events array<string>"
+
+
+def packed_event() -> Column:
+    """JSON of an event of the log, its time first."""
+    event = F.struct(
+        F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), "task_status", "error_msg",
+        F.nanvl(F.col("progress").cast("double"), F.lit(None)).alias("progress"),
+    )
+    return F.to_json(event, {"ignoreNullFields": "false"})
+
+
+def _first_us(event: str) -> int:
+    """The time of an event, which is the first field of its JSON."""
+    return int(event[event.index(":") + 1 : event.index(",")])
+
+
+def _ordered(events: Sequence[str]) -> list[tuple]:
+    """Events by time and id, an unknown id last."""
+    told = (tuple(json.loads(e).values()) for e in events)
+    return sorted(told, key=lambda e: (e[0], e[1] is None, e[1] or 0))
 
 
 class _TaskLife(StatefulProcessor):
-    """One task: what it is, and the events the watermark has not passed."""
+    """One task: what it is, and the events the watermark has not passed.
+
+    It takes rows and not frames: a task has few of them, and each frame and
+    each call for state costs more than the steps over its rows.
+    """
 
     def __init__(self, retention_ms: int):
         self.retention_ms = retention_ms
@@ -118,45 +144,40 @@ class _TaskLife(StatefulProcessor):
         self.task = handle.getValueState("task", _TASK)
         self.waiting = handle.getValueState("waiting", _WAITING)
 
-    def _events(self) -> list[tuple]:
-        return list(zip(*self.waiting.get())) if self.waiting.exists() else []
+    def _wait(self, first: int, events: list[str]) -> None:
+        self.waiting.update((first, events))
+        _timer(self.handle, first)
 
-    def _wait(self, events: list[tuple]) -> None:
-        if events:
-            self.waiting.update(tuple(list(c) for c in zip(*events)))
-            _timer(self.handle, events[0][0])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, events = self.waiting.get() or (None, [])
+        new = [r[2] for r in rows]
+        low = min(map(_first_us, new))
+        if first is None or low < first:
+            self._wait(low, [*events, *new])
         else:
-            self.waiting.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = self._events()
-        for frame in rows:
-            clean = frame[["ts_us", "event_id", "task_status", "error_msg", "progress"]].astype(object)
-            events += list(clean.where(clean.notna(), None).itertuples(index=False, name=None))
-        self._wait(sorted(events, key=lambda e: e[:2]))
+            self.waiting.update((first, [*events, *new]))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events, passed = self._events(), timerValues.getCurrentWatermarkInMs() * 1000
-        due = [e for e in events if e[0] <= passed]
-        status, end, error, progress, refused = self.task.get() if self.task.exists() else (None, None, None, None, 0)
-        for ts, _, new, message, done in due:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        _, events = self.waiting.get() or (None, [])
+        due = [e for e in events if _first_us(e) <= passed]
+        status, end, error, progress, refused = self.task.get() or (None, None, None, None, 0)
+        for ts, _, new, message, done in _ordered(due):
             if status in FINISHED:
                 refused += 1
                 continue
             status, end = new, ts if new in FINISHED else end
             error = error if message is None else message
-            progress = progress if done is None else done
+            progress = progress if done is None else float(done)
         if due:
             self.task.update((status, end, error, progress, int(refused)))
-            self._wait(events[len(due) :])
-            ended = pd.NaT if end is None else pd.Timestamp(end, unit="us")
-            yield pd.DataFrame(
-                {
-                    "id": [key[0]], "task_status": [status], "end_date": pd.to_datetime([ended]), "error_msg": [error],
-                    "progress": [progress], "refused": [int(refused)],
-                }
-            )
+            later = [e for e in events if _first_us(e) > passed]
+            if later:
+                self._wait(min(map(_first_us, later)), later)
+            else:
+                self.waiting.clear()
+            yield Row(id=key[0], task_status=status, end_us=end, error_msg=error, progress=progress, refused=int(refused))
         if status in FINISHED and len(due) == len(events):
             if passed >= end + self.retention_ms * 1000:
                 self.task.clear()
@@ -179,14 +200,12 @@ def task_life(log: DataFrame, lateness: str = LATENESS, retention_ms: int = RETE
     last row of an id holds.
     """
     timed = log.where(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    events = timed.select(
-        "id", "ts", F.unix_micros("ts").alias("ts_us"), F.col("event_id").cast("long"), "task_status", "error_msg",
-        F.col("progress").cast("double"),
-    )
+    events = timed.select("id", "ts", packed_event().alias("event"))
     schema = (
-        T.StructType([log.schema["id"]]).add("task_status", "string").add("end_date", "timestamp").add("error_msg", "string")
+        T.StructType([log.schema["id"]]).add("task_status", "string").add("end_us", "long").add("error_msg", "string")
         .add("progress", "double").add("refused", "long")
     )
-    return events.groupBy("id").transformWithStateInPandas(
+    told = events.groupBy("id").transformWithState(
         _TaskLife(retention_ms), outputStructType=schema, outputMode="Update", timeMode="EventTime"
     )
+    return told.select("id", "task_status", F.timestamp_micros("end_us").alias("end_date"), "error_msg", "progress", "refused")

@@ -1,6 +1,7 @@
 """Streams that run in several steps, late rows and malformed lines."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -133,3 +134,60 @@ def test_tasks_end_once_and_leave_no_state(spark, tmp_path):
     assert got[3][:2] == ("D", minute(300))
     # Tasks 1 and 2 are gone; task 3 waits with its last event and a timer.
     assert left <= 4
+
+
+class Counted:
+    """A state of one key that counts the calls for it."""
+
+    def __init__(self, calls):
+        self.held, self.calls = None, calls
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.held is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+
+def test_task_rows_cost_few_columns_and_calls(spark, tmp_path):
+    """Each column of a row and each call for state goes between Spark and Python."""
+    schema = "id int, ts timestamp, event_id int, task_status string, error_msg string, progress double"
+    folder = str(tmp_path / "in")
+    events = [(1, minute(5), 3, "R", 'a "b"\n,c', 0.5), (1, minute(5), 2, "Q", "x", None), (1, minute(1), 7, "Q", None, float("inf"))]
+    write(spark, folder, "1", events, schema)
+    told = state.task_life(spark.readStream.schema(schema).parquet(f"{folder}/*"), "10 minutes")
+    log = told._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in log and "to_json" in log
+    packed = spark.createDataFrame(events, schema).select("id", "ts", state.packed_event().alias("event")).collect()
+
+    calls, timers = [], []
+    handle = SimpleNamespace(getValueState=lambda *_: Counted(calls), registerTimer=timers.append)
+    task = state._TaskLife(1_000)
+    task.init(handle)
+    list(task.handleInputRows((1,), iter(packed[2:]), None))
+    list(task.handleInputRows((1,), iter(packed[:2]), None))
+    # Later rows need no timer of their own.
+    assert calls == ["get", "update"] * 2 and len(timers) == 1
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 4_000_000_000_000)
+    (row,) = task.handleExpiredTimer((1,), passed, None)
+    assert row.asDict() == {"id": 1, "task_status": "R", "end_us": None, "error_msg": 'a "b"\n,c', "progress": 0.5, "refused": 0}
+
+
+def test_an_unknown_id_takes_no_tasks_with_it(spark, tmp_path):
+    folder, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    schema = "id int, ts timestamp, event_id int, task_status string, error_msg string, progress double"
+    rows = [(i, minute(1), i, "D", None, None) for i in range(40)]
+    write(spark, folder, "1", [*rows, (None, minute(2), 40, "Q", None, None)], schema)
+    write(spark, folder, "2", [(99, minute(900), 41, "Q", None, None)], schema)
+    progress(spark, folder, out, mark, lambda df: state.task_life(df, "10 minutes"), "update")
+    assert {r.id for r in current_rows(spark, out, ["id"]).collect()} - {None} == set(range(40))
