@@ -129,11 +129,11 @@ def read_cells(spark: SparkSession, inspected: DataFrame, profiles: DataFrame, s
     Each format is one reader, however many files there are and whatever their
     columns; `inspected` and `profiles` are those of the same files.
     """
-    usable = inspected.filter(F.col("error").isNull()).select("path", "extension", "encoding", "delimiter", "shape", "opens")
+    usable = inspected.filter(F.col("error").isNull()).select("path", "length", "extension", "encoding", "delimiter", "shape", "opens")
     # At most one row per format and shape.
     there = {(r["extension"], r["shape"]) for r in usable.select("extension", "shape").distinct().collect()}
     kinds = {ext for ext, _ in there}
-    facts = usable.drop("extension")
+    facts = usable.drop("length", "extension")
     parts = []
     if kinds & {"csv", "json"}:
         entered = cut_lineage(splits.entered(profiles).join(facts, "path"))

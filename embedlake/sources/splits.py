@@ -25,7 +25,9 @@ from embedlake.functions import text as tx
 from embedlake.sources.remote import open_for_reading
 
 RANGE_BYTES = 32 << 20
-# Beyond this a task reads several ranges, one after the other.
+# Opening a range takes about as long as reading so many bytes.
+OPEN_BYTES = 128 << 10
+# Beyond this a task reads more ranges, one after the other.
 MOST_TASKS = 50_000
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 # Bytes that can hold the characters the delimiter is chosen from.
@@ -45,8 +47,15 @@ def byte_ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
 
 
 def spread(ranges: DataFrame) -> DataFrame:
-    """A task per range or so. Rows are tiny, so AQE would put all of them into one."""
-    return ranges.repartition(min(max(ranges.count(), 1), MOST_TASKS), "path", "begin")
+    """Tasks of about RANGE_BYTES, or of one longer range, which is read alone.
+
+    Rows are tiny, so AQE would put all of them into one task. With a task for
+    every range, what the driver keeps of tasks and of the blocks between them
+    would follow the number of ranges, not the bytes.
+    """
+    seen = ranges.agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("begin") + OPEN_BYTES).alias("bytes")).first()
+    wanted = max(-(-(seen["bytes"] or 0) // RANGE_BYTES), 2 * ranges.sparkSession.sparkContext.defaultParallelism)
+    return ranges.repartition(max(min(seen["n"], wanted, MOST_TASKS), 1), "path", "begin")
 
 
 def _read(file, begin: int, stop: int) -> bytes:
@@ -588,7 +597,8 @@ def array_items(ranges: DataFrame) -> DataFrame:
 
 
 def _files(files: DataFrame) -> DataFrame:
-    return spread(files.select("path", "encoding", F.lit(0).alias("begin"))).drop("begin")
+    whole = files.select("path", "encoding", F.lit(0).cast("long").alias("begin"), F.col("length").alias("stop"))
+    return spread(whole).select("path", "encoding")
 
 
 def _flat(value, name: str, out: dict[str, str | None]) -> None:
@@ -615,7 +625,7 @@ def _objects(parts) -> Iterator[pa.RecordBatch]:
 
 
 def object_cells(files: DataFrame) -> DataFrame:
-    """One row of dotted columns per file of `path, encoding` that is one JSON object; these fit the head."""
+    """One row of dotted columns per file of `path, length, encoding` that is one JSON object; these fit the head."""
     return _files(files).mapInArrow(_objects, CELLS)
 
 
@@ -644,7 +654,7 @@ def _xml_records(path: str, encoding: str) -> Iterator[tuple]:
 
 
 def xml_cells(files: DataFrame) -> DataFrame:
-    """Cells of XML files `path, encoding`; a record has the columns it has, a missing text is empty.
+    """Cells of XML files `path, length, encoding`; a record has the columns it has, a missing text is empty.
 
     A file streams through one task, which holds one record of it.
     """

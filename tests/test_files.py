@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embedlake.operators.archives import archive_limits
-from embedlake.sources import archives, jsonl
+from embedlake.sources import archives, jsonl, splits
 from embedlake.sources.files import FileRejected, ingest, inspect, list_files, require_single, scan_subsets
 from embedlake.streaming.ingest import watch_folder
 
@@ -410,3 +410,20 @@ def test_cells_are_never_broadcast(spark, tmp_path, monkeypatch, few):
         assert "BuildRight" in plan and "BuildLeft" not in plan
     else:
         assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_tasks_follow_bytes(spark, tmp_path):
+    """Small ranges share tasks, so the driver does not keep one task for each; large ones are read alone."""
+    cores = spark.sparkContext.defaultParallelism
+    file = spark.createDataFrame([("f", 1 << 20)], "path string, length long")
+    small = splits.spread(splits.byte_ranges(file, 1 << 10))
+    assert small.count() == 1 << 10
+    assert small.rdd.getNumPartitions() <= 2 * cores
+    large = file.withColumn("length", F.lit(64 * cores * splits.RANGE_BYTES))
+    assert splits.spread(splits.byte_ranges(large)).rdd.getNumPartitions() == 64 * cores
+    written = [(f"q{i}", "p, \n\"quoted\" " * (i % 7), f"n{i}") for i in range(3_000)]
+    (tmp_path / "a.csv").write_text(csv_text(["question", "positive", "negative"], written))
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"question": q, "positive": p, "negative": n}) + "\n" for q, p, n in written))
+    read = ingest(spark, list_files(spark, str(tmp_path)), range_bytes=1 << 9).rows
+    found = sorted((r.question, r.positive or "", r.negative) for r in read.collect())
+    assert found == sorted(written + written)
