@@ -1,6 +1,8 @@
 """Each operator against brute force, a round trip or held-out accuracy, and on odd rows."""
 
+import glob
 import hashlib
+import os
 import random
 import re
 import time
@@ -576,6 +578,34 @@ def test_fuzzy_lines_are_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_fuzzy_lines_are_normalised_once(spark):
+    lines = fuzzy_lines._lines(frame(spark, line_corpus()), "doc_id", "text").where("length(norm) > 5")
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_buckets_of_lines_go_in_parts(spark):
+    lines = spark.createDataFrame([(1, 50, "", *range(fuzzy_lines.MINIMA))], "line long, size int, norm string, " + ", ".join(f"m{i} int" for i in range(fuzzy_lines.MINIMA)))
+    parts = [rows.collect() for exact, rows in fuzzy_lines._buckets(lines, 0.9) if not exact]
+    assert max(map(len, parts)) == fuzzy_lines.BANDS_AT_ONCE
+    assert len({r["key"] for rows in parts for r in rows}) == len(fuzzy_lines.BANDS) == 30
+
+
+def test_fuzzy_lines_leave_no_shuffle_files(spark):
+    def held():
+        root = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+        return set(glob.glob(f"{root}/blockmgr-*/*/shuffle_*.data") + glob.glob(f"{root}/*/blockmgr-*/*/shuffle_*.data"))
+
+    before = held()
+    groups = fuzzy_lines.line_groups(frame(spark, [(2 * i + j, x) for i, pair in enumerate(near_lines()) for j, x in enumerate(pair)]))
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before
+    assert groups.count() > 100
+    assert spark.conf.get(fuzzy_lines.CLEANUP) == "false"
+
+
 # ---- 7 -------------------------------------------------------------------
 
 
