@@ -590,6 +590,39 @@ def test_buckets_of_lines_go_in_parts(spark):
     assert len({r["key"] for rows in parts for r in rows}) == len(fuzzy_lines.BANDS) == 30
 
 
+def test_keys_of_a_line_are_the_lowest_hashes_of_its_ngrams(spark):
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abcdefghij é", k=n)) for n in (45, 100, 140, 700)] + ["a" * 300, "ab" * 90 + "c" * 40]
+    lines = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)], "line long, norm string, size int")
+    classes = fuzzy_lines._classes(lines, 0.9)
+    for whole in (True, False):
+        got = {(r["line"], r["gram"]): r for r in fuzzy_lines._minima(classes, whole).collect()}
+        # Lines of 140 characters may have a partner in the class above.
+        assert sorted(got) == [(0, 10), (1, 12), (2, 12), (2, 15), (3, 15), (4, 15), (5, 15)]
+        for (line, gram), r in got.items():
+            places = defaultdict(list)
+            for i in range(len(texts[line]) - gram + 1):
+                places[spark_hash(texts[line][i : i + gram]) >> 1].append(i + 1)
+            low = [(places[h][0] if len(places[h]) == 1 else 0) << 48 | h & (1 << 48) - 1 for h in sorted(places)][: r["kept"]]
+            if whole or line < 4:
+                assert [r[m] for m in fuzzy_lines.BANDS if r[m] is not None] == low and r["found"] == len(low)
+
+
+def test_lines_of_few_different_ngrams_meet(spark):
+    rows = [(1, "a" * 300), (2, "a" * 310), (3, "ab" * 100), (4, "ab" * 50 + "c" + "ab" * 50), (5, "xyz" * 200), (6, "xyz" * 150)]
+    assert {r["doc_id"] for r in fuzzy_lines.repeated_lines(frame(spark, rows)).collect()} == {2, 4}
+
+
+def test_few_unlike_lines_are_compared(spark, monkeypatch):
+    draw, compared, verified = random.Random(6), [], fuzzy_lines._verified
+    parts = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 4))) for _ in range(40)]
+    lines = [" ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(60)) for _ in range(300)]
+    monkeypatch.setattr(fuzzy_lines, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    rows = [(i, x) for i, x in enumerate(lines)] + [(300 + i, x[:200] + "-new-" + x[200:]) for i, x in enumerate(lines[:20])]
+    assert {r["doc_id"] for r in fuzzy_lines.repeated_lines(frame(spark, rows)).collect()} == set(range(300, 320))
+    assert sum(compared) < 60
+
+
 def test_fuzzy_lines_leave_no_shuffle_files(spark):
     def held():
         root = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
