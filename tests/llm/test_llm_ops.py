@@ -613,6 +613,14 @@ def test_lines_of_few_different_ngrams_meet(spark):
     assert {r["doc_id"] for r in fuzzy_lines.repeated_lines(frame(spark, rows)).collect()} == {2, 4}
 
 
+def test_fuzzy_lines_leave_only_their_groups_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(fuzzy_lines, "work_dir", lambda *_: str(tmp_path / "work"))
+    groups = fuzzy_lines.line_groups(frame(spark, [(2 * i + j, x) for i, pair in enumerate(near_lines()) for j, x in enumerate(pair)]))
+    assert {p.name for p in (tmp_path / "work").iterdir()} <= {"named", "joined", "met"}
+    assert not list((tmp_path / "work").glob("met/*/*"))
+    assert groups.count() > 100
+
+
 def test_few_unlike_lines_are_compared(spark, monkeypatch):
     draw, compared, verified = random.Random(6), [], fuzzy_lines._verified
     parts = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 4))) for _ in range(40)]
